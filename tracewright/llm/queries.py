@@ -90,7 +90,7 @@ WITH c AS (
   SELECT row_id, [{', '.join(_plain(c) for c in _PLAIN_COLUMNS)}] AS k,
          CASE WHEN trim({_half('direction')}) IN ('+', '-') THEN trim({_half('direction')}) ELSE {_plain('direction')} END AS dir,
          try_cast(regexp_replace({_half('amount')}, '[\\s,¥元]', '', 'g') AS DECIMAL(38,10)) AS number, {_plain('amount')} AS amount_text,
-         list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array({_half('remark')}, '[;,|、/\\n\\r\\t]+'), x -> regexp_replace(lower(x), '[\\s\\p{{Z}}\\p{{P}}]', '', 'g')), x -> x <> ''))) AS entries
+         list_sort(list_distinct(list_filter(list_transform(regexp_split_to_array({_half('remark')}, '[;,|、/\\n\\r\\t]+'), lambda x: regexp_replace(lower(x), '[\\s\\p{{Z}}\\p{{P}}]', '', 'g')), lambda x: x <> ''))) AS entries
   FROM ledger WHERE trim(coalesce(txn_serial, ''), e' \\t\\n\\r　') <> ''),
 g AS (SELECT row_id, min(row_id) OVER w AS keep, count(*) OVER w AS n FROM c WINDOW w AS (PARTITION BY k, dir, coalesce(CAST(number AS VARCHAR), amount_text), entries))
 """
