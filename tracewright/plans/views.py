@@ -25,7 +25,7 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
         F.concat(F.lit("A"), (F.col("l_suppkey") * 7 % 300).cast("string")).alias("dst"),
         F.concat(F.lit("T"), (F.col("l_partkey") % 7).cast("string")).alias("token"),
         F.col("l_extendedprice").cast("decimal(18,2)").alias("amount"),
-        F.col("l_shipdate").alias("t"), (F.unix_seconds("l_shipdate") / 86400).cast("bigint").alias("block"), F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("log_index"),
+        F.col("l_shipdate").alias("t"), F.date_diff(F.to_date("l_shipdate"), F.lit("1970-01-01").cast("date")).cast("bigint").alias("block"), F.col("l_orderkey").alias("tx"), F.col("l_linenumber").alias("log_index"),
     )
 
 
