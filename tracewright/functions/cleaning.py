@@ -14,8 +14,8 @@ TRANSFER_TOPICS = (
     "0xc3d58168c5ae7397731d063d5bbf3d657854427343f4c083240f7aacaa2d0f62",
     "0x4a39dc06d4c0dbc64b70af90fd698a233a518aa5d07e595d983b8c0526c8f7fb",
 )
-IN_WORDS = "进 收 入 收入 转入 入账 贷 贷方 存 C + in IN credit".split()
-OUT_WORDS = "出 支 付 支出 转出 出账 借 借方 取 D O - out OUT debit".split()
+OUT_WORDS = "D 借 借方 支出 转出 取 支 出账 O - 出".split()
+IN_WORDS = "C 贷 贷方 收入 转入 存 入 入账 收 + 进".split()
 METHOD_KINDS = {"APPROVE": ("0x095ea7b3",), "SWAP": ("0x38ed1739", "0x7ff36ab5", "0x18cbafe5", "0x5ae401dc", "0x414bf389"), "NATIVE_TRANSFER": ("", "0x")}
 
 
@@ -46,7 +46,7 @@ def limbs_total(limbs: Sequence[Column]) -> Column:
 
 def to_number(text: Column) -> Column:
     """A number with currency marks and separators; what is no number is 0."""
-    s = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[,，￥¥元]", ""), r"[^0-9.eE+-]", "")
+    s = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "[,，￥¥元]", ""), r"[^0-9.+-]", "")
     return F.coalesce(s.try_cast("double"), F.lit(0.0))
 
 

@@ -13,24 +13,29 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewright.runtime import materialize, same_keys
+
 D18 = "decimal(38,18)"
 
 
 def running(events: DataFrame, key: Sequence[str], order: Sequence[str], amount: str, is_in: Column, is_out: Column) -> DataFrame:
-    """``events`` with lot_from, lot_to (inflows) and use_from, use_to, unmatched (outflows)."""
-    w = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    """``events`` with lot_from, lot_to (inflows), use_from, use_to, unmatched (outflows) and all_in, the key's whole inflow; written once."""
+    by = Window.partitionBy(*key)
+    w = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     zero = F.lit(0).cast(D18)
     a = F.col(amount).cast(D18)
-    e = events.withColumn("__i", F.when(is_in, a).otherwise(zero)).withColumn("__o", F.when(is_out, a).otherwise(zero))
-    e = e.withColumn("__I", F.sum("__i").over(w).cast(D18)).withColumn("__O", F.sum("__o").over(w).cast(D18))
-    e = e.withColumn("__U", F.greatest(zero, F.max(F.col("__O") - F.col("__I")).over(w)).cast(D18))
-    before = F.coalesce(F.lag("__U").over(Window.partitionBy(*key).orderBy(*order)), zero)
-    e = e.withColumn("__Ub", before)
-    return e.select(
-        *events.columns,
-        F.when(is_in, (F.col("__I") - F.col("__i")).cast(D18)).alias("lot_from"), F.when(is_in, F.col("__I")).alias("lot_to"),
-        F.when(is_out, (F.col("__O") - F.col("__o") - F.col("__Ub")).cast(D18)).alias("use_from"), F.when(is_out, (F.col("__O") - F.col("__U")).cast(D18)).alias("use_to"),
-        F.when(is_out, (F.col("__U") - F.col("__Ub")).cast(D18)).alias("unmatched"),
+    e = events.withColumn("__in", F.when(is_in, a).otherwise(zero)).withColumn("__out", F.when(is_out, a).otherwise(zero))
+    e = e.withColumn("__cum_in", F.sum("__in").over(w).cast(D18)).withColumn("__cum_out", F.sum("__out").over(w).cast(D18))
+    e = e.withColumn("__short", F.greatest(zero, F.max(F.col("__cum_out") - F.col("__cum_in")).over(w)).cast(D18))
+    e = e.withColumn("__short_before", F.coalesce(F.lag("__short").over(by.orderBy(*order)), zero)).withColumn("all_in", F.max("__cum_in").over(by))
+    return materialize(
+        e.select(
+            *events.columns,
+            F.when(is_in, (F.col("__cum_in") - F.col("__in")).cast(D18)).alias("lot_from"), F.when(is_in, F.col("__cum_in")).alias("lot_to"),
+            F.when(is_out, (F.col("__cum_out") - F.col("__out") - F.col("__short_before")).cast(D18)).alias("use_from"), F.when(is_out, (F.col("__cum_out") - F.col("__short")).cast(D18)).alias("use_to"),
+            F.when(is_out, (F.col("__short") - F.col("__short_before")).cast(D18)).alias("unmatched"), "all_in",
+        ),
+        "lots",
     )
 
 
@@ -40,14 +45,14 @@ def matches(run: DataFrame, key: Sequence[str], lot_cols: Sequence[str], use_col
     Each key's quantity axis is cut into ``buckets`` equal parts; a lot or use is copied to the parts it touches and an overlap is counted
     in the part where it begins, so even one key spreads over many tasks.
     """
-    top = run.groupBy(*key).agg(F.max("lot_to").alias("__top")).filter("__top > 0")
-    part = lambda x: F.least(F.lit(buckets - 1), F.floor(F.col(x).cast("double") / F.col("__top").cast("double") * buckets).cast("int"))
+    part = lambda x: F.least(F.lit(buckets - 1), F.floor(F.try_divide(F.col(x).cast("double"), F.col("all_in").cast("double")) * buckets).cast("int"))
     cut = lambda lo, hi: F.explode(F.sequence(part(lo), F.greatest(part(lo), part(hi))))
-    lots = run.filter("lot_to > lot_from").join(top, list(key)).select(*key, *[F.col(c).alias(f"lot_{c}") for c in lot_cols], "lot_from", "lot_to", part("lot_from").alias("__lp"), cut("lot_from", "lot_to").alias("__part"))
-    uses = run.filter("use_to > use_from").join(top, list(key)).select(*key, *[F.col(c).alias(f"use_{c}") for c in use_cols], "use_from", "use_to", part("use_from").alias("__up"), cut("use_from", "use_to").alias("__part"))
+    live = run.filter("all_in > 0")
+    lots = live.filter("lot_to > lot_from").select(*key, *[F.col(c).alias(f"lot_{c}") for c in lot_cols], "lot_from", "lot_to", part("lot_from").alias("__lot_part"), cut("lot_from", "lot_to").alias("__part"))
+    uses = live.filter("use_to > use_from").select(*key, *[F.col(c).alias(f"use_{c}") for c in use_cols], "use_from", "use_to", part("use_from").alias("__use_part"), cut("use_from", "use_to").alias("__part"))
     lo, hi = F.greatest("lot_from", "use_from"), F.least("lot_to", "use_to")
-    j = lots.join(uses, [*key, "__part"]).filter((lo < hi) & (F.col("__part") == F.greatest("__lp", "__up")))
-    return j.select(*key, *[f"lot_{c}" for c in lot_cols], *[f"use_{c}" for c in use_cols], (hi - lo).cast(D18).alias("quantity"))
+    j = lots.alias("l").join(uses.alias("u"), same_keys("l", "u", *key, "__part")).filter((lo < hi) & (F.col("l.__part") == F.greatest("__lot_part", "__use_part")))
+    return j.select(*[F.col(f"l.{k}").alias(k) for k in key], *[f"lot_{c}" for c in lot_cols], *[f"use_{c}" for c in use_cols], (hi - lo).cast(D18).alias("quantity"))
 
 
 def flow_windows(act: DataFrame, as_of: Column, retention_h: Sequence[int] = (1, 6, 24, 168, 720), pass_m: Sequence[int] = (5, 15, 60, 360, 1440)) -> DataFrame:
@@ -89,7 +94,6 @@ def pnl(events: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
     """
     is_in, is_out = F.col("type").isin(*BUYS, *UNKNOWN_INS), F.col("type").isin(*SELLS, *MOVES_OUT)
     e = events.filter((is_in | is_out) & (F.col("amount") > 0))
-    e = e.withColumn("__id", F.struct(*order))
     cost = F.when(F.col("type").isin(*BUYS) & F.col("usd_value").isNotNull(), F.col("usd_value").cast("double") + F.coalesce(F.col("gas_usd"), F.lit(0)).cast("double"))
     e = e.withColumn("__unit", cost / F.col("amount").cast("double"))
     run = running(e, key, order, "amount", is_in, is_out)

@@ -120,7 +120,7 @@ def q_p1(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger").select("row_id", cl.topic_address(F.col("src_file_sha256")).alias("a"))
 
 
-@query("fn_to_number", """SELECT row_id, coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.eE+-]', '', 'g') AS DOUBLE), 0) AS v FROM ledger""")
+@query("fn_to_number", """SELECT row_id, coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0) AS v FROM ledger""")
 def q_p4(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger").select("row_id", cl.to_number(F.col("amount")).alias("v"))
 
@@ -509,12 +509,12 @@ def a44(spark: SparkSession, d: str) -> DataFrame:
     return part("customer", "c_name", 1).unionByName(part("supplier", "s_name", 2)).unionByName(part("part", "p_name", 3)).orderBy("rank", "label").limit(50)
 
 
-@query("a29_ledger_summary", f"""SELECT w AS way, count(*) AS rows, CAST(sum(v) AS DECIMAL(38,2)) AS total FROM (SELECT {_WAY} AS w, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.eE+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS v FROM ledger) GROUP BY 1""")
+@query("a29_ledger_summary", f"""SELECT w AS way, count(*) AS rows, CAST(sum(v) AS DECIMAL(38,2)) AS total FROM (SELECT {_WAY} AS w, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS v FROM ledger) GROUP BY 1""")
 def a29(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger").select(cl.direction(F.col("direction")).alias("way"), cl.to_number(F.col("amount")).cast("decimal(18,2)").alias("v")).groupBy("way").agg(F.count(F.lit(1)).alias("rows"), F.sum("v").cast("decimal(38,2)").alias("total"))
 
 
-@query("a27_ledger_graph", """WITH r AS (SELECT DISTINCT account_no AS src, cp_account AS dst, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.eE+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS amount, txn_time, txn_serial FROM ledger WHERE account_no <> '' AND cp_account <> '')
+@query("a27_ledger_graph", """WITH r AS (SELECT DISTINCT account_no AS src, cp_account AS dst, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS amount, txn_time, txn_serial FROM ledger WHERE account_no <> '' AND cp_account <> '')
 SELECT src, dst, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS amount, max(amount) AS largest, round(avg(CAST(amount AS DOUBLE)), 4) AS average, min(txn_time) AS first_t, max(txn_time) AS last_t FROM r GROUP BY ALL""")
 def a27(spark: SparkSession, d: str) -> DataFrame:
     return graph.ledger_graph(table(spark, d, "ledger"), F.col("account_no"), F.col("cp_account"), cl.to_number(F.col("amount")))
