@@ -152,34 +152,45 @@ def document_logit(model: np.ndarray, f: np.ndarray) -> float:
     return best_window(model[:BUCKETS], f)[0] + float(model[BUCKETS]) if len(model) > BUCKETS else -35.0
 
 
-def train(labelled: list[tuple[np.ndarray, int]], seed: int = 7) -> tuple[np.ndarray, float, dict[str, float]]:
+FOLDS = 3
+
+
+def choose_cut(scores: list[tuple[float, int]], stands_for: float) -> tuple[float, float]:
+    """(cut, F1) of held-out (logit, label) pairs. A quiet labelled document stands for ``stands_for`` documents of the corpus, so a false
+    alarm weighs as many; the cut lies in the gap below the lowest score that is worth flagging, nearer to that score."""
+    ranked = sorted(scores, reverse=True)
+    total, hits, alarms, best, at = sum(y for _, y in ranked), 0, 0.0, 0.0, None
+    for k, (s, y) in enumerate(ranked):
+        hits, alarms = hits + y, alarms + (1 - y) * stands_for
+        f1 = 2 * hits / (hits + alarms + total) if total else 0.0
+        if y and f1 > best and (k + 1 == len(ranked) or ranked[k + 1][0] < s):
+            best, at = f1, k
+    if at is None:
+        return 0.0, 0.0
+    low = ranked[at][0]
+    below = ranked[at + 1][0] if at + 1 < len(ranked) else low - 1
+    return low - 0.25 * (low - below), best
+
+
+def train(labelled: list[tuple[np.ndarray, int]], corpus: int | None = None, seed: int = 7) -> tuple[np.ndarray, float, dict[str, float]]:
     """(weights with the intercept last, logit from which a document counts as abusive, held-out figures).
 
-    A fifth is held out to choose the cut with the best F1; then all are used. Without both classes nothing is abusive.
+    Every document is scored once by a model that hasn't seen it, and those scores choose the cut for a ``corpus`` of so many documents; then
+    all are used. Without both classes nothing is abusive.
     """
     docs = [(features(h), y) for h, y in labelled]
-    order = np.random.default_rng(seed).permutation(len(docs))
-    held = {int(i) for i in order[: len(docs) // 5]}
-    split = lambda y, keep: [f for i, (f, c) in enumerate(docs) if c == y and keep(i)]
-    figures, cut = {"held_out": 0.0}, 0.0
-    pos, neg = split(1, lambda i: i not in held), split(0, lambda i: i not in held)
-    if len(pos) >= 20 and neg:
-        model = _fit(pos, neg, seed=seed)
-        scores = sorted(((document_logit(model, docs[i][0]), docs[i][1]) for i in held), reverse=True)
-        total, hit, best = sum(y for _, y in scores), 0, (0.0, 0.0)
-        rank = []
-        for k, (s, y) in enumerate(scores, 1):
-            hit += y
-            rank.append((2 * hit / (k + total) if k + total else 0.0, s))
-        top = max(f1 for f1, _ in rank) if rank else 0.0
-        good = [s for f1, s in rank if f1 == top]
-        below = max((s for s, _ in scores if s < min(good)), default=min(good, default=0.0) - 1) if good else 0.0
-        cut = (min(good) + below) / 2 if good else 0.0
-        figures = {"held_out": float(len(held)), "f1": top, "cut": cut}
-    pos, neg = split(1, lambda i: True), split(0, lambda i: True)
+    pos, neg = [f for f, y in docs if y], [f for f, y in docs if not y]
     if not pos or not neg:
-        return np.zeros(0, np.float32), 0.0, figures
-    return _fit(pos, neg, seed=seed), cut, figures
+        return np.zeros(0, np.float32), 0.0, {"held_out": 0.0}
+    fold = np.random.default_rng(seed).permutation(len(docs)) % FOLDS
+    held = []
+    for k in range(FOLDS):
+        p, n = ([f for i, (f, c) in enumerate(docs) if c == y and fold[i] != k] for y in (1, 0))
+        if p and n:
+            model = _fit(p, n, seed=seed)
+            held += [(document_logit(model, f), y) for i, (f, y) in enumerate(docs) if fold[i] == k]
+    cut, f1 = choose_cut(held, max(1.0, (corpus or len(docs)) / len(docs)))
+    return _fit(pos, neg, seed=seed), cut, {"held_out": float(len(held)), "f1": f1, "cut": cut}
 
 
 def labelled_hashes(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 7) -> list[tuple[np.ndarray, int]]:
@@ -201,7 +212,7 @@ def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> D
 
     Null, empty and blank texts score 0. Whole texts are scored, whatever their length; repeated documents each have their row.
     """
-    model, cut, _ = train(labelled_hashes(docs, labels, max_labels))
+    model, cut, _ = train(labelled_hashes(docs, labels, max_labels), docs.count())
     used = np.flatnonzero(model)
     shared = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), model[used], len(model)))  # L1 leaves a few thousand of 2^20 weights
 

@@ -161,7 +161,8 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", directory:
 
 
 def token_counts(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All columns of ``docs`` plus tokens, the number of ids of its text (0 for null and empty text)."""
+    """All columns of ``docs`` plus tokens, the number of ids of its text (0 for null and empty text); a column tokens is replaced."""
+    docs = docs.drop("tokens")
     shared = _share(docs.sparkSession, directory, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
