@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewright.llm import abuse, copies, mixing, nearest, tokens
+from tracewright.plans.neutral import neutral_times
 from tracewright.sources.tables import table
 
 
@@ -101,3 +102,5 @@ SQL = {
     "p7_found": _COPIES + "SELECT keep AS keep_row_id, row_id AS copy_row_id FROM g WHERE row_id <> keep",
     "p7_records": _COPIES + "SELECT l.row_id, coalesce(g.n, 1) AS copies FROM ledger l LEFT JOIN g USING (row_id) WHERE g.row_id IS NULL OR g.keep = g.row_id",
 }
+
+neutral_times(QUERIES, SQL, {"p5_priced": "block_time"})
