@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tracewright.functions import cleaning as cl
 from tracewright.operators import address_analytics as aa
 from tracewright.operators import fifo, graph, prices, quality, relational, scoring
+from tracewright.plans.neutral import neutral_times
 from tracewright.plans.views import ACT, ANC, TRA, activity, anchors, transfers
 from tracewright.sources.tables import table
 
@@ -797,3 +798,9 @@ def r13(spark: SparkSession, d: str) -> DataFrame:
 SELECT chain_id, address, DATE '2020-01-02' - max(day) AS silent_days, coalesce(max(gap), 0) AS longest_gap, count(*) AS active_days FROM g GROUP BY ALL""")
 def r10(spark: SparkSession, d: str) -> DataFrame:
     return scoring.dormancy(activity(spark, d), _as_of())
+
+
+neutral_times(QUERIES, SQL, {
+    "w8_final_activity": "ingested_at", "j4_touching": "t", "a1_profiles": "first_seen last_seen", "a4_daily_trend": "day/date", "a8_daily_netflow": "day/date", "a20_refresh_daily": "activity_date/date updated_at", "a35_candles": "bucket",
+    "a36_coverage": "first_minute last_minute", "f5_price_as_of": "minute", "a34_minute_bars": "minute", "a30_edges": "first_t last_t", "g14_merge_edges": "first_t last_t", "g18_timeline": "t",
+})

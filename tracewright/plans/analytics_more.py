@@ -13,6 +13,7 @@ from tracewright.functions import cleaning as cl
 from tracewright.operators import address_analytics as aa
 from tracewright.operators import graph, ledger, prices, relational, scoring
 from tracewright.plans.analytics import _BAL, _DEC, _EDGES, _I, _O, _STATS, _T, _USD, _WAY, _as_of, _conc, _z
+from tracewright.plans.neutral import neutral_times
 from tracewright.plans.views import ACT, ANC, activity, anchors, transfers
 from tracewright.sources.tables import table
 
@@ -41,9 +42,9 @@ def scope(act: DataFrame, chain: int, address: str | None, start: datetime, end:
     return rows if address is None else rows.filter(F.col("address") == address)
 
 
-@query("p17_time_scope", f"WITH {ACT} SELECT activity_id, address, block_time FROM act WHERE chain_id = 56 AND block_time >= TIMESTAMPTZ '2020-01-01 06:00:00+00' AND block_time < TIMESTAMPTZ '2020-01-02 06:00:00+00'")
+@query("p17_time_scope", f"WITH {ACT} SELECT activity_id, address, block_time FROM act WHERE chain_id = 56 AND block_time >= TIMESTAMPTZ '2019-12-31 12:00:00+00' AND block_time < TIMESTAMPTZ '2020-01-01 12:00:00+00'")
 def p17(spark: SparkSession, d: str) -> DataFrame:
-    return scope(activity(spark, d), 56, None, datetime(2020, 1, 1, 6), datetime(2020, 1, 2, 6)).select("activity_id", "address", "block_time")
+    return scope(activity(spark, d), 56, None, datetime(2019, 12, 31, 12), datetime(2020, 1, 1, 12)).select("activity_id", "address", "block_time")
 
 
 _NUM = "coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0)"
@@ -293,3 +294,6 @@ def r11(spark: SparkSession, d: str) -> DataFrame:
     b = aa.assets(activity(spark, d))
     i, o = F.col("in_amount"), F.col("out_amount")
     return b.groupBy("chain_id", "token_address").agg(F.count_if(i > o).alias("holders"), F.count_if((i <= o) & (o > 0)).alias("exited"), F.sum(F.greatest(F.col("balance"), F.lit(0).cast(aa.D18))).cast(aa.D18).alias("held"))
+
+
+neutral_times(QUERIES, SQL, {"p17_time_scope": "block_time", "a31_pair_totals": "pair_first pair_last"})
