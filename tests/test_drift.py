@@ -57,3 +57,40 @@ def test_consistent_table_follows_renames(spark):
     got = {r.file_name: r for r in drift.consistent_table(records(spark, files)).collect()}
     assert [got[f].amount_column for f in "abcd"] == ["A", "A", "A", "Z"]
     assert got["a"].source_columns == ["a"] and got["b"].source_columns == ["a"] and got["c"].source_columns is None
+
+
+def brute(rows):
+    """Changes by direct comparison of neighbouring files, in plain Python."""
+    from collections import defaultdict
+
+    files, saved = defaultdict(dict), {}
+    for r in rows:
+        files[r.workspace, r.file_name][r.rule_no] = {p: (t, v) for p, t, v in drift.flatten_record(r.rule_json) or []}
+        key = (r.workspace, r.file_name)
+        saved[key] = min(r.saved_at, saved.get(key, r.saved_at))
+    order = defaultdict(list)
+    for (w, f), t in saved.items():
+        order[w].append((t, f))
+    out = set()
+    for w, fs in order.items():
+        fs.sort()
+        for (_, a), (_, b) in zip(fs, fs[1:]):
+            old, new = files[w, a], files[w, b]
+            kinds = []
+            for side in (old, new):
+                k = defaultdict(set)
+                for fields in side.values():
+                    for p, (t, _) in fields.items():
+                        k[p].add(t)
+                kinds.append(k)
+            ta, tb = kinds
+            gone, came, both = [p for p in ta if p not in tb], [p for p in tb if p not in ta], [n for n in old if n in new]
+            moved = {(p, q) for p in gone for q in came if ta[p] == tb[q] and any(p in old[n] for n in both) and all(old[n].get(p) == new[n].get(q) for n in both)}
+            out |= {(b, "renamed", p, q) for p, q in moved} | {(b, "removed", p, "") for p in gone if p not in {x for x, _ in moved}} | {(b, "added", "", q) for q in came if q not in {y for _, y in moved}}
+            out |= {(b, "retyped", p, p) for p in ta if p in tb and ta[p] != tb[p]}
+    return out
+
+
+def test_against_brute_force_on_test_table(spark, small_dir):
+    df = spark.read.parquet(f"{small_dir}/custom_rules.parquet")
+    assert set(found(df)) == brute(df.collect())
