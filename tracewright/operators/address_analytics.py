@@ -138,14 +138,19 @@ def counterparties_v2(act: DataFrame, k: int = 5) -> DataFrame:
 
 
 def concentration(act: DataFrame) -> DataFrame:
-    """The share of the largest 1, 5 and 10 counterparties in what came in and went out."""
-    g = act.filter(is_in() | is_out()).groupBy("chain_id", "address", "counterparty_address").agg(zero_sum(F.col("amount"), is_in()).alias("i"), zero_sum(F.col("amount"), is_out()).alias("o"))
-    w = Window.partitionBy("chain_id", "address")
-    r = g.withColumn("ri", F.row_number().over(w.orderBy(F.desc("i"), "counterparty_address"))).withColumn("ro", F.row_number().over(w.orderBy(F.desc("o"), "counterparty_address")))
-    share = lambda v, rank, k: ratio(zero_sum(F.col(v), F.col(rank) <= k), F.nullif(zero_sum(F.col(v)), F.lit(0)))
-    return r.groupBy("chain_id", "address").agg(
-        *[share(v, rank, k).alias(f"top{k}_{name}_share") for v, rank, name in (("i", "ri", "in"), ("o", "ro", "out")) for k in (1, 5, 10)]
-    )
+    """The share of the largest 1, 5 and 10 counterparties in what came in and went out.
+
+    Ranks end at 10, so Spark keeps ten counterparties of an address on the map side; totals are ordinary partial sums. No task sorts a hot address.
+    """
+    from tracewright.operators.relational import top_per_group
+
+    by = ["chain_id", "address"]
+    g = act.filter(is_in() | is_out()).groupBy(*by, "counterparty_address").agg(zero_sum(F.col("amount"), is_in()).alias("i"), zero_sum(F.col("amount"), is_out()).alias("o"))
+    out = g.groupBy(*by).agg(zero_sum(F.col("i")).alias("all_i"), zero_sum(F.col("o")).alias("all_o"))
+    for v, name in (("i", "in"), ("o", "out")):
+        top = top_per_group(g.select(*by, "counterparty_address", v), by, [F.desc(v), "counterparty_address"], 10)
+        out = out.join(top.groupBy(*by).agg(*[zero_sum(F.col(v), F.col("rank") <= k).alias(f"{name}{k}") for k in (1, 5, 10)]), by, "left")
+    return out.select(*by, *[ratio(F.col(f"{name}{k}"), F.nullif(f"all_{v}", F.lit(0))).alias(f"top{k}_{name}_share") for v, name in (("i", "in"), ("o", "out")) for k in (1, 5, 10)])
 
 
 RETENTION_H = (1, 6, 24, 168, 720)

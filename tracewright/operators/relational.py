@@ -24,17 +24,26 @@ def dedup_with_audit(df: DataFrame, identity: Column, order: Sequence[str | Colu
     return keyed.withColumn("copy_no", F.row_number().over(w)).withColumn("kept_id", F.first(row_id).over(w))
 
 
-def asof_left(facts: DataFrame, dims: DataFrame, by: Sequence[str], fact_t: str, dim_t: str, values: Sequence[str], max_age_s: int | None = None) -> DataFrame:
+def asof_left(facts: DataFrame, dims: DataFrame, by: Sequence[str], fact_t: str, dim_t: str, values: Sequence[str], max_age_s: int | None = None, bucket_s: int = 86400) -> DataFrame:
     """Each fact with ``values`` of the last dim row of the same key at or before its time, null if none (or older than ``max_age_s``).
 
-    Facts and dims travel in one stream that is sorted once by key and time; no join, so a key's rows never multiply. A hot key is one
-    window partition, which is sorted externally and read as a stream.
+    Facts and dims travel in one stream sorted by key, time bucket and time; no join, so a key's rows never multiply. The last dim of all
+    earlier buckets enters each bucket as one more row, so a hot key is as many tasks as it has buckets. Of dims at the same time the greatest counts.
     """
     fact_cols = facts.columns
-    f = facts.select(F.struct(*[F.col(c) for c in fact_cols]).alias("__f"), *by, F.col(fact_t).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(dims.select(F.struct(F.col(dim_t).alias("t"), *values)).schema[0].dataType).alias("__d"))
-    g = dims.filter(F.col(dim_t).isNotNull()).select(F.lit(None).cast(f.schema["__f"].dataType).alias("__f"), *by, F.col(dim_t).alias("__t"), F.lit(0).alias("__side"), F.struct(F.col(dim_t).alias("t"), *values).alias("__d"))
-    w = Window.partitionBy(*by).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = f.unionByName(g).withColumn("__last", F.last("__d", ignorenulls=True).over(w)).filter("__side = 1")
+    bucket = lambda c: F.floor(F.unix_micros(F.col(c).cast("timestamp")) / (bucket_s * 1_000_000))
+    d = dims.filter(F.col(dim_t).isNotNull()).groupBy(*by, dim_t).agg(F.max(F.struct(F.col(dim_t).alias("t"), *values)).alias("__d")).withColumn("__b", bucket(dim_t))
+    f = facts.select(F.struct(*[F.col(c) for c in fact_cols]).alias("__f"), *by, F.col(fact_t).alias("__t"), F.lit(1).alias("__side"), F.lit(None).cast(d.schema["__d"].dataType).alias("__d"), bucket(fact_t).alias("__b"))
+    none = F.lit(None).cast(f.schema["__f"].dataType).alias("__f")
+    g = d.select(none, *by, F.col(dim_t).alias("__t"), F.lit(0).alias("__side"), "__d", "__b")
+    # One row per key and bucket.
+    lasts = d.groupBy(*by, "__b").agg(F.max("__d").alias("__d"))
+    wanted = f.filter("__b IS NOT NULL").select(*by, "__b").distinct()
+    seen = lasts.select(*by, "__b", "__d", F.lit(False).alias("__w")).unionByName(wanted.select(*by, "__b", F.lit(None).cast(d.schema["__d"].dataType).alias("__d"), F.lit(True).alias("__w")))
+    earlier = Window.partitionBy(*by).orderBy("__b").rangeBetween(Window.unboundedPreceding, -1)
+    carried = seen.withColumn("__d", F.max("__d").over(earlier)).filter("__w AND __d IS NOT NULL").select(none, *by, F.col("__d.t").alias("__t"), F.lit(-1).alias("__side"), "__d", "__b")
+    w = Window.partitionBy(*by, "__b").orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    out = f.unionByName(g).unionByName(carried).withColumn("__last", F.last("__d", ignorenulls=True).over(w)).filter("__side = 1")
     fresh = F.col("__t").isNotNull()
     if max_age_s is not None:
         fresh = fresh & (F.unix_micros("__t") - F.unix_micros("__last.t") <= max_age_s * 1_000_000)
