@@ -79,15 +79,10 @@ def key_totals(stats: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
         .agg(F.count(F.lit(1)).alias("n"), F.count_if("new_other").alias("partners"), F.sum("tx_count").alias("tx"))
     )
     merged = states.groupBy("role", "key").agg(F.sum("n").alias("current_rows"), F.sum("partners").alias("partners"), F.coalesce(F.sum("tx"), F.lit(0)).alias("tx_count"), F.count(F.lit(1)).alias("chunks"))
-    total = parts.agg(F.sum("n_address").alias("all_rows"))
-    return (
-        merged.filter(is_key(F.col("key")))
-        .crossJoin(F.broadcast(total))  # one row
-        .select(
-            F.when(F.col("role") == 0, ROLES[0]).otherwise(ROLES[1]).alias("role"),
-            F.concat(F.lit("0x"), F.lower(F.hex("key"))).alias("key_address"),
-            "current_rows", "partners", "tx_count", "chunks", "all_rows",
-        )
+    return merged.filter(is_key(F.col("key"))).select(
+        F.when(F.col("role") == 0, ROLES[0]).otherwise(ROLES[1]).alias("role"),
+        F.concat(F.lit("0x"), F.lower(F.hex("key"))).alias("key_address"),
+        "current_rows", "partners", "tx_count", "chunks", parts.agg(F.sum("n_address")).scalar().alias("all_rows"),
     )
 
 

@@ -79,8 +79,7 @@ def keyset_page(df: DataFrame, order: Sequence[str], after: Sequence[object] | N
 
 def offset_page(df: DataFrame, order: Sequence[Column | str], offset: int, size: int) -> DataFrame:
     """A page by offset, each row with the total."""
-    total = df.agg(F.count(F.lit(1)).alias("total_rows"))
-    return df.orderBy(*order).offset(offset).limit(size).crossJoin(F.broadcast(total))  # one row
+    return df.orderBy(*order).offset(offset).limit(size).withColumn("total_rows", df.agg(F.count(F.lit(1))).scalar())
 
 
 def capped(df: DataFrame, order: Sequence[Column | str], limit: int) -> DataFrame:

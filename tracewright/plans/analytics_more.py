@@ -156,8 +156,8 @@ def a32(spark: SparkSession, d: str) -> DataFrame:
 @query("a42_receiver_basis", f"""WITH {_STATS}, r AS (SELECT total_in, row_number() OVER (ORDER BY total_in DESC, node) AS k FROM st) SELECT round(CAST(sum(total_in) FILTER (k <= 10) AS DOUBLE) / CAST(sum(total_in) AS DOUBLE), 6) AS top10_share FROM r""")
 def a42(spark: SparkSession, d: str) -> DataFrame:
     st = graph.node_stats(graph.edges_of(transfers(spark, d)))
-    top = st.orderBy(F.desc("total_in"), "node").limit(10).agg(F.sum("total_in").alias("top"))
-    return st.agg(F.sum("total_in").alias("all")).crossJoin(F.broadcast(top)).select(aa.ratio(F.col("top"), F.col("all")).alias("top10_share"))  # one row each
+    top = st.orderBy(F.desc("total_in"), "node").limit(10).agg(F.sum("total_in")).scalar()
+    return st.agg(F.sum("total_in").alias("all")).select(aa.ratio(top, F.col("all")).alias("top10_share"))
 
 
 @query("f4_resolved_prices", """WITH q AS (SELECT event_id AS id, 'S' || (user_id % 5) AS symbol, ts AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS cid, 'S' || (user_id % 5) AS symbol, ts AS ct, value AS price, 'src' || (event_id % 3) AS source, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM events WHERE event_type = 'view'),
@@ -279,7 +279,7 @@ def w3(spark: SparkSession, d: str) -> DataFrame:
 @query("w6_whole_count", "SELECT chain_id, contract_address, count(*) OVER () AS total FROM token_metadata_registry")
 def w6(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "token_metadata_registry").select("chain_id", "contract_address")
-    return t.crossJoin(F.broadcast(t.agg(F.count(F.lit(1)).alias("total"))))  # a count is one row; a window would put everything into one task
+    return t.withColumn("total", t.agg(F.count(F.lit(1))).scalar())  # a window would put everything into one task
 
 
 @query("g8_typed_edges", f"""WITH {ACT} SELECT address AS src, counterparty_address AS dst, CASE WHEN upper(counterparty_entity_type) = 'CEX' THEN 'CASH_OUT' WHEN upper(counterparty_entity_type) = 'BRIDGE' THEN 'BRIDGE' WHEN upper(counterparty_entity_type) = 'DEX' THEN 'SWAP' ELSE 'TRANSFER' END AS kind, count(*) AS n, {_z('amount')} AS amount FROM act WHERE direction = 'OUT' AND counterparty_address <> '' GROUP BY ALL""")
