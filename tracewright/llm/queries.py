@@ -35,11 +35,11 @@ def p8_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p9_mixture(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.mixture(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.CORPUS)
 
 
 def p9_shares(spark: SparkSession, d: str) -> DataFrame:
-    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    return mixing.shares(table(spark, d, "documents"), table(spark, d, "mix_targets"), mixing.CORPUS)
 
 
 def _scored(spark: SparkSession, d: str) -> DataFrame:
