@@ -59,6 +59,24 @@ def test_consistent_table_follows_renames(spark):
     assert got["a"].source_columns == ["a"] and got["b"].source_columns == ["a"] and got["c"].source_columns is None
 
 
+def test_consistent_table_finds_fields_again_after_a_gap(spark):
+    files = [
+        ("w", "a", {1: {"signature": "s", "source_columns": ["a"], "mapping": {"amount_column": "A"}}}),
+        ("w", "b", {1: {"headerSig": ["s"], "note": "n"}}),  # renamed and retyped at once; the others are away
+        ("w", "c", {1: {"sig": "s", "columns": "a", "mapping": {"amount_col": "A"}}}),
+        ("w", "d", {1: {"sig": "s", "columns": "a", "mapping": {"amount": {"field": "A"}}}, 2: {"mapping": {"amount_col": "B", "amount_column": "A"}}, 3: "no json"}),
+        ("v", "e", {1: {"sig": "s", "columns": ["a"], "amount_column": "A"}}),
+        ("v", "f", {1: {"signature": "s", "columns": ["a"], "mapping": {"amountColumn": "A"}}}),
+    ]
+    got = {(r.file_name, r.rule_no): r for r in drift.consistent_table(records(spark, files)).collect()}
+    assert len(got) == 8
+    for f in "acdef":
+        assert (got[f, 1].signature, got[f, 1].source_columns, got[f, 1].amount_column, got[f, 1].unresolved) == ("s", ["a"], "A", []), f
+    assert got["b", 1].signature == '["s"]' and got["b", 1].unresolved == ["source_columns", "amount_column"]
+    assert got["d", 2].amount_column == "A" and got["d", 2].unresolved == ["signature", "source_columns"]
+    assert got["d", 3].unresolved == ["signature", "source_columns", "amount_column"]
+
+
 def brute(rows):
     """Changes by direct comparison of neighbouring files, in plain Python."""
     from collections import defaultdict

@@ -11,7 +11,7 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -136,9 +136,9 @@ def union_types(rows: DataFrame) -> DataFrame:
 
 #: Canonical fields of the consistent rule table and the paths that have carried them, preferred first.
 CANONICAL = {
-    "signature": ("signature",),
-    "source_columns": ("source_columns",),
-    "amount_column": ("mapping.amount_column",),
+    "signature": ("signature", "header_signature", "headerSig", "sig"),
+    "source_columns": ("source_columns", "srcColumns", "columns", "header.columns"),
+    "amount_column": ("mapping.amount_column", "mapping.amount_col", "mapping.amountColumn", "mapping.amount.field", "amount_column"),
 }
 
 
@@ -164,9 +164,11 @@ def canonical_names(change_rows: DataFrame) -> DataFrame:
 def consistent_table(records: DataFrame) -> DataFrame:
     """All rules in one shape, whatever file they came from: one row per workspace, file and rule with typed branches per canonical field.
 
-    A path that came by renaming counts as the path it was first known by. signature and amount_column are text; source_columns is
-    an array of text (a bare text becomes one element). ``other`` maps every further field to its canonical text and ``tags`` all
-    fields to their types. Records that are no JSON objects have null fields and an empty map.
+    A path that came by renaming counts as the path it was first known by; if that is no path of CANONICAL, the path itself counts, so a
+    field that was away for a file, or was renamed and retyped at once, is found again. Of several the preferred one is taken. signature and
+    amount_column are text; source_columns is an array of text (a bare text becomes one element). ``branches`` lists every field with its
+    type and canonical text, ``unresolved`` the canonical fields that the rule has under no known path. Records that are no JSON objects have
+    null fields and no branches.
     """
     rows = fused(records)
     names = canonical_names(changes(rows))
@@ -174,7 +176,11 @@ def consistent_table(records: DataFrame) -> DataFrame:
     joined = v.join(n, F.col("v.workspace").eqNullSafe(F.col("n.workspace")) & (F.col("v.path") == F.col("n.path")) & (F.col("n.step") <= F.col("v.step")), "left")
     keys = ["v.workspace", "v.step", "v.file_name", "v.rule_no", "v.path", "v.tag", "v.value"]
     known = joined.groupBy(*keys).agg(F.max(F.struct("n.step", "n.name")).alias("b")).withColumn("field", F.coalesce("b.name", "path"))
-    of = lambda name: F.max(F.when(F.col("field").isin(*CANONICAL[name]), F.struct("tag", "value")))
+    def of(name: str) -> Column:
+        paths = F.array(*[F.lit(p) for p in CANONICAL[name]])
+        rank = F.coalesce(*[F.nullif(F.array_position(paths, F.col(c)), F.lit(0)) for c in ("field", "path")])
+        return F.max(F.when(rank.isNotNull(), F.struct((-rank).alias("rank"), "tag", "value")))
+
     wide = known.groupBy("workspace", "step", "file_name", "rule_no").agg(
         of("signature").alias("s"), of("source_columns").alias("c"), of("amount_column").alias("a"),
         F.array_sort(F.collect_set(F.when(F.col("field").isNotNull(), F.struct("field", "tag", "value")))).alias("fields"),
@@ -185,4 +191,5 @@ def consistent_table(records: DataFrame) -> DataFrame:
         F.when(F.col("c.tag") == "array", F.from_json("c.value", "array<string>")).when(F.col("c").isNotNull(), F.array("c.value")).alias("source_columns"),
         F.col("a.value").alias("amount_column"),
         F.to_json(F.transform("fields", lambda x: F.struct(x.field.alias("field"), x.tag.alias("tag"), x.value.alias("value")))).alias("branches"),
+        F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(name)) for c, name in (("s", "signature"), ("c", "source_columns"), ("a", "amount_column"))])).alias("unresolved"),
     )
