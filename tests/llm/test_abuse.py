@@ -60,3 +60,14 @@ def test_documents(spark):
     none = ab.score(docs, labels.limit(0)).collect()
     assert len(none) == 304 and not any(r.abusive for r in none)
     assert ab.score(docs.limit(0), labels).count() == 0
+
+
+def test_cut_does_not_depend_on_the_number_of_documents(spark):
+    rows = corpus(300, 4)
+    docs = spark.createDataFrame([(i, t, "s") for i, t, _ in rows], "doc_id bigint, text string, source string")
+    more = docs.crossJoin(spark.range(20).withColumnRenamed("id", "k")).selectExpr("doc_id + k * 1000 AS doc_id", "text", "source")
+    wrong = [i for i, _, y in rows if y][:6]  # abusive documents labelled as quiet
+    labels = spark.createDataFrame([(i, 0 if i in wrong else y, "c") for i, _, y in rows], "doc_id bigint, is_abusive int, category string")
+    few, many = ({r.doc_id: r for r in ab.score(d, labels).filter("doc_id < 1000").collect()} for d in (docs, more))
+    assert {i: (r.score, r.abusive) for i, r in few.items()} == {i: (r.score, r.abusive) for i, r in many.items()}
+    assert np.mean([many[i].abusive for i, _, y in rows if y]) > 0.9

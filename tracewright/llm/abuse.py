@@ -11,13 +11,15 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.runtime import materialize
+
 #: Hash buckets, and the most labelled documents that are used (a seeded sample of more).
 BUCKETS, MAX_LABELS = 1 << 20, 50_000
 #: Tokens in a window: a passage may be a few words or a sentence. Quiet windows are the longest ones, STRIDE apart.
@@ -156,8 +158,8 @@ FOLDS = 3
 
 
 def choose_cut(scores: list[tuple[float, int]], stands_for: float) -> tuple[float, float]:
-    """(cut, F1) of held-out (logit, label) pairs. A quiet labelled document stands for ``stands_for`` documents of the corpus, so a false
-    alarm weighs as many; the cut lies in the gap below the lowest score that is worth flagging, nearer to that score."""
+    """(cut, F1) of held-out (logit, label) pairs. A quiet labelled document stands for ``stands_for`` times as many documents as an
+    abusive one, so a false alarm weighs as many hits; the cut lies in the gap below the lowest score that is worth flagging, nearer to that score."""
     ranked = sorted(scores, reverse=True)
     total, hits, alarms, best, at = sum(y for _, y in ranked), 0, 0.0, 0.0, None
     for k, (s, y) in enumerate(ranked):
@@ -172,16 +174,20 @@ def choose_cut(scores: list[tuple[float, int]], stands_for: float) -> tuple[floa
     return low - 0.25 * (low - below), best
 
 
-def train(labelled: list[tuple[np.ndarray, int]], corpus: int | None = None, seed: int = 7) -> tuple[np.ndarray, float, dict[str, float]]:
+def train(labelled: list[tuple[np.ndarray, int]], rate: Callable[[np.ndarray], float] | None = None, seed: int = 7) -> tuple[np.ndarray, float, dict[str, float]]:
     """(weights with the intercept last, logit from which a document counts as abusive, held-out figures).
 
-    Every document is scored once by a model that hasn't seen it, and those scores choose the cut for a ``corpus`` of so many documents; then
-    all are used. Without both classes nothing is abusive.
+    All labels give the weights. Every labelled document is also scored once by a model that hasn't seen it, and those scores choose the cut.
+    ``rate`` gives the share of abusive documents where the weights will be used; both classes then weigh what they stand for there,
+    whatever the number of documents. Without it, or if it gives 0 or 1, the classes weigh as they are labelled. Without both classes
+    nothing is abusive.
     """
     docs = [(features(h), y) for h, y in labelled]
     pos, neg = [f for f, y in docs if y], [f for f, y in docs if not y]
     if not pos or not neg:
         return np.zeros(0, np.float32), 0.0, {"held_out": 0.0}
+    weights = _fit(pos, neg, seed=seed)
+    share = rate(weights) if rate else 0.0
     fold = np.random.default_rng(seed).permutation(len(docs)) % FOLDS
     held = []
     for k in range(FOLDS):
@@ -189,8 +195,9 @@ def train(labelled: list[tuple[np.ndarray, int]], corpus: int | None = None, see
         if p and n:
             model = _fit(p, n, seed=seed)
             held += [(document_logit(model, f), y) for i, (f, y) in enumerate(docs) if fold[i] == k]
-    cut, f1 = choose_cut(held, max(1.0, (corpus or len(docs)) / len(docs)))
-    return _fit(pos, neg, seed=seed), cut, {"held_out": float(len(held)), "f1": f1, "cut": cut}
+    stands_for = (1 - share) / len(neg) / (share / len(pos)) if 0 < share < 1 else 1.0
+    cut, f1 = choose_cut(held, stands_for)
+    return weights, cut, {"held_out": float(len(held)), "f1": f1, "cut": cut, "stands_for": stands_for}
 
 
 def labelled_hashes(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS, seed: int = 7) -> list[tuple[np.ndarray, int]]:
@@ -207,12 +214,8 @@ def labelled_hashes(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LA
     return [(np.array(r.h, np.int64), int(r.y > 0)) for r in sorted(rows, key=lambda r: r.doc_id)]
 
 
-def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
-    """(doc_id, source, score, abusive) of every document; score is the highest window's probability, relative to the cut.
-
-    Null, empty and blank texts score 0. Whole texts are scored, whatever their length; repeated documents each have their row.
-    """
-    model, cut, _ = train(labelled_hashes(docs, labels, max_labels), docs.count())
+def document_logits(docs: DataFrame, model: np.ndarray) -> DataFrame:
+    """(doc_id, source, logit) of every document; a text without tokens has minus infinity."""
     used = np.flatnonzero(model)
     shared = docs.sparkSession.sparkContext.broadcast((used.astype(np.int32), model[used], len(model)))  # L1 leaves a few thousand of 2^20 weights
 
@@ -221,12 +224,29 @@ def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> D
         dense = np.zeros(n, np.float32)
         dense[at] = values
         for b in batches:
-            logits = np.array([document_logit(dense, features(h)) - cut if len(h := token_hashes(t)) else -np.inf for t in b["text"]])
-            p = 1 / (1 + np.exp(-np.clip(logits, -35, 35)))
-            p[np.isneginf(logits)] = 0.0
-            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "score": p, "abusive": logits >= 0})
+            logits = np.array([document_logit(dense, features(h)) if len(h := token_hashes(t)) else -np.inf for t in b["text"]], np.float64)
+            yield pd.DataFrame({"doc_id": b["doc_id"], "source": b["source"], "logit": logits})
+
+    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, logit double")
+
+
+def score(docs: DataFrame, labels: DataFrame, max_labels: int = MAX_LABELS) -> DataFrame:
+    """(doc_id, source, score, abusive) of every document; score is the highest window's probability, relative to the cut.
+
+    Null, empty and blank texts score 0. Whole texts are scored, whatever their length; repeated documents each have their row. All
+    documents are scored once before the cut is chosen: the share of those with text that the model itself takes for abusive weighs the classes.
+    """
+    scored = []
+
+    def rate(model: np.ndarray) -> float:
+        scored.append(materialize(document_logits(docs, model), "logits"))
+        return scored[0].filter(F.col("logit") > float("-inf")).agg(F.avg((F.col("logit") >= 0).cast("double"))).first()[0] or 0.0
 
-    return docs.select("doc_id", "source", "text").mapInPandas(run, "doc_id bigint, source string, score double, abusive boolean")
+    model, cut, _ = train(labelled_hashes(docs, labels, max_labels), rate)
+    logits = scored[0] if scored else document_logits(docs, model)
+    above = F.col("logit") - F.lit(float(cut))
+    p = F.when(F.col("logit") > float("-inf"), 1 / (1 + F.exp(-F.greatest(F.least(above, F.lit(35.0)), F.lit(-35.0))))).otherwise(0.0)
+    return logits.select("doc_id", "source", p.alias("score"), (above >= 0).alias("abusive"))
 
 
 def rates(scored: DataFrame) -> DataFrame:
