@@ -75,3 +75,13 @@ def test_dictionary_grows_only_by_what_is_new(spark):
     book = ins.InstantDictionary(spark).extend(mk("2024-01-01", "2024-01-02", "2024-01-01"), profiles)
     book.extend(mk("2024-01-02", "2024-01-03", "nothing"), profiles)
     assert sorted(r.raw for r in book.entries().collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+
+
+def test_dictionary_is_reopened_where_it_was_kept(spark, tmp_path):
+    profiles = spark.createDataFrame([("s", "UTC", "YMD")], "data_source string, zone_id string, date_order string")
+    mk = lambda *t: spark.createDataFrame([("s", x) for x in t], "source string, raw string")
+    path = f"file://{tmp_path}/book"
+    ins.InstantDictionary(spark, path).extend(mk("2024-01-01", "2024-01-02"), profiles)
+    again = ins.InstantDictionary(spark, path).extend(mk("2024-01-02", "2024-01-03"), profiles)
+    assert sorted(r.raw for r in again.entries().collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+    assert again.resolve(mk("2024-01-02", "2024-01-01")).count() == 2

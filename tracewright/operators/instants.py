@@ -138,7 +138,9 @@ class InstantDictionary:
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or table_path(spark, "instants")
-        self.written = False
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        self.written = fs.exists(folder) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(folder))
 
     def entries(self) -> DataFrame:
         return self.spark.read.schema("source string, raw string, instant timestamp").parquet(self.path)
