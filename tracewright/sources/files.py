@@ -6,15 +6,24 @@ import csv
 import hashlib
 import io
 import os
+import re
 import zipfile
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tracewright.operators.ledger import ALIASES, CANONICAL
+from tracewright.operators.relational import dense_index
+from tracewright.runtime import file_system, skew_safe_lookup
+from tracewright.sources import xlsx
 
-SNIFF_BYTES = 1 << 16
+#: How much of a file is read to find its encoding, separator and header, and among how many records the header is looked for.
+SNIFF_BYTES, HEADER_ROWS = 1 << 16, 20
 ENCODINGS = ("utf-8-sig", "gb18030", "utf-16")
 SEPARATORS = (",", "\t", ";", "|")
 #: Words in file names and headers by provider.
@@ -54,36 +63,133 @@ def header_row(rows: Sequence[Sequence[str]]) -> int:
     return max(range(len(rows)), key=lambda i: (header_score(rows[i]), -i)) if rows else 0
 
 
-def read_delimited(spark: SparkSession, path: str, head: bytes | None = None) -> DataFrame:
-    """SC2: all columns as text; encoding, separator and header found from the first bytes, data read by Spark."""
-    if head is None:
-        head = bytes(spark.read.format("binaryFile").load(path).select(F.substring("content", 1, SNIFF_BYTES)).first()[0])
+@dataclass(frozen=True)
+class Layout:
+    """How a text file is written: encoding, separator, column names, and the number of records up to its header, the header included."""
+
+    encoding: str
+    sep: str
+    names: tuple[str, ...]
+    skip: int
+
+
+def head_bytes(spark: SparkSession, path: str, n: int = SNIFF_BYTES) -> bytes:
+    """The first bytes of a file of any file system; nothing else of it is read."""
+    fs, at = file_system(spark, path)
+    stream = fs.open(at)
+    try:
+        return bytes(stream.readNBytes(n))
+    finally:
+        stream.close()
+
+
+def layout_of(head: bytes, header_rows: int = HEADER_ROWS) -> Layout:
+    """The layout from the first bytes: the header is the best of the first ``header_rows`` records that aren't blank."""
     encoding, sep = sniff(head)
-    rows = list(csv.reader(io.StringIO(head.decode(encoding, "replace")), delimiter=sep))[:20]
+    rows = [r for r in csv.reader(io.StringIO(head.decode(encoding, "replace").lstrip("\ufeff")), delimiter=sep) if r][:header_rows]
     at = header_row(rows)
+    return Layout(encoding, sep, tuple(layout_names(rows[at] if rows else [])) or ("column_1",), at + 1 if rows else 0)
+
+
+def layout_names(headers: Sequence[str]) -> list[str]:
+    """Column names of a header: cleaned, numbered where blank, and told apart where repeated."""
     names, seen = [], {}
-    for i, h in enumerate(rows[at] if rows else []):
+    for i, h in enumerate(headers):
         h = normal_header(h) or f"column_{i + 1}"
         seen[h] = seen.get(h, 0) + 1
         names.append(h if seen[h] == 1 else f"{h}_{seen[h]}")
-    java = {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}[encoding]
-    schema = ", ".join(f"`{n}` string" for n in names) or "column_1 string"
-    if java == "GB18030":
-        spark.conf.set("spark.sql.legacy.javaCharsets", "true")  # Spark's own list of encodings lacks it
-    df = spark.read.option("sep", sep).option("encoding", java).option("multiLine", encoding == "utf-16").option("mode", "PERMISSIVE").option("escape", '"').schema(schema).csv(path)
-    # The header and what stands above it are lines of the file; they are known by their text.
-    first = names[0] if names else "column_1"
-    above = [r[0] if r else None for r in rows[: at + 1]]
-    return df.filter(~F.coalesce(F.trim(F.translate(F.col(f"`{first}`"), "﻿", "")).isin([normal_header(x) for x in above if x]), F.lit(False)))
+    return names
+
+
+def _reader(spark: SparkSession, layout: Layout, multi_line: bool) -> DataFrameReader:
+    java = {"utf-8-sig": "UTF-8", "gb18030": "GB18030", "utf-16": "UTF-16", "latin-1": "ISO-8859-1"}[layout.encoding]
+    if java == "GB18030" and spark.conf.get("spark.sql.legacy.javaCharsets", "false") != "true":
+        raise ValueError("GB18030 text needs spark.sql.legacy.javaCharsets=true, as in tracewright.runtime.session")
+    schema = ", ".join(f"`{n}` string" for n in layout.names)
+    return spark.read.option("sep", layout.sep).option("encoding", java).option("multiLine", multi_line or java == "UTF-16").option("mode", "PERMISSIVE").option("escape", '"').schema(schema)
+
+
+def read_delimited(spark: SparkSession, path: str, head: bytes | None = None, multi_line: bool = True) -> DataFrame:
+    """SC2: all columns of one file as text; encoding, separator and header found from the first bytes, data read by Spark.
+
+    The header and what stands above it are dropped by their position, so a data record that looks like them stays. A quoted field may hold
+    line breaks; a file that has none may be read in parallel pieces with ``multi_line=False``.
+    """
+    layout = layout_of(head_bytes(spark, path) if head is None else head)
+    df = _reader(spark, layout, multi_line).csv(path)
+    # A piece of one file is a partition of its own, read in order; the header is in the piece that begins the file.
+    numbered = df.select("*", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1).alias("__at"), F.col("_metadata.file_block_start").alias("__from"))
+    return numbered.filter((F.col("__from") > 0) | (F.col("__at") >= layout.skip)).drop("__at", "__from")
 
 
 def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """SC5, SC6: several text files by column name, missing columns null."""
-    out = None
+    """SC5: several text files by column name, missing columns null, with src_file. Files of the same layout are one scan.
+
+    Of each file only the first bytes are read on the driver. Headers are dropped while the files stream through, by position in their file.
+    """
+    groups: dict[tuple, list[tuple[str, int]]] = {}
     for p in paths:
-        df = read_delimited(spark, p).withColumn("src_file", F.lit(os.path.basename(p)))
-        out = df if out is None else out.unionByName(df, allowMissingColumns=True)
-    return out
+        x = layout_of(head_bytes(spark, p))
+        groups.setdefault((x.encoding, x.sep, x.names), []).append((p, x.skip))
+    parts = []
+    for (encoding, sep, names), files in groups.items():
+        skips = {os.path.basename(p): k for p, k in files}
+        if len(skips) < len(files):
+            raise ValueError("files of one call need different names")
+        df = _reader(spark, Layout(encoding, sep, names, 0), True).csv([p for p, _ in files]).select("*", F.col("_metadata.file_name").alias("src_file"))
+        parts.append(df.mapInArrow(_without_heads(skips), df.schema))
+    if not parts:
+        raise ValueError("no files")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _without_heads(skips: Mapping[str, int]) -> Callable[[Iterator], Iterator]:
+    def run(batches: Iterator) -> Iterator:
+        from urllib.parse import unquote
+
+        import numpy as np
+
+        seen: dict[str, int] = {}
+        for b in batches:
+            names = b.column("src_file").to_numpy(zero_copy_only=False)
+            at = np.arange(len(names))
+            starts = np.flatnonzero(np.r_[True, names[1:] != names[:-1]]) if len(names) else at
+            keep = np.ones(len(names), dtype=bool)
+            for i, j in zip(starts, [*starts[1:], len(names)]):
+                done = seen.get(names[i], 0)
+                skip = skips.get(names[i], skips.get(unquote(names[i]), 0))
+                keep[i : min(j, i + max(0, skip - done))] = False
+                seen[names[i]] = done + j - i
+            yield b.filter(pa_array(keep))
+
+    def pa_array(x: object) -> object:
+        import pyarrow as pa
+
+        return pa.array(x)
+
+    return run
+
+
+def read_workbooks(spark: SparkSession, paths: Sequence[str], header_rows: int = HEADER_ROWS) -> DataFrame:
+    """SC6: all sheets of several workbooks by column name, missing columns null, with src_file, src_sheet and src_row (1 is the sheet's first row).
+
+    Each sheet's header is the best of its first ``header_rows`` rows; it and the rows above are left out. Sheets without any cell give nothing.
+    """
+    spark.dataSource.register(xlsx.XlsxSource)
+    parts = []
+    for p in paths:
+        book = spark.read.format("xlsx_text").load(p)
+        for sheet, member in xlsx.sheets(p):
+            first = list(islice(xlsx.rows(p, member), header_rows))
+            if not any(first):
+                continue
+            at = header_row([[x or "" for x in r] for r in first])
+            names = layout_names([x or "" for x in first[at]])
+            cols = [F.col(f"c{i + 1}").alias(n) for i, n in enumerate(names)]
+            parts.append(book.filter((F.col("sheet") == sheet) & (F.col("row_no") > at + 1)).select(*cols, F.lit(os.path.basename(p)).alias("src_file"), F.col("sheet").alias("src_sheet"), F.col("row_no").alias("src_row")))
+    if not parts:
+        raise ValueError("no sheets")
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def read_lake(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -125,29 +231,41 @@ def classify(name: str, rows: Sequence[Sequence[str]]) -> dict:
     return {"kind": kind, "header_row": at, "provider": provider_of(name, headers), "hits": hits}
 
 
-def scan_folder(root: str) -> list[dict]:
-    """SC1: every text file below ``root``, classified by its first bytes only."""
-    out = []
-    for folder, _, names in os.walk(root):
-        for n in sorted(names):
-            if n.lower().rsplit(".", 1)[-1] in ("csv", "tsv", "txt"):
-                p = os.path.join(folder, n)
-                with open(p, "rb") as f:
-                    head = f.read(SNIFF_BYTES)
-                encoding, sep = sniff(head)
-                rows = list(csv.reader(io.StringIO(head.decode(encoding, "replace")), delimiter=sep))[:20]
-                out.append({"path": p, **classify(n, rows)})
-    return sorted(out, key=lambda x: x["path"])
+def scan_folder(spark: SparkSession, root: str) -> list[dict]:
+    """SC1: every text file and every sheet of every workbook below ``root`` (any file system), classified by its first bytes or rows only."""
+    fs, at = file_system(spark, root)
+    listing, paths, out = fs.listFiles(at, True), [], []
+    while listing.hasNext():
+        paths.append(listing.next().getPath().toString())
+    for p in sorted(paths):
+        name = os.path.basename(p)
+        kind = name.lower().rsplit(".", 1)[-1]
+        if kind in ("csv", "tsv", "txt"):
+            encoding, sep = sniff(head := head_bytes(spark, p))
+            rows = list(csv.reader(io.StringIO(head.decode(encoding, "replace")), delimiter=sep))[:HEADER_ROWS]
+            out.append({"path": p, "sheet": None, **classify(name, rows)})
+        elif kind in ("xlsx", "xlsm"):
+            for sheet, member in xlsx.sheets(p):
+                rows = [[x or "" for x in r] for r in islice(xlsx.rows(p, member), HEADER_ROWS)]
+                out.append({"path": p, "sheet": sheet, **classify(f"{name} {sheet}", rows)})
+    return out
 
 
 def same_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Files with the same bytes: (path, length, sha256, kept); only files of equal length are read."""
-    listing = spark.read.format("binaryFile").load(list(paths))
-    sizes = listing.select("path", "length").groupBy("length").agg(F.count(F.lit(1)).alias("n"))
-    digest = F.when(F.col("n") > 1, F.sha2("content", 256))
-    hashed = listing.join(F.broadcast(sizes), "length").select("path", "length", digest.alias("sha256"))  # one row per file length
-    kept = F.min("path").over(__import__("pyspark.sql.window", fromlist=["Window"]).Window.partitionBy("length", "sha256"))
-    return hashed.withColumn("kept", F.when(F.col("sha256").isNull(), F.col("path")).otherwise(kept))
+    """Files with the same bytes: (path, length, sha256, kept). Lengths come from a listing; only files of equal length are read."""
+    listing = []
+    for p in paths:
+        fs, at = file_system(spark, p)
+        listing.append((fs.getFileStatus(at).getPath().toString(), int(fs.getFileStatus(at).getLen())))
+    sizes: dict[int, int] = {}
+    for _, n in listing:
+        sizes[n] = sizes.get(n, 0) + 1
+    twins = [p for p, n in listing if sizes[n] > 1]
+    files = spark.createDataFrame(listing, "path string, length bigint")
+    hashed = spark.read.format("binaryFile").load(twins).select("path", F.sha2("content", 256).alias("sha256")) if twins else spark.createDataFrame([], "path string, sha256 string")
+    both = files.join(hashed, "path", "left")
+    kept = F.min("path").over(Window.partitionBy("length", "sha256"))
+    return both.withColumn("kept", F.when(F.col("sha256").isNull(), F.col("path")).otherwise(kept))
 
 
 def normal_name(text: str) -> str:
@@ -177,10 +295,53 @@ def auto_map(headers: Sequence[str], least: int = 45) -> dict[str, str]:
     return out
 
 
-def address_list(df: DataFrame, column: str) -> DataFrame:
-    """SC16: distinct valid addresses of a text column in lower case, with how often each occurred."""
-    a = F.lower(F.trim(column))
-    return df.select(a.alias("address")).filter(F.col("address").rlike("^0x[0-9a-f]{40}$")).groupBy("address").agg(F.count(F.lit(1)).alias("n"))
+def address_column(columns: Sequence[str], rows: Sequence[Sequence[str | None]]) -> str | None:
+    """SC16: the column that holds addresses: the one with most of them among the first rows, then the one whose name says so."""
+    words = ("address", "wallet", "地址", "钱包")
+    hits = lambda i: sum(1 for r in rows if re.fullmatch("0x[0-9a-fA-F]{40}", (r[i] or "").strip()))
+    best = max(range(len(columns)), key=lambda i: (hits(i), any(w in columns[i].lower() for w in words), -i), default=None)
+    return columns[best] if best is not None and (hits(best) or any(w in columns[best].lower() for w in words)) else None
+
+
+def address_list(df: DataFrame, column: str | None = None, look: int = 100) -> tuple[DataFrame, DataFrame]:
+    """SC16: (distinct valid addresses in lower case with how often each occurred, one row of counts: rows, valid, invalid, blank, repeated).
+
+    Without ``column`` it is found from the first ``look`` rows; ValueError if there is none.
+    """
+    if column is None:
+        texts = df.select(*[F.col(f"`{c}`").cast("string") for c in df.columns])
+        column = address_column(df.columns, [tuple(r) for r in texts.limit(look).collect()])
+        if column is None:
+            raise ValueError("no column holds addresses")
+    a = F.lower(F.trim(F.col(f"`{column}`")))
+    good = F.coalesce(a.rlike("^0x[0-9a-f]{40}$"), F.lit(False))
+    per = df.select(F.when(good, a).alias("address"), (F.coalesce(a, F.lit("")) == "").alias("blank")).groupBy("address", "blank").agg(F.count(F.lit(1)).alias("n"))
+    held = F.col("address").isNotNull()
+    z = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
+    counts = per.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"), z(held).alias("valid"), z(~held & ~F.col("blank")).alias("invalid"), z(F.col("blank")).alias("blank"), (z(held) - F.count("address")).alias("repeated"))
+    return per.filter(held).select("address", "n"), counts
+
+
+#: The columns of a monthly archive of one-minute candles; the first is epoch milliseconds (16 digits: microseconds).
+CANDLE = ("open_time", "open", "high", "low", "close", "volume_base", "close_time", "volume_quote", "trade_count", "taker_base", "taker_quote", "ignored")
+
+
+def read_price_archive(spark: SparkSession, path: str, to: str, chain_id: int, symbol: str, quote_symbol: str, checksum: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """SC17: (minutes, rejected lines) of a zipped archive of one-minute candles; ValueError if its SHA-256 isn't ``checksum``.
+
+    Valid: a whole minute, 0 < low <= open, close <= high. A header line is one of the rejected.
+    """
+    if checksum is not None and sha256_file(path) != checksum.lower().split()[0]:
+        raise ValueError(f"checksum of {os.path.basename(path)} differs")
+    raw = spark.read.schema(", ".join(f"{c} string" for c in CANDLE)).csv(["file://" + p for p in expand_zip(path, to)])
+    at = F.col("open_time").try_cast("bigint")
+    price = {c: F.col(c).try_cast("decimal(38,18)").alias(c) for c in ("open", "high", "low", "close", "volume_base", "volume_quote")}
+    typed = raw.select(
+        F.lit(chain_id).alias("chain_id"), F.lit(symbol).alias("symbol"), F.lit(quote_symbol).alias("quote_symbol"), F.when(F.length("open_time") >= 16, F.timestamp_micros(at)).otherwise(F.timestamp_millis(at)).alias("minute"),
+        *price.values(), F.col("trade_count").try_cast("bigint").alias("trade_count"), F.col("_metadata.file_name").alias("source_file"), F.concat_ws(",", *CANDLE).alias("line"),
+    )
+    ok = F.coalesce((F.date_trunc("minute", "minute") == F.col("minute")) & (F.col("low") > 0) & F.col("open").between(F.col("low"), F.col("high")) & F.col("close").between(F.col("low"), F.col("high")), F.lit(False))
+    return typed.filter(ok).drop("line"), typed.filter(~ok).select("source_file", "line")
 
 
 def new_minutes(archive: DataFrame, existing: DataFrame) -> DataFrame:
@@ -192,23 +353,48 @@ def new_minutes(archive: DataFrame, existing: DataFrame) -> DataFrame:
 #: Known ledger exports of chain explorers: header of each field; a time header ending in (ms) is epoch milliseconds.
 DIALECTS = {
     "ledger10": {"block": "区块高度", "time": "UTC时间", "hash": "交易哈希", "index": "logIndex", "token": "代币地址", "symbol": "代币符号", "from": "发送方", "to": "接收方", "value": "数量"},
+    "transfer9": {"block": "区块高度", "time": "UTC时间", "hash": "交易哈希", "token": "代币地址", "symbol": "代币符号", "from": "发送方", "to": "接收方", "value": "数量"},
     "transfer_ms": {"block": "区块高度", "time": "交易时间(ms)", "hash": "交易哈希", "from": "From", "to": "To", "value": "金额", "symbol": "币种", "token": "代币合约"},
-    "tx": {"block": "区块高度", "time": "UTC时间", "hash": "交易哈希", "from": "发送方", "to": "接收方", "value": "数量", "fee": "手续费", "status": "交易状态"},
+    "tx9": {"block": "区块高度", "time": "UTC时间", "hash": "交易哈希", "from": "发送方", "to": "接收方", "value": "数量", "fee": "手续费", "status": "交易状态"},
+    "tx11": {"block": "区块高度", "time": "UTC时间", "hash": "交易哈希", "from": "发送方", "to": "接收方", "value": "数量", "fee": "手续费", "status": "交易状态", "method": "方法ID", "nonce": "Nonce"},
     "tx_ms": {"block": "区块高度", "time": "交易时间(ms)", "hash": "交易哈希", "from": "From", "to": "To", "value": "金额", "fee": "手续费", "status": "状态", "method": "方法ID"},
 }
+#: Where the synthetic indexes of rows without a log index begin.
+SYNTHETIC = 1_000_000
+
+
+def dialect_of(columns: Sequence[str]) -> str | None:
+    """SC14: the dialect with the most headers of which all are there."""
+    have = set(columns)
+    full = [(len(names), d) for d, names in DIALECTS.items() if set(names.values()) <= have]
+    return max(full)[1] if full else None
+
 
+def ledger_dialect(df: DataFrame, dialect: str, decimals: DataFrame | None = None) -> DataFrame:
+    """SC14, P37: an explorer export as typed transfers, with reject_reason for rows whose block, time or value can't be read.
 
-def ledger_dialect(df: DataFrame, dialect: str) -> DataFrame:
-    """SC14, P37: an explorer export as typed transfers, with reject_reason for rows whose block, time or value can't be read."""
+    A row without a readable log index gets a synthetic one: dense over the distinct (from, to, value) of its transaction and token, from
+    SYNTHETIC on, so that different transfers of a transaction have different event keys and a repeated row has the same one.
+    ``decimals`` (token_address, decimals) gives value_raw, the value in the token's base units rounded half up; null for unknown tokens.
+    """
     names = DIALECTS[dialect]
     c = lambda k: F.trim(F.col(f"`{names[k]}`")) if k in names and names[k] in df.columns else F.lit(None).cast("string")
     t = F.timestamp_millis(c("time").try_cast("bigint")) if names["time"].endswith("(ms)") else F.try_to_timestamp(c("time"), F.lit("yyyy/MM/dd HH:mm:ss"))
-    value = F.regexp_replace(c("value"), ",", "").try_cast("decimal(38,18)")
+    text = F.regexp_replace(c("value"), ",", "")
+    value = F.when(text.rlike("[eE]"), text.try_cast("double").try_cast("decimal(38,18)")).otherwise(text.try_cast("decimal(38,18)"))
     out = df.select(
-        c("block").try_cast("bigint").alias("block_number"), t.alias("block_time"), F.lower(c("hash")).alias("tx_hash"), F.coalesce(c("index").try_cast("int"), F.lit(0)).alias("log_index"), F.lower(c("token")).alias("token_address"), c("symbol").alias("token_symbol"),
+        c("block").try_cast("bigint").alias("block_number"), t.alias("block_time"), F.lower(c("hash")).alias("tx_hash"), c("index").try_cast("int").alias("log_index"), F.lower(c("token")).alias("token_address"), c("symbol").alias("token_symbol"),
         F.lower(c("from")).alias("from_address"), F.lower(c("to")).alias("to_address"), value.alias("value"), c("fee").try_cast("decimal(38,18)").alias("fee"), c("status").alias("status"), c("method").alias("method_id"),
     )
-    return out.withColumn("reject_reason", F.when(F.col("block_number").isNull(), "bad_block").when(F.col("block_time").isNull(), "bad_time").when(F.col("value").isNull(), "bad_value"))
+    reason = F.when(F.col("block_number").isNull(), "bad_block").when(F.col("block_time").isNull(), "bad_time").when(F.col("value").isNull(), "bad_value")
+    indexed = dense_index(out, ["tx_hash", "token_address"], ["from_address", "to_address", "value"], SYNTHETIC)
+    out = indexed.withColumn("log_index", F.coalesce("log_index", "synthetic_index")).drop("synthetic_index")
+    if decimals is not None:
+        d = decimals.select(F.lower("token_address").alias("token_address"), F.col("decimals").cast("int").alias("__d")).groupBy("token_address").agg(F.min("__d").alias("__d"))
+        out = skew_safe_lookup(out, d, ["token_address"], ["__d"])
+        raw = F.when(F.col("__d").between(0, 18), F.round(F.col("value") * F.pow(F.lit(10), F.col("__d")).cast("decimal(19,0)"), 0).try_cast("decimal(38,0)"))
+        out = out.withColumn("value_raw", raw).drop("__d")
+    return out.withColumn("reject_reason", reason)
 
 
 def sha256_file(path: str) -> str:
