@@ -55,5 +55,19 @@ def test_strict_load_never_contradicts_the_reader(spark):
             assert [valid[i][c] for c in rj.FIELDS] == fields
 
 
+def test_values_do_not_depend_on_the_path_they_take(spark, monkeypatch):
+    outer = "\u00a0\u3000\u2003\x85 "
+    texts = [(line((4, f"{outer}name{outer}"), (1, f"{outer}5{outer}"), (0, f"{outer}2024/1/2 3:04\u2009")), ","), (line((4, f'"{outer}q""r{outer}"')).replace('"""', '"'), ","), (line((4, "\x1cname\x1c")), ",")]
+    short, _ = load(spark, texts)
+    monkeypatch.setattr(rj, "STRICT_CHARS", 0)  # everything goes through the full reader
+    long, _ = load(spark, texts)
+    assert set(short) == set(long) == {0, 1, 2}
+    assert {i: [short[i][c] for c in rj.FIELDS] for i in short} == {i: [long[i][c] for c in rj.FIELDS] for i in long}
+    assert short[0].cp_name == "name" and short[1].cp_name == 'q"r' and short[2].cp_name == "\x1cname\x1c"
+    wide = line((4, f"{outer}{'n' * 70_000}{outer}"))
+    monkeypatch.undo()
+    assert load(spark, [(wide, ",")])[0][0].cp_name == "n" * 70_000
+
+
 def test_empty(spark):
     assert load(spark, []) == ({}, {})

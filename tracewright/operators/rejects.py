@@ -14,10 +14,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.runtime import materialize
+
 FIELDS = ("time", "amount", "direction", "account_no", "cp_name", "summary", "txn_serial", "balance")
 REASONS = ("broken_quoting", "column_count", "bad_time", "bad_amount", "bad_direction")
 #: Words and signs of a direction.
-DIRECTIONS = "进 出 借 贷 借方 贷方 收入 支出 转入 转出 入账 出账 收 支 存 取 入 D C O + -".split()
+DIRECTIONS = ("进", "出", "借", "贷", "借方", "贷方", "收入", "支出", "转入", "转出", "入账", "出账", "收", "支", "存", "取", "入", "D", "C", "O", "+", "-")
 TIME = (
     r"^(\d{4})-(\d{2})-(\d{2}) (\d{2}):(\d{2}):(\d{2})$",
     r"^(\d{4})/(\d{1,2})/(\d{1,2}) (\d{1,2}):(\d{2})(?::(\d{2}))?$",
@@ -25,8 +27,12 @@ TIME = (
     r"^(\d{4})年(\d{1,2})月(\d{1,2})日 ?(\d{1,2})时(\d{1,2})分(\d{1,2})秒$",
 )
 AMOUNT = r"^[+-]?[￥¥]?(?:[0-9]{1,3}(?:,[0-9]{3})+|[0-9]+)(?:\.[0-9]+)?元?$"
-_SPACE = r"^[\s　]+|[\s　]+$"
-#: The strict load leaves records that are longer or have more quotes to the full reader, which loads them too if they conform.
+#: Outer spaces of a value: the white space of Unicode, one class for the strict load, the full reader and SQL.
+SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+_SPACE = f"^[{SPACES}]+|[{SPACES}]+$"
+_OUTER = re.compile(f"^[{SPACES}]+|[{SPACES}]+\\Z")
+#: The strict load leaves records that are longer or have more quotes to the full reader, so that its patterns never work on long text;
+#: the reader loads them just the same if they conform.
 STRICT_CHARS, STRICT_QUOTES = 1 << 16, 64
 _CUT = "\x01"
 
@@ -83,7 +89,7 @@ def diagnose(text: str | None, sep: str | None) -> tuple[str | None, list[str]]:
     fields = split_record(text, sep)
     if fields is None:
         return "broken_quoting", []
-    fields = [re.sub(r"^[\s　]+|[\s　]+$", "", f) for f in fields]
+    fields = [_OUTER.sub("", f) for f in fields]
     if len(fields) != len(FIELDS):
         return "column_count", []
     if not _real_time(fields[0]):
@@ -138,8 +144,11 @@ def diagnosed(lines: DataFrame, loaded: DataFrame) -> DataFrame:
 
 
 def load_with_rejects(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid rows, rejected rows with reason): together every line_id once. Further columns are ignored; an empty table gives two empty ones."""
+    """(valid rows, rejected rows with reason): together every line_id once. Further columns are ignored; an empty table gives two empty ones.
+
+    What the strict load leaves is diagnosed once and written; both results read it.
+    """
     loaded = strict_load(lines)
-    rest = diagnosed(lines, loaded)
+    rest = materialize(diagnosed(lines, loaded), "rejects")
     valid = loaded.unionByName(rest.filter("reason is null").select("line_id", *FIELDS))
     return valid, rest.filter("reason is not null").select("line_id", "reason")

@@ -97,7 +97,7 @@ SQL = {
 
 # A field is quoted or has no quote; the separator is one control character, so that one pattern serves every file.
 _F = r'(?:"(?:[^"]|"")*"|[^"\x01]*)'
-_TRIM = lambda c: f"regexp_replace({c}, '^[\\s　]+|[\\s　]+$', '', 'g')"
+_TRIM = lambda c: f"regexp_replace({c}, '{rejects._SPACE}', '', 'g')"
 _VALUE = lambda i: _TRIM(f"replace(CASE WHEN starts_with(f{i}, '\"') THEN replace(substr(f{i}, 2, length(f{i}) - 2), '\"\"', '\"') ELSE f{i} END, chr(1), sep)")
 _LINES = rf"""
 WITH t AS (SELECT line_id, sep, replace(raw_line, sep, chr(1)) AS t FROM statement_lines),
@@ -112,6 +112,11 @@ SELECT * FROM (SELECT line_id, CASE WHEN NOT quoted THEN 'broken_quoting' WHEN N
   WHEN NOT regexp_full_match(am, '[+-]?[￥¥]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?元?') THEN 'bad_amount' WHEN di NOT IN ({', '.join(f"'{x}'" for x in rejects.DIRECTIONS)}) THEN 'bad_direction' END AS reason FROM n) WHERE reason IS NOT NULL
 """
 SQL["p6_found"] = _LINES
+_EIGHT = r"\x01".join([f"({_F})"] * 8)
+SQL["p6_loaded"] = _LINES[: _LINES.index("SELECT * FROM (SELECT line_id, CASE")] + rf"""
+, w AS (SELECT t.line_id, t.sep, {', '.join(f"regexp_extract(t.t, '^{_EIGHT}$', {i}, 's') AS f{i}" for i in range(1, 9))} FROM t)
+SELECT w.line_id, {', '.join(f'{_VALUE(i)} AS {c}' for i, c in enumerate(rejects.FIELDS, 1))} FROM w JOIN n USING (line_id) WHERE quoted AND eight AND ts IS NOT NULL
+  AND regexp_full_match(am, '[+-]?[￥¥]?(?:[0-9]{{1,3}}(?:,[0-9]{{3}})+|[0-9]+)(?:\.[0-9]+)?元?') AND di IN ({', '.join(f"'{x}'" for x in rejects.DIRECTIONS)})"""
 
 _WORDS = ", ".join(f"'{w}'" for w in scales.ENGLISH)
 _HAN = "[" + ", ".join(f"'{w}'" for w in ["零", "一", "两", "三", "四", "五", "六", "七", "八", "九"]) + "]"
