@@ -61,16 +61,32 @@ def test_against_plain_python_on_test_tables(spark, small_dir):
     assert groups(df) == {min(v): set(v) - {min(v)} for v in want.values() if len(v) > 1}
 
 
-def test_filter_has_no_false_negatives_whatever_its_size(spark, monkeypatch):
+def written(df, path):
+    df.sortWithinPartitions("h").write.parquet(str(path))
+    return df.sparkSession.read.parquet(str(path))
+
+
+def test_filter_has_no_false_negatives_whatever_its_size(spark, monkeypatch, tmp_path):
     monkeypatch.setattr(cp, "MIN_BITS", 1 << 10)
     monkeypatch.setattr(cp, "BITS_PER_RECORD", 2)
     monkeypatch.setattr(cp, "SEGMENT_BITS", 1 << 9)
+    monkeypatch.setattr(cp, "ROUND_BITS", 1 << 10)
     rng = np.random.default_rng(3)
-    values = rng.integers(-(2**62), 2**62, 900)
-    data = [(int(i), int(v), b"x") for i, v in enumerate(np.concatenate([values, values[:100], values[:10]]))]
-    df = spark.createDataFrame(data, "row_id bigint, h bigint, x binary").repartition(37)
-    kept = {r.row_id for r in cp.possible_repeats(df).collect()}
-    assert set(range(100)) | set(range(900, 1010)) <= kept
+    values = rng.integers(-(2**63), 2**63 - 1, 900)
+    data = [(int(i), int(v), b"x") for i, v in enumerate(np.concatenate([values, values[:100], values[:10]]))] + [(5000, None, None), (5001, -(2**63), b"y"), (5002, -(2**63), b"y"), (5003, 2**63 - 1, b"z"), (5004, 2**63 - 1, b"z")]
+    df = written(spark.createDataFrame(data, "row_id bigint, h bigint, x binary").repartition(37), tmp_path / "h")
+    assert cp.rounds_for(1014) == (2, 1 << 10)
+    kept = {r.row_id for r in cp.tested(df).collect()}
+    copied = set(range(100)) | set(range(900, 1010)) | {5001, 5002, 5003, 5004}
+    assert copied <= kept and len(kept) < 1000
+    both = {r.row_id: r.h for r in cp.tested(df, rest=True).collect()}
+    assert set(both) == {i for i, _, _ in data} and {i for i, h in both.items() if h is not None} == kept
+
+
+def test_rounds_keep_the_filter_as_full_as_intended():
+    for n in (1, 4_000, 10**7, 10**8, 10**9, 10**11):
+        rounds, bits = cp.rounds_for(n)
+        assert bits <= cp.ROUND_BITS and n * cp.BITS_PER_RECORD <= rounds * bits and (bits == cp.MIN_BITS or rounds * bits < 2 * n * cp.BITS_PER_RECORD)
 
 
 def test_merge_marks_what_two_parts_share():

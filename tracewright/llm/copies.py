@@ -3,6 +3,11 @@
 Each input partition sets the bits of its records' hashes in one filter, and in a second one those that were set before. Filters are merged
 in a tree: a bit that two partitions set, or that one has set repeatedly, is repeated. A record all of whose bits are repeated may have
 copies; only those are shuffled and grouped exactly. All others are proven to be singletons and never move.
+
+The filters are sized to the data and cut by hash range: hashes are written once, sorted within each part, and a round reads one range of
+them (parquet's page index skips the rest), fills filters of at most ROUND_BITS bits at 16 bits a record, and tests the same range. So
+memory, broadcast and the driver's share are bounded, the filters are never fuller than intended, and the rounds together read the hashes
+twice, whatever the number of records.
 """
 
 from __future__ import annotations
@@ -15,18 +20,18 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewright.runtime import materialize
+from tracewright.runtime import materialize, skew_safe_lookup, table_path
 
 #: The 34 business columns of the ledger.
-BUSINESS = (
-    "card_no account_no account_name id_no bank account_nature txn_time amount balance direction cp_account cp_nature cash_flag cp_name cp_id_no cp_bank summary "
-    "currency branch location success_flag voucher_no ip mac cp_balance txn_serial merchant_serial log_no cert_type cert_no teller_no remark feedback_reason data_source"
-).split()
+BUSINESS = [
+    "card_no", "account_no", "account_name", "id_no", "bank", "account_nature", "txn_time", "amount", "balance", "direction", "cp_account", "cp_nature", "cash_flag", "cp_name", "cp_id_no", "cp_bank", "summary",
+    "currency", "branch", "location", "success_flag", "voucher_no", "ip", "mac", "cp_balance", "txn_serial", "merchant_serial", "log_no", "cert_type", "cert_no", "teller_no", "remark", "feedback_reason", "data_source",
+]
 _FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　￥￠￡￢￣￤￦"
 _HALF = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ¥¢£¬¯¦₩"
 _CUT = "\x01"
-#: Filter bits: 16 for each record, a power of two, at most 32 MB; a fuller filter only lets more records through to the exact grouping.
-BITS_PER_RECORD, MIN_BITS, MAX_BITS, HASHES = 16, 1 << 16, 1 << 28, 4
+#: Filter bits: 16 for each record, a power of two. A round's filters have at most 32 MB each; more records take more rounds, never fuller filters.
+BITS_PER_RECORD, MIN_BITS, ROUND_BITS, HASHES = 16, 1 << 16, 1 << 28, 4
 SEGMENT_BITS = 1 << 19
 FAN_IN = 16
 
@@ -68,11 +73,22 @@ def record_hashes(rows: DataFrame, key: str = "row_id", serial: str = "txn_seria
     return text.select(key, F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("h"), F.unhex(F.md5("t")).alias("x"))
 
 
-def filter_bits(records: int) -> int:
-    bits = MIN_BITS
-    while bits < min(records * BITS_PER_RECORD, MAX_BITS):
-        bits *= 2
-    return bits
+def rounds_for(records: int) -> tuple[int, int]:
+    """(rounds, filter bits of a round): both powers of two, at least BITS_PER_RECORD bits for each record of a round."""
+    rounds, bits = 1, MIN_BITS
+    while rounds * bits < records * BITS_PER_RECORD:
+        if bits < ROUND_BITS:
+            bits *= 2
+        else:
+            rounds *= 2
+    return rounds, bits
+
+
+def hash_range(hashes: DataFrame, r: int, rounds: int) -> DataFrame:
+    """The hashes of one of ``rounds`` equal ranges of 64-bit numbers; null belongs to none."""
+    width = (1 << 64) // rounds
+    low = -(1 << 63) + r * width
+    return hashes.filter((F.col("h") >= F.lit(low)) & (F.col("h") <= F.lit(low + width - 1)))
 
 
 def positions(h: np.ndarray, bits: int) -> np.ndarray:
@@ -89,33 +105,35 @@ def merge_pair(once: np.ndarray, more: np.ndarray, once2: np.ndarray, more2: np.
 _SEG = "seg int, part int, once binary, more binary"
 
 
-def repeat_filter(hashes: DataFrame) -> tuple[np.ndarray, int]:
-    """The merged filter of repeatedly seen hashes as bytes of at most MAX_BITS bits, and its number of bits."""
-    records = hashes.filter(F.col("h").isNotNull()).count()
-    bits = filter_bits(records)
+def _set(bitmap: np.ndarray, p: np.ndarray) -> None:
+    np.bitwise_or.at(bitmap, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
+
+
+def _is_set(bitmap: np.ndarray, p: np.ndarray) -> np.ndarray:
+    return (bitmap[p >> 3] >> (p & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def repeat_filter(live: DataFrame, bits: int) -> np.ndarray:
+    """The merged filter of repeatedly seen hashes (column h, no nulls): ``bits`` bits, which are all that reaches the driver."""
     seg_bits = min(SEGMENT_BITS, bits)
+    step = seg_bits // 8
 
     def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        once, more, part = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), 0
+        # The bitmaps' memory is touched only where bits are set.
+        once, more, part, touched = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8), 0, np.zeros(bits // seg_bits, bool)
         for b in batches:
             if not len(b):
                 continue
             part = int(b["part"].iloc[0])
             values, counts = np.unique(b["h"].to_numpy(), return_counts=True)
-            for bitmap_hashes, twice in ((values, False), (values[counts > 1], True)):
-                if not len(bitmap_hashes):
-                    continue
-                fresh = np.zeros(bits // 8, np.uint8)
-                p = positions(bitmap_hashes, bits).ravel()
-                np.bitwise_or.at(fresh, (p >> np.uint64(3)).astype(np.int64), (np.uint8(1) << (p & np.uint64(7)).astype(np.uint8)))
-                if twice:
-                    more |= fresh
-                else:
-                    more |= once & fresh
-                    once |= fresh
-        step = seg_bits // 8
-        rows = [(k, part, zlib.compress(once[k * step : (k + 1) * step].tobytes(), 1), zlib.compress(more[k * step : (k + 1) * step].tobytes(), 1)) for k in range(bits // seg_bits) if once[k * step : (k + 1) * step].any()]
-        yield pd.DataFrame(rows, columns=["seg", "part", "once", "more"])
+            p = positions(values, bits).ravel().astype(np.int64)
+            _set(more, p[_is_set(once, p)])
+            if (counts > 1).any():
+                _set(more, positions(values[counts > 1], bits).ravel().astype(np.int64))
+            _set(once, p)
+            touched[p // seg_bits] = True
+        cut = lambda x, k: zlib.compress(x[k * step : (k + 1) * step].tobytes(), 1)
+        yield pd.DataFrame([(int(k), part, cut(once, k), cut(more, k)) for k in np.flatnonzero(touched)], columns=["seg", "part", "once", "more"])
 
     def fold(f: pd.DataFrame) -> pd.DataFrame:
         once = more = None
@@ -124,61 +142,68 @@ def repeat_filter(hashes: DataFrame) -> tuple[np.ndarray, int]:
             once, more = (o, m) if once is None else merge_pair(once, more, o, m)
         return pd.DataFrame([(int(f["seg"].iloc[0]), int(f["part"].iloc[0]) // FAN_IN, zlib.compress(once.tobytes(), 1), zlib.compress(more.tobytes(), 1))], columns=["seg", "part", "once", "more"])
 
-    live = hashes.filter(F.col("h").isNotNull()).select(F.spark_partition_id().alias("part"), "h")
-    parts = hashes.rdd.getNumPartitions()
-    level = live.mapInPandas(build, _SEG)
+    parts = live.rdd.getNumPartitions()
+    level = live.select(F.spark_partition_id().alias("part"), "h").mapInPandas(build, _SEG)
     while parts > 1:
         level = level.groupBy("seg", F.expr(f"part div {FAN_IN}").alias("to")).applyInPandas(fold, _SEG)
         parts = -(-parts // FAN_IN)
     out = np.zeros(bits // 8, np.uint8)
-    step = seg_bits // 8
-    for r in level.select("seg", "more").collect():  # at most MAX_BITS / 8 bytes in all
+    for r in level.select("seg", "more").collect():  # at most ROUND_BITS / 8 bytes in all
         out[r.seg * step : (r.seg + 1) * step] |= np.frombuffer(zlib.decompress(r.more), np.uint8)
-    return out, bits
+    return out
 
 
-def possible_repeats(hashes: DataFrame, key: str = "row_id") -> DataFrame:
-    """(row_id, h, x) of the records that pass the filter of repeatedly seen hashes: all that have copies and a few that don't."""
-    bitmap, bits = repeat_filter(hashes)
-    shared = hashes.sparkSession.sparkContext.broadcast(bitmap.tobytes())
+def tested(hashes: DataFrame, key: str = "row_id", rest: bool = False) -> DataFrame:
+    """(key, h, x) of the records that pass the filter of repeatedly seen hashes: all that have copies and next to none that don't.
 
-    def passing(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        more = np.frombuffer(shared.value, np.uint8)
-        for b in batches:
-            p = positions(b["h"].to_numpy(), bits)
-            yield b[(more[(p >> np.uint64(3)).astype(np.int64)] >> (p & np.uint64(7)).astype(np.uint8) & np.uint8(1)).all(axis=1)]
+    With ``rest`` the proven singletons too, with null h and x. Records without a hash are singletons. ``hashes`` must be a written table.
+    """
+    spark = hashes.sparkSession
+    rounds, bits = rounds_for(hashes.filter(F.col("h").isNotNull()).count())
+    path, schema = table_path(spark, "likely"), hashes.select(key, "h", "x").schema
+    for r in range(rounds):
+        part = hash_range(hashes, r, rounds).select(key, "h", "x")
+        shared = spark.sparkContext.broadcast(repeat_filter(part.select("h"), bits).tobytes())
+
+        def passing(batches: Iterator[pd.DataFrame], shared: object = shared) -> Iterator[pd.DataFrame]:
+            more = np.frombuffer(shared.value, np.uint8)
+            for b in batches:
+                p = positions(b["h"].to_numpy(), bits).astype(np.int64)
+                hit = _is_set(more, p).all(axis=1)
+                yield b.assign(h=b["h"].astype("Int64").where(hit), x=b["x"].where(hit, None)) if rest else b[hit]
 
-    return hashes.filter(F.col("h").isNotNull()).select(key, "h", "x").mapInPandas(passing, f"{key} bigint, h bigint, x binary")
+        part.mapInPandas(passing, schema).write.mode("append").option("compression", "zstd").parquet(path)
+        shared.destroy()
+    out = spark.read.schema(schema).parquet(path)
+    return out.unionByName(hashes.filter(F.col("h").isNull()).select(key, "h", "x")) if rest else out
 
 
-def copy_groups(rows: DataFrame, key: str = "row_id", serial: str = "txn_serial", columns: list[str] = BUSINESS) -> tuple[DataFrame, DataFrame]:
-    """(hashes of all records, members of groups: keep, member, copies).
+def copy_groups(rows: DataFrame, key: str = "row_id", serial: str = "txn_serial", columns: list[str] = BUSINESS, rest: bool = False) -> DataFrame:
+    """(key, keep, copies): the members of groups; with ``rest`` every record, singletons with null keep and copies.
 
     The exact grouping counts a group before the shuffle (map-side), so a group of a third of all records is no burden to one task; its
     members then learn their keeper through a lookup that spreads hot groups. ``keep`` is the smallest key of the group.
     """
-    from tracewright.runtime import skew_safe_lookup
-
-    hashes = materialize(record_hashes(rows, key, serial, columns), "hashes")
-    likely = materialize(possible_repeats(hashes, key), "likely")
+    hashes = materialize(record_hashes(rows, key, serial, columns).sortWithinPartitions("h"), "hashes")
+    all_rows = tested(hashes, key, rest)
+    likely = all_rows.filter(F.col("h").isNotNull())
     groups = likely.groupBy("h", "x").agg(F.min(key).alias("keep"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
-    members = skew_safe_lookup(likely, materialize(groups, "groups"), ["h", "x"], ["keep", "copies"])
-    return hashes, members.filter(F.col("keep").isNotNull()).select("keep", F.col(key).alias("member"), "copies")
+    members = skew_safe_lookup(likely, materialize(groups, "groups"), ["h", "x"], ["keep", "copies"]).select(key, "keep", "copies")
+    if not rest:
+        return members.filter(F.col("keep").isNotNull())
+    single = all_rows.filter(F.col("h").isNull()).select(key, F.lit(None).cast(members.schema["keep"].dataType).alias("keep"), F.lit(None).cast("bigint").alias("copies"))
+    return members.unionByName(single)
 
 
-def copies(rows: DataFrame, **kw: object) -> DataFrame:
+def copies(rows: DataFrame, key: str = "row_id", serial: str = "txn_serial", columns: list[str] = BUSINESS) -> DataFrame:
     """(keep_row_id, copy_row_id): one row for every member of a group but the kept one."""
-    return copy_groups(rows, **kw)[1].filter("member <> keep").select(F.col("keep").alias("keep_row_id"), F.col("member").alias("copy_row_id"))
+    return copy_groups(rows, key, serial, columns).filter(F.col(key) != F.col("keep")).select(F.col("keep").alias("keep_row_id"), F.col(key).alias("copy_row_id"))
 
 
-def one_record_each(rows: DataFrame, **kw: object) -> DataFrame:
-    """(row_id, copies): one row per distinct record, with the number of records it stands for (1 for singletons).
+def one_record_each(rows: DataFrame, key: str = "row_id", serial: str = "txn_serial", columns: list[str] = BUSINESS) -> DataFrame:
+    """(row_id, copies): one row per distinct record, with the number of records it stands for (1 for singletons, which are never shuffled).
 
     Null rows: a record whose columns are all null has no serial and stays alone. An empty table gives no rows.
     """
-    hashes, members = copy_groups(rows, **kw)
-    key = kw.get("key", "row_id")
-    m = members.alias("m")
-    return hashes.alias("h").join(m, F.col(f"h.{key}") == F.col("m.member"), "left").filter(F.col("m.member").isNull() | (F.col("m.member") == F.col("m.keep"))).select(
-        F.col(f"h.{key}").alias(key), F.coalesce("m.copies", F.lit(1)).alias("copies")
-    )
+    each = copy_groups(rows, key, serial, columns, rest=True)
+    return each.filter(F.col("keep").isNull() | (F.col("keep") == F.col(key))).select(key, F.coalesce("copies", F.lit(1)).alias("copies"))
