@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import base64
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -160,19 +160,31 @@ def encode(docs: DataFrame, key: str = "doc_id", text: str = "text", directory:
     return docs.select(F.col(key).alias("k"), F.col(text).alias("t")).mapInPandas(run, f"k {kind}, ids array<int>").withColumnRenamed("k", key)
 
 
-def token_counts(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY) -> DataFrame:
-    """All columns of ``docs`` plus tokens, the number of ids of its text (0 for null and empty text); a column tokens is replaced."""
+def token_counts(docs: DataFrame, text: str = "text", directory: str = TOKENIZER_DIR, vocabulary: str = VOCABULARY, keep: Sequence[str] | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all without it) plus tokens, the number of ids of its text (0 for null and empty text); a column
+    tokens is replaced. The counts of texts met lately are kept, so that a text repeated all over a partition is encoded seldom."""
     docs = docs.drop("tokens")
+    kept = list(keep or docs.columns)
     shared = _share(docs.sparkSession, directory, vocabulary)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        e = Encoder(shared.value)
+        e, lately = Encoder(shared.value), {}
         for b in batches:
-            b["tokens"] = [e.count(t) for t in b[text]]
-            yield b
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", tokens bigint"
-    return docs.mapInPandas(run, schema)
+            counts = []
+            for t in b["__text"]:
+                key = hash(t)
+                got = lately.get(key)
+                if got is None or got[0] != t:
+                    if len(lately) >= 4096:
+                        lately.clear()
+                    got = lately[key] = (t, e.count(t))
+                counts.append(got[1])
+            out = b[kept].copy()
+            out["tokens"] = counts
+            yield out
+
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema) + ", tokens bigint"
+    return docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias("__text")).mapInPandas(run, schema)
 
 
 def statistics(encoded: DataFrame) -> DataFrame:
