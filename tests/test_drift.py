@@ -46,6 +46,22 @@ def test_renames_need_agreement_over_common_rules(spark):
     assert found(records(spark, none_common)) == [("b", "added", "", "y"), ("b", "removed", "x", "")]
 
 
+def test_equal_columns_give_all_their_pairs(spark):
+    files = [("w", "a", {1: {"a1": "x", "a2": "x", "a3": "x", "z": 1}}), ("w", "b", {1: {"b1": "x", "b2": "x", "z": 1}})]
+    assert found(records(spark, files)) == sorted(("b", "renamed", f"a{i}", f"b{j}") for i in (1, 2, 3) for j in (1, 2))
+
+
+def test_types_of_elements_and_typed_branches(spark):
+    files = [("w", "a", {1: {"x": [1, 2], "y": "s"}}), ("w", "b", {1: {"x": ["1", None], "y": 1.5, "z": True}})]
+    df = records(spark, files, repeat=2)
+    got = {(r.path, r.tag): (r.elements, r.files, r.first_step, r.last_step, r.alternatives) for r in drift.union_types(df).collect()}
+    assert got == {("x", "array"): ("null|number|string", 2, 1, 2, 1), ("y", "string"): ("", 1, 1, 1, 2), ("y", "number"): ("", 1, 2, 2, 2), ("z", "boolean"): ("", 1, 2, 2, 1)}
+    assert found(df) == [("b", "added", "", "z"), ("b", "retyped", "y", "y")]  # an array stays an array
+    b = {(r.file_name, x.path): x for r in drift.consistent_table(df).collect() for x in r.branches}
+    assert len(b) == 5 and b["a", "x"].as_array == ["1", "2"] and b["b", "x"].as_array == ["1", None] and b["b", "y"].as_number == 1.5 and b["a", "y"].as_string == "s" and b["b", "z"].as_boolean is True
+    assert b["b", "y"].as_string is None and b["a", "x"].as_string is None
+
+
 def test_bad_records_and_nulls(spark):
     files = [("w", "a", {1: "no json", 2: None, 3: {"x": None, "e": {}}, 4: "[1]"}), (None, "n", {None: {"x": 1}}), (None, "o", {None: {"x": "1"}})]
     assert found(records(spark, files)) == [("o", "retyped", "x", "x")]

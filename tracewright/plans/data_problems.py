@@ -15,11 +15,16 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_types(spark: SparkSession, d: str) -> DataFrame:
-    return drift.union_types(drift.fused(table(spark, d, "custom_rules")))
+    return drift.union_types(table(spark, d, "custom_rules"))
 
 
 def p1_rules(spark: SparkSession, d: str) -> DataFrame:
-    return drift.consistent_table(table(spark, d, "custom_rules"))
+    return drift.consistent_table(table(spark, d, "custom_rules")).drop("branches").withColumn("unresolved", F.array_join("unresolved", "|")).withColumn("source_columns", F.array_join("source_columns", "\x01", "null"))
+
+
+def p1_branches(spark: SparkSession, d: str) -> DataFrame:
+    rules = drift.consistent_table(table(spark, d, "custom_rules")).select("workspace", "step", "rule_no", F.inline("branches"))
+    return rules.select("workspace", "step", "rule_no", "path", "tag", "as_string", F.round("as_number", 6).alias("as_number"), "as_boolean", F.array_join("as_array", "\x01", "null").alias("as_array"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -68,9 +73,20 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_types, p1_rules, p2_found, p2_keys, p3_found, p3_instants, p4_found, p4_registry, p4_history, p6_found, p6_loaded)
+    for f in (p1_found, p1_types, p1_rules, p1_branches, p2_found, p2_keys, p3_found, p3_instants, p4_found, p4_registry, p4_history, p6_found, p6_loaded)
 }
 
+# A field is what lies under objects only; a number's text doesn't count, an array's is the one without spaces.
+_FIELDS = r"""
+WITH recs AS (SELECT workspace, file_name, rule_no, saved_at, rule_json FROM custom_rules),
+stp AS (SELECT workspace, file_name, row_number() OVER (PARTITION BY workspace ORDER BY min(saved_at), file_name) AS step FROM recs GROUP BY workspace, file_name),
+obj AS (SELECT DISTINCT workspace, file_name, rule_no, rule_json FROM recs WHERE try_cast(rule_json AS JSON) IS NOT NULL AND json_type(try_cast(rule_json AS JSON)) = 'OBJECT'),
+fld AS (SELECT DISTINCT workspace, step, file_name, rule_no, replace(substr(j.fullkey, 3), '"', '') AS path, CASE WHEN j.type = 'VARCHAR' THEN 'string' WHEN j.type = 'BOOLEAN' THEN 'boolean' WHEN j.type = 'ARRAY' THEN 'array' ELSE 'number' END AS tag,
+        CASE WHEN j.type = 'VARCHAR' THEN j.value ->> '$' WHEN j.type IN ('BOOLEAN', 'ARRAY') THEN CAST(j.value AS VARCHAR) ELSE CAST(CAST(j.value AS DOUBLE) AS VARCHAR) END AS v
+        FROM obj JOIN stp USING (workspace, file_name), json_tree(obj.rule_json) j WHERE j.type NOT IN ('OBJECT', 'NULL') AND NOT contains(j.fullkey, '[')),
+fus AS (SELECT workspace, step, path, list_sort(list(DISTINCT tag)) AS tags FROM fld GROUP BY ALL)
+"""
+
 _CURRENT = r"""
 WITH spelt AS (
   SELECT chain_id, direction, updated_at, tx_count,
@@ -95,6 +111,21 @@ SQL = {
     "p2_keys": _CURRENT + "SELECT role, key_address, current_rows, partners, tx_count FROM keys",
 }
 
+SQL["p1_found"] = _FIELDS + r""", mov AS (SELECT workspace, t, path, max(tags) FILTER (o) AS old_tags, max(tags) FILTER (NOT o) AS new_tags FROM (SELECT workspace, step + 1 AS t, path, tags, true AS o FROM fus UNION ALL SELECT workspace, step, path, tags, false FROM fus) GROUP BY ALL),
+dif AS (SELECT mov.*, stp.file_name FROM mov JOIN stp ON stp.workspace = mov.workspace AND stp.step = mov.t WHERE t > 1 AND old_tags IS DISTINCT FROM new_tags),
+rul AS (SELECT DISTINCT workspace, step, rule_no FROM recs JOIN stp USING (workspace, file_name)), sha AS (SELECT a.workspace, b.step AS t, a.rule_no FROM rul a JOIN rul b ON a.workspace = b.workspace AND a.step + 1 = b.step AND a.rule_no = b.rule_no),
+lon AS (SELECT workspace, t, path, new_tags IS NULL AS gone, coalesce(old_tags, new_tags) AS tags FROM dif WHERE old_tags IS NULL OR new_tags IS NULL),
+prt AS (SELECT l.workspace, l.t, l.path, l.gone, l.tags, list_sort(list((f.rule_no, f.tag, f.v))) AS vals FROM lon l JOIN fld f ON f.workspace = l.workspace AND f.path = l.path AND f.step = CASE WHEN l.gone THEN l.t - 1 ELSE l.t END JOIN sha ON sha.workspace = l.workspace AND sha.t = l.t AND sha.rule_no = f.rule_no GROUP BY ALL),
+ren AS (SELECT a.workspace, a.t, a.path AS p, b.path AS q FROM prt a JOIN prt b ON a.workspace = b.workspace AND a.t = b.t AND a.gone AND NOT b.gone AND a.tags = b.tags AND a.vals = b.vals)
+SELECT stp.file_name, 'renamed' AS change, p AS old_field, q AS new_field FROM ren JOIN stp ON stp.workspace = ren.workspace AND stp.step = ren.t UNION ALL
+SELECT file_name, CASE WHEN new_tags IS NULL THEN 'removed' WHEN old_tags IS NULL THEN 'added' ELSE 'retyped' END, CASE WHEN old_tags IS NULL THEN '' ELSE path END, CASE WHEN new_tags IS NULL THEN '' ELSE path END
+FROM dif WHERE NOT EXISTS (SELECT 1 FROM ren WHERE ren.workspace = dif.workspace AND ren.t = dif.t AND dif.path IN (ren.p, ren.q))"""
+SQL["p1_types"] = _FIELDS + r""", ele AS (SELECT fld.path, list_sort(list(DISTINCT CASE j.type WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean' WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'NULL' THEN 'null' ELSE 'number' END)) AS kinds FROM fld, json_each(fld.v) j WHERE tag = 'array' GROUP BY fld.path),
+per AS (SELECT path, tag, count(DISTINCT (workspace, step)) AS files, min(step) AS first_step, max(step) AS last_step FROM fld GROUP BY ALL)
+SELECT path, tag, CASE WHEN tag = 'array' THEN coalesce(array_to_string(kinds, '|'), '') ELSE '' END AS elements, files, first_step, last_step, count(*) OVER (PARTITION BY path) AS alternatives FROM per LEFT JOIN ele USING (path)"""
+SQL["p1_branches"] = _FIELDS + r""" SELECT workspace, step, rule_no, path, tag, CASE WHEN tag = 'string' THEN v END AS as_string, CASE WHEN tag = 'number' THEN round(CAST(v AS DOUBLE), 6) END AS as_number, CASE WHEN tag = 'boolean' THEN v = 'true' END AS as_boolean,
+CASE WHEN tag = 'array' THEN array_to_string(list_transform(CAST(v AS JSON[]), lambda x: coalesce(x ->> '$', 'null')), chr(1)) END AS as_array FROM fld"""
+
 # A field is quoted or has no quote; the separator is one control character, so that one pattern serves every file.
 _F = r'(?:"(?:[^"]|"")*"|[^"\x01]*)'
 _TRIM = lambda c: f"regexp_replace({c}, '{rejects._SPACE}', '', 'g')"
