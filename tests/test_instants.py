@@ -69,19 +69,43 @@ def test_rows_keep_their_number_and_extra_columns_do_no_harm(spark):
     assert ins.same_instant_pairs(ins.with_instants(ledger.limit(0), profiles, keep=["row_id", "log_no"])).count() == 0
 
 
-def test_dictionary_grows_only_by_what_is_new(spark):
-    profiles = spark.createDataFrame([("s", SH, "YMD")], "data_source string, zone_id string, date_order string")
-    mk = lambda *raw: spark.createDataFrame([("s", r) for r in raw], "source string, raw string")
-    book = ins.InstantDictionary(spark).extend(mk("2024-01-01", "2024-01-02", "2024-01-01"), profiles)
-    book.extend(mk("2024-01-02", "2024-01-03", "nothing"), profiles)
-    assert sorted(r.raw for r in book.entries().collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
+def test_hot_pairs_are_split_but_whole(spark):
+    rows = spark.range(3000).selectExpr("id AS row_id", "CASE WHEN id % 10 < 9 THEN 'H' ELSE concat('L', id div 30) END AS log_no", "timestamp_seconds(CASE WHEN id % 10 < 9 THEN id % 20 ELSE 0 END) AS instant")
+    want = {}
+    for r in rows.collect():
+        want.setdefault((r.log_no, r.instant), []).append(r.row_id)
+    got = ins.same_instant_pairs(rows)
+    assert got.count() == got.distinct().count() == sum(len(v) * (len(v) - 1) // 2 for v in want.values())
 
 
-def test_dictionary_is_reopened_where_it_was_kept(spark, tmp_path):
-    profiles = spark.createDataFrame([("s", "UTC", "YMD")], "data_source string, zone_id string, date_order string")
-    mk = lambda *t: spark.createDataFrame([("s", x) for x in t], "source string, raw string")
+def keyed(spark, profiles, *raw):
+    return ins.with_profiles(spark.createDataFrame([("s", r) for r in raw], "source string, raw string"), profiles)
+
+
+def profile(spark, zone, order="YMD"):
+    return spark.createDataFrame([("s", zone, order)], "data_source string, zone_id string, date_order string")
+
+
+def test_dictionary_grows_only_by_what_is_new(spark, tmp_path):
+    p, path = profile(spark, SH), f"file://{tmp_path}/book"
+    ins.InstantDictionary(spark, path).extend(keyed(spark, p, "2024-01-01", "2024-01-02", "2024-01-01"))
+    again = ins.InstantDictionary(spark, path)  # as by another session
+    again.extend(keyed(spark, p, "2024-01-02", "2024-01-03", "nothing"))
+    assert sorted(r.raw for r in again.entries().collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"] and len(again.batches()) == 2
+    assert again.resolve(keyed(spark, p, "2024-01-02", "2024-01-01")).count() == 2
+
+
+def test_a_changed_profile_gets_its_own_entries(spark, tmp_path):
     path = f"file://{tmp_path}/book"
-    ins.InstantDictionary(spark, path).extend(mk("2024-01-01", "2024-01-02"), profiles)
-    again = ins.InstantDictionary(spark, path).extend(mk("2024-01-02", "2024-01-03"), profiles)
-    assert sorted(r.raw for r in again.entries().collect()) == ["2024-01-01", "2024-01-02", "2024-01-03"]
-    assert again.resolve(mk("2024-01-02", "2024-01-01")).count() == 2
+    rows = spark.createDataFrame([(1, "s", "03/04/2024 00:00")], "row_id int, data_source string, txn_time string")
+    at = lambda zone, order: ins.with_instants(rows, profile(spark, zone, order), path=path).select(F.unix_seconds("instant")).collect()
+    day = lambda m, d, h: [(int(datetime(2024, m, d, h, tzinfo=timezone.utc).timestamp()),)]
+    assert at("UTC", "DMY") == day(4, 3, 0) and at("UTC", "MDY") == day(3, 4, 0) and at(SH, "MDY") == day(3, 3, 16) and at("UTC", "DMY") == day(4, 3, 0)
+    assert ins.InstantDictionary(spark, path).entries().count() == 3
+
+
+def test_an_extension_that_broke_off_leaves_nothing(spark, tmp_path):
+    (tmp_path / "book" / ".new-x").mkdir(parents=True)
+    (tmp_path / "book" / ".new-x" / "part-0.parquet").write_bytes(b"half")
+    book = ins.InstantDictionary(spark, f"file://{tmp_path}/book").extend(keyed(spark, profile(spark, SH), "2024-01-01"))
+    assert book.entries().count() == 1

@@ -5,13 +5,14 @@ All parsing is built-in column expressions, so it runs inside generated code.
 
 from __future__ import annotations
 
+import uuid
 import zoneinfo
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewright.runtime import materialize, skew_safe_lookup, table_path
+from tracewright.runtime import file_system, hot_keys, materialize, same_keys, skew_safe_lookup, table_path
 
 #: Zone abbreviations by region of the IANA zone, as minutes east of UTC.
 REGION_ABBREVIATIONS = {
@@ -129,52 +130,74 @@ def parse_instants(strings: DataFrame) -> DataFrame:
     )
 
 
+KEY = ["source", "raw", "zone_id", "date_order"]
+
+
 class InstantDictionary:
-    """Distinct (source, raw text) with the instant each denotes, kept in a folder and extended by what is new.
+    """Distinct (source, raw text, zone, order) with the instant each denotes, kept in a folder and extended by what is new.
 
-    Strings without a digit denote no instant and aren't kept. ``profiles`` has data_source, zone_id and date_order; a null or unknown
-    source has no zone and no order. Several rows of one source: the smallest is taken.
+    Zone and order of the source are part of the key: a profile that changes gets entries of its own, and the old ones stay true. Strings
+    without a digit denote no instant and aren't kept. Every extension is one folder, written aside and renamed in, so an extension is
+    there as a whole or not at all, and a dictionary opened on the same path by a later session goes on from it.
     """
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or table_path(spark, "instants")
-        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        self.written = fs.exists(folder) and any(f.getPath().getName().endswith(".parquet") for f in fs.listStatus(folder))
+
+    def batches(self) -> list[str]:
+        fs, folder = file_system(self.spark, self.path)
+        return sorted(f.getPath().toString() for f in fs.listStatus(folder) if f.getPath().getName().startswith("batch-")) if fs.exists(folder) else []
 
     def entries(self) -> DataFrame:
-        return self.spark.read.schema("source string, raw string, instant timestamp").parquet(self.path)
-
-    def extend(self, rows: DataFrame, profiles: DataFrame) -> "InstantDictionary":
-        """Parse the strings of ``rows`` (source, raw) that aren't kept yet."""
-        new = rows.filter(F.col("raw").rlike(r"\d|[０-９]")).select("source", "raw").distinct()
-        if self.written:
-            old = self.entries()
-            new = new.join(old, new.source.eqNullSafe(old.source) & (new.raw == old.raw), "left_anti")
-        one = profiles.filter(F.col("data_source").isNotNull()).groupBy(F.col("data_source").alias("source")).agg(F.min(F.struct("zone_id", "date_order")).alias("p"))
-        known = skew_safe_lookup(new, one, ["source"], ["p"])
-        parsed = parse_instants(known.select("source", "raw", "p.zone_id", "p.date_order")).select("source", "raw", "instant")
-        parsed.write.mode("append").option("compression", "zstd").parquet(self.path)
-        self.written = True
+        schema, found = "source string, raw string, zone_id string, date_order string, instant timestamp", self.batches()
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def extend(self, rows: DataFrame) -> "InstantDictionary":
+        """Parse the keys of ``rows`` (see :func:`with_profiles`) that aren't kept yet."""
+        new = rows.filter(F.col("raw").rlike(r"\d|[０-９]")).select(*KEY).distinct()
+        if self.batches():
+            new = new.alias("n").join(self.entries().alias("o"), same_keys("n", "o", *KEY), "left_anti")
+        name = uuid.uuid4().hex
+        fs, aside = file_system(self.spark, f"{self.path}/.new-{name}")
+        parse_instants(new).select(*KEY, "instant").write.option("compression", "zstd").parquet(f"{self.path}/.new-{name}")
+        if not fs.rename(aside, file_system(self.spark, f"{self.path}/batch-{name}")[1]):
+            raise OSError(f"could not keep the new entries under {self.path}")
         return self
 
     def resolve(self, rows: DataFrame) -> DataFrame:
-        """``rows`` (with source and raw) plus instant. Hot strings are resolved by a bounded broadcast, see skew_safe_lookup."""
-        return skew_safe_lookup(rows, self.entries(), ["source", "raw"], ["instant"])
+        """``rows`` (with the key) plus instant. Hot strings are resolved by a bounded broadcast, see skew_safe_lookup."""
+        return skew_safe_lookup(rows, self.entries(), KEY, ["instant"])
+
+
+def with_profiles(rows: DataFrame, profiles: DataFrame) -> DataFrame:
+    """``rows`` (with source) plus zone_id and date_order of the source; null for a null or unknown one. Of several profiles of a source the smallest."""
+    one = profiles.filter(F.col("data_source").isNotNull()).groupBy(F.col("data_source").alias("source")).agg(F.min(F.struct("zone_id", "date_order")).alias("p"))
+    return skew_safe_lookup(rows, one.select("source", "p.zone_id", "p.date_order"), ["source"], ["zone_id", "date_order"])
 
 
-def with_instants(rows: DataFrame, profiles: DataFrame, time_col: str = "txn_time", source_col: str = "data_source", keep: list[str] | None = None) -> DataFrame:
-    """``keep`` columns of ``rows`` plus instant (null where the text denotes none). Empty tables give no rows."""
+def with_instants(rows: DataFrame, profiles: DataFrame, time_col: str = "txn_time", source_col: str = "data_source", keep: list[str] | None = None, path: str | None = None) -> DataFrame:
+    """``keep`` columns of ``rows`` plus instant (null where the text denotes none). Empty tables give no rows. ``path``: a dictionary to go on from."""
     keep = keep or ["row_id"]
-    narrow = rows.select(*keep, F.col(source_col).alias("source"), F.col(time_col).alias("raw"))
-    book = InstantDictionary(rows.sparkSession).extend(narrow.select("source", "raw"), profiles)
-    return book.resolve(narrow).drop("source", "raw")
+    narrow = with_profiles(rows.select(*keep, F.col(source_col).alias("source"), F.col(time_col).alias("raw")), profiles)
+    book = InstantDictionary(rows.sparkSession, path).extend(narrow)
+    return book.resolve(narrow).drop(*KEY)
+
+
+#: Ways into which the rows of a hot (log number, instant) are split when they are paired.
+PAIR_SALTS = 16
 
 
 def same_instant_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of rows (row_id, log_no, instant) with the same non-empty log_no and the same instant."""
-    named = rows.filter((F.col("log_no") != "") & F.col("instant").isNotNull()).select("row_id", "log_no", "instant")
-    a, b = named.alias("a"), named.alias("b")
-    return a.join(b, (F.col("a.log_no") == F.col("b.log_no")) & (F.col("a.instant") == F.col("b.instant")) & (F.col("a.row_id") < F.col("b.row_id"))).select(
+    """Pairs of rows (row_id, log_no, instant) with the same non-empty log_no and the same instant.
+
+    The pairs are what is asked for, so a key of n rows gives n (n - 1) / 2 of them; the rows of a frequent key are dealt to PAIR_SALTS
+    parts, each of which meets all rows of the key.
+    """
+    named = materialize(rows.filter((F.col("log_no") != "") & F.col("instant").isNotNull()).select("row_id", "log_no", "instant"), "named")
+    hot = F.broadcast(hot_keys(named, ["log_no", "instant"]).withColumn("hot", F.lit(True)))  # at most HOT_KEYS rows
+    marked = named.join(hot, ["log_no", "instant"], "left")
+    a = marked.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("row_id"), F.lit(PAIR_SALTS))).otherwise(0)).alias("a")
+    b = marked.withColumn("salt", F.explode(F.when(F.col("hot"), F.sequence(F.lit(0), F.lit(PAIR_SALTS - 1))).otherwise(F.array(F.lit(0))))).alias("b")
+    return a.join(b, (F.col("a.log_no") == F.col("b.log_no")) & (F.col("a.instant") == F.col("b.instant")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.row_id") < F.col("b.row_id"))).select(
         F.col("a.row_id").alias("row_id_1"), F.col("b.row_id").alias("row_id_2")
     )
