@@ -56,11 +56,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_registry(spark: SparkSession, d: str) -> DataFrame:
-    return _places(spark, d)[0].select("chain_id", "contract", "decimals", "unit", "places", F.round("posterior", 6).alias("posterior"), "uncertain")
+    return _places(spark, d)[0].select("chain_id", "contract", "decimals", "places")
 
 
 def p4_history(spark: SparkSession, d: str) -> DataFrame:
-    return _places(spark, d)[1].select("observation_id", "chain_id", "contract", "decimals", "unit", "places", "registry_places", F.round("posterior", 6).alias("posterior"), "uncertain")
+    return _places(spark, d)[1].select("observation_id", "chain_id", "contract", "decimals", "places", "registry_places")
+
+
+def p4_units(spark: SparkSession, d: str) -> DataFrame:
+    both = table(spark, d, "token_metadata_registry").select("decimals").unionAll(table(spark, d, "token_metadata_history").select("decimals"))
+    return scales.places_dictionary(both).withColumn("posterior", F.round("posterior", 6))
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -73,7 +78,7 @@ def p6_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p1_found, p1_types, p1_rules, p1_branches, p2_found, p2_keys, p3_found, p3_instants, p4_found, p4_registry, p4_history, p6_found, p6_loaded)
+    for f in (p1_found, p1_types, p1_rules, p1_branches, p2_found, p2_keys, p3_found, p3_instants, p4_found, p4_registry, p4_history, p4_units, p6_found, p6_loaded)
 }
 
 # A field is what lies under objects only; a number's text doesn't count, an array's is the one without spaces.
@@ -171,6 +176,8 @@ places AS (SELECT decimals, CASE
 reg AS (SELECT chain_id, lower(trim(contract_address)) AS contract, decimals FROM token_metadata_registry QUALIFY row_number() OVER (PARTITION BY chain_id, lower(trim(contract_address)) ORDER BY updated_at DESC, decimals DESC NULLS LAST) = 1)
 """
 SQL["p4_found"] = f"WITH {_PLACES} SELECT DISTINCT h.observation_id FROM token_metadata_history h JOIN reg ON reg.chain_id = h.chain_id AND reg.contract = lower(trim(h.contract_address)) JOIN places a ON a.decimals = h.decimals JOIN places b ON b.decimals = reg.decimals WHERE a.places <> b.places"
+SQL["p4_registry"] = f"WITH {_PLACES} SELECT chain_id, contract, reg.decimals, places FROM reg LEFT JOIN places ON places.decimals = reg.decimals"
+SQL["p4_history"] = f"WITH {_PLACES} SELECT h.observation_id, h.chain_id, lower(trim(h.contract_address)) AS contract, h.decimals, a.places, b.places AS registry_places FROM token_metadata_history h LEFT JOIN places a ON a.decimals = h.decimals LEFT JOIN reg ON reg.chain_id = h.chain_id AND reg.contract = lower(trim(h.contract_address)) LEFT JOIN places b ON b.decimals = reg.decimals"
 
 _ZONE_NAMES = "CASE WHEN z IN ('Z', 'UTC', 'GMT', 'UT') THEN 0 " + " ".join(
     f"WHEN starts_with(zone_id, '{region}') THEN CASE z " + " ".join(f"WHEN '{n}' THEN {m}" for n, m in names.items()) + " END" for region, names in instants.REGION_ABBREVIATIONS.items()
