@@ -41,12 +41,16 @@ def plain(c: Column) -> Column:
     return F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), _FULL, _HALF)), r"[\s\p{Z}\p{P}\p{Cf}$+<=>^`|~]", "")
 
 
-def signed_number(c: Column) -> Column:
-    """An amount as its number, currency marks aside; text that is no number as plain text."""
+def amount_text(c: Column) -> Column:
+    """An amount without currency marks, with its sign in front; see :func:`signed_number`."""
     s = F.regexp_replace(F.lower(F.translate(F.coalesce(c, F.lit("")), _FULL, _HALF)), r"[\s\p{Z},_¥元圆$€£]|人民币|rmb|cny|usd", "")
     s = F.regexp_replace(F.translate(s, "−–", "--"), r"^\((.*)\)$", "-$1")
-    s = F.regexp_replace(s, r"^([0-9.]+)-$", "-$1")
-    number = F.when(s.rlike(r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{0,18})?|\.[0-9]{1,18})$"), s.try_cast("decimal(38,18)"))
+    return F.regexp_replace(s, r"^([0-9.]+)-$", "-$1")
+
+
+def signed_number(text: Column, c: Column) -> Column:
+    """The number that ``text``, the amount_text of ``c``, denotes; text that is no number as plain text of ``c``."""
+    number = F.when(text.rlike(r"^[+-]?(?:[0-9]{1,20}(?:\.[0-9]{0,18})?|\.[0-9]{1,18})$"), text.try_cast("decimal(38,18)"))
     return F.coalesce(F.concat(F.lit("#"), number.cast("string")), plain(c))
 
 
@@ -55,22 +59,31 @@ def entry_set(c: Column) -> Column:
     s = F.translate(F.coalesce(c, F.lit("")), _FULL, _HALF)
     parts = F.split(s, r"[;,|、/\n\r\t]+")
     entries = F.transform(parts, lambda x: F.regexp_replace(F.lower(x), r"[\s\p{Z}\p{P}\p{Cf}$+<>^`|~]", ""))
-    return F.array_join(F.array_sort(F.array_distinct(F.filter(entries, lambda x: x != ""))), ";")
+    return F.when(c.isNotNull(), F.array_join(F.array_sort(F.array_distinct(F.filter(entries, lambda x: x != ""))), ";")).otherwise("")
+
+
+def _step(df: DataFrame, *keep: str, **columns: Column) -> DataFrame:
+    """``keep`` and ``columns``, each computed once: a generator is a step that the optimizer doesn't merge into the uses, and whose
+    generated code stays small enough to be compiled."""
+    return df.select(*keep, F.inline(F.array(F.struct(*[c.alias(k) for k, c in columns.items()]))))
 
 
-def canonical(columns: list[str] = BUSINESS) -> Column:
-    """One text that two records share exactly if all ``columns`` agree but for formatting. A direction written as a bare sign stays a sign."""
-    special = {"amount": signed_number, "remark": entry_set, "direction": lambda c: F.when(F.trim(F.translate(c, _FULL, _HALF)).isin("+", "-"), F.trim(F.translate(c, _FULL, _HALF))).otherwise(plain(c))}
-    text = [c for c in columns if c not in special]
-    joined = plain(F.concat_ws(_CUT, *[F.coalesce(F.col(c), F.lit("")) for c in text]))
-    return F.concat_ws(_CUT + _CUT, joined, *[special[c](F.col(c)) for c in columns if c in special])
+def canonical(rows: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """(key, t): one text that two records share exactly if all ``columns`` agree but for formatting. A direction that is a bare sign stays a sign."""
+    have = {c: F.col(c) if c in columns else F.lit("") for c in ("amount", "remark", "direction")}
+    text = [c for c in columns if c not in have]
+    df = _step(rows, key, __text=F.concat_ws(_CUT, *[F.coalesce(F.col(c), F.lit("")) for c in text]), **{f"__{c}": x for c, x in have.items()})
+    sign = F.trim(F.translate(F.col("__direction"), _FULL, _HALF))
+    df = _step(df, key, "__amount", __text=plain(F.col("__text")), __remark=entry_set(F.col("__remark")), __direction=F.when(sign.isin("+", "-"), sign).otherwise(plain(F.col("__direction"))), __number=amount_text(F.col("__amount")))
+    return _step(df, key, t=F.concat_ws(_CUT + _CUT, "__text", signed_number(F.col("__number"), F.col("__amount")), "__remark", "__direction"))
 
 
 def record_hashes(rows: DataFrame, key: str = "row_id", serial: str = "txn_serial", columns: list[str] = BUSINESS) -> DataFrame:
     """(row_id, h, x): two independent hashes of each record's canonical text, null for a record without a serial, which has no copies."""
     numbered = F.coalesce(F.trim(F.translate(F.col(serial), "　\t\n\r", "    ")) != "", F.lit(False))
-    text = rows.select(key, F.inline(F.array(F.struct(F.when(numbered, canonical(columns)).alias("t")))))
-    return text.select(key, F.when(F.col("t").isNotNull(), F.xxhash64("t")).alias("h"), F.unhex(F.md5("t")).alias("x"))
+    hashed = canonical(rows.filter(numbered), key, columns).select(key, F.xxhash64("t").alias("h"), F.unhex(F.md5("t")).alias("x"))
+    none = rows.filter(~numbered).select(key, F.lit(None).cast("bigint").alias("h"), F.lit(None).cast("binary").alias("x"))
+    return hashed.unionByName(none)
 
 
 def rounds_for(records: int) -> tuple[int, int]:
