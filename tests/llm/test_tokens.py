@@ -43,6 +43,26 @@ def test_random_bytes_of_letters(theirs):
         assert MINE.encode(s) == theirs.encode_ordinary(s)
 
 
+def test_the_quick_pattern_is_taken_only_where_both_agree():
+    import re
+    import unicodedata
+
+    import regex
+
+    letter, number, space = (regex.compile(p).match for p in (r"\p{L}", r"\p{N}", r"\s"))
+    letter2, number2, space2 = (re.compile(p).match for p in (r"[^\W\d_]", r"\d", r"\s"))
+    chars = [chr(i) for i in range(0x20000) if MINE.plain(chr(i))]
+    assert len(chars) > 20_000 and not any(c in chars for c in "²½ⅷ〇①\x1c")
+    for c in chars:
+        assert (bool(letter(c)), bool(number(c)), bool(space(c))) == (bool(letter2(c)), bool(number2(c)), bool(space2(c))), (hex(ord(c)), unicodedata.category(c))
+    rng = random.Random(4)
+    pick = "ab'sdm tlr_1٣9é中文、。 \n\t\u3000.-\u200d🙂"
+    for _ in range(3000):
+        t = "".join(rng.choice(pick) for _ in range(rng.randrange(30)))
+        assert MINE.split(t) == MINE.exact(t)
+        assert MINE.count(t) == len(MINE.encode(t))
+
+
 def test_queue_order():
     rng, q, want = random.Random(1), tk.RankQueue(), {}
     for i in range(5000):
