@@ -56,7 +56,7 @@ def test_matches_equal_a_queue(spark, seed):
                     if not lots[0][1]:
                         lots.popleft()
     df = spark.createDataFrame(rows, "k string, i int, way string, amount int")
-    run = fifo.running(df, ["k"], ["i"], "amount", F.col("way") == "IN", F.col("way") == "OUT")
+    run = fifo.lots(df, ["k"], ["i"], "amount", F.col("way") == "IN", F.col("way") == "OUT")
     got = {(r.k, r.lot_i, r.use_i): int(r.quantity) for r in fifo.matches(run, ["k"], ["i"], ["i"], buckets=8).collect()}
     assert got == want
 

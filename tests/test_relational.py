@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from tracewright import runtime
@@ -30,9 +31,10 @@ def test_asof_against_brute_force(spark):
 
 def test_lookup_of_a_large_side_with_hot_keys(spark, monkeypatch):
     monkeypatch.setattr(runtime, "small", lambda *a, **k: False)
+    monkeypatch.setattr(runtime, "SAMPLE_SHARE", 0.5)
     rows = spark.createDataFrame([(i, "hot" if i % 3 == 0 else None if i % 7 == 0 else f"k{i % 50}", i % 2) for i in range(3000)], "i int, k string, b int")
     dim = spark.createDataFrame([("hot", 0, 1), ("hot", 1, 2), (None, 0, 3)] + [(f"k{j}", 1, 100 + j) for j in range(0, 50, 2)], "k string, b int, v int")
-    got = {r.i: r.v for r in runtime.skew_safe_lookup(rows, dim, ["k", "b"], ["v"], 0.05).collect()}
+    got = {r.i: r.v for r in runtime.skew_safe_lookup(rows, dim, ["k", "b"], ["v"]).collect()}
     table = {(r.k, r.b): r.v for r in dim.collect()}
     assert got == {r.i: table.get((r.k, r.b)) for r in rows.collect()}
 
@@ -66,3 +68,60 @@ def test_keyset_pages_cover_everything_once(spark):
         seen += [(r.g, r.i) for r in rows]
         cursor = seen[-1]
     assert seen == sorted(seen, reverse=True) and len(seen) == 50
+
+
+def plain_running(rows):
+    """rows: (key, order, in, out) -> by key and order: sums so far, greatest excess so far, the same before, greatest in before."""
+    out, state = {}, {}
+    for k, o, i, u in sorted(rows, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        a, b, high, top = state.get(k, (0, 0, 0, None))
+        new = (a + i, b + u, max(high, b + u - a - i), i if top is None else max(top, i))
+        out[k, o] = (new[0], new[1], new[2], high, top)
+        state[k] = new
+    return out
+
+
+@pytest.fixture
+def many_parts(spark):
+    """Range partitions of small tables aren't put together again."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_running_values_of_a_key_with_most_rows(spark, many_parts):
+    rng = random.Random(3)
+    rows = [("hot" if n % 10 else None if n % 30 == 0 else f"k{n % 7}", n, rng.randrange(9), rng.randrange(9)) for n in range(4000)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, o int, i int, u int").repartition(7)
+    got = rl.running(df, ["k"], ["o"], {"a": F.col("i"), "b": F.col("u")}, highs={"h": ("b", "a")}, before={"t": F.col("i")}, earlier_highs={"e": "h"})
+    assert {(r.k, r.o): (r.a, r.b, r.h, r.e, r.t) for r in got.collect()} == plain_running(rows)
+    # The hot key is spread over partitions.
+    assert rl.ranged(df, ["k"], ["o"], "t").filter("k = 'hot'").select("__p").distinct().count() > 1
+    assert rl.running(df.limit(0), ["k"], ["o"], {"a": F.col("i")}).count() == 0
+
+
+def test_percentiles_and_ranges_of_a_hot_key(spark, many_parts):
+    rng = random.Random(4)
+    rows = [("hot" if n % 10 else f"k{n % 5}", rng.choice([rng.randrange(50), rng.randrange(10**6)])) for n in range(3000)] + [("hot", None), ("empty", None)]
+    df = spark.createDataFrame(rows, "k string, v int")
+    got = {r.k: r.p for r in rl.rank_pick(df, ["k"], "v", F.floor((F.col("n") - 1) * 0.9) + 1, "p").collect()}
+    want = {}
+    for k, v in rows:
+        if v is not None:
+            want.setdefault(k, []).append(v)
+    assert got == {k: sorted(v)[int((len(v) - 1) * 0.9)] for k, v in want.items()}
+    spans = [("hot" if n % 10 else f"k{n % 5}", a := rng.randrange(40000), a + rng.randrange(12)) for n in range(3000)]
+    merged = []
+    for k in {s[0] for s in spans}:
+        mine = sorted(s[1:] for s in spans if s[0] == k)
+        lo, hi, n = *mine[0], 1
+        for a, b in mine[1:]:
+            if a > hi + 1:
+                merged.append((k, lo, hi, n))
+                lo, hi, n = a, b, 1
+            else:
+                hi, n = max(hi, b), n + 1
+        merged.append((k, lo, hi, n))
+    out = rl.merge_ranges(spark.createDataFrame(spans, "k string, lo int, hi int"), ["k"], "lo", "hi")
+    assert sorted((r.k, r.lo, r.hi, r.ranges) for r in out.collect()) == sorted(merged)

@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewright.runtime import materialize, skew_safe_lookup
+
 D18 = "decimal(38,18)"
 STABLE = ("USDX", "EURX", "ZNB")
 
@@ -122,18 +124,29 @@ def summary_v2(act: DataFrame) -> DataFrame:
 
 
 def counterparties_v2(act: DataFrame, k: int = 5) -> DataFrame:
-    """Four rankings (IN value, OUT value, rows, absolute net) of one grouped result, with the share of the total and the latest label."""
-    g = act.filter(F.col("counterparty_address") != "").groupBy("chain_id", "address", "counterparty_address").agg(
+    """The first ``k`` counterparties of each address in four rankings (IN value, OUT value, rows, absolute net) of one grouped result,
+    with the share of the total of the ranking's measure and the latest label.
+
+    The grouped result is written once; ranks end at ``k``, so Spark keeps k counterparties of an address on the map side, and totals are
+    partial sums.
+    """
+    from tracewright.operators.relational import top_per_group
+
+    by = ["chain_id", "address"]
+    g = act.filter(F.col("counterparty_address") != "").groupBy(*by, "counterparty_address").agg(
         zero_sum(F.col("amount"), is_in()).alias("in_amount"), zero_sum(F.col("amount"), is_out()).alias("out_amount"), F.count(F.lit(1)).alias("rows"),
         F.max(F.when(F.col("counterparty_label") != "", F.struct("block_time", "counterparty_label"))).alias("l"),
-    ).withColumn("label", F.col("l.counterparty_label")).drop("l")
-    w = Window.partitionBy("chain_id", "address")
-    rank = lambda c: F.row_number().over(w.orderBy(F.desc(c), "counterparty_address"))
-    g = g.withColumn("net", F.abs(F.col("in_amount") - F.col("out_amount")))
-    return g.select(
-        "chain_id", "address", "counterparty_address", "in_amount", "out_amount", "rows", "label", ratio(F.col("rows"), F.sum("rows").over(w)).alias("row_share"),
-        rank("in_amount").alias("in_rank"), rank("out_amount").alias("out_rank"), rank("rows").alias("row_rank"), rank("net").alias("net_rank"),
-    ).filter((F.col("in_rank") <= k) | (F.col("out_rank") <= k) | (F.col("row_rank") <= k) | (F.col("net_rank") <= k))
+    )
+    net = F.abs(F.col("in_amount") - F.col("out_amount"))
+    g = materialize(g.select(*by, "counterparty_address", "in_amount", "out_amount", "rows", F.col("l.counterparty_label").alias("label"), net.cast(D18).alias("net")), "counterparties")
+    measures = {"in_value": "in_amount", "out_value": "out_amount", "rows": "rows", "net": "net"}
+    total = g.groupBy(*by).agg(*[F.sum(F.col(c).cast(D18)).cast(D18).alias(f"all_{n}") for n, c in measures.items()])
+    out = None
+    for name, c in measures.items():
+        top = top_per_group(g, by, [F.desc(c), "counterparty_address"], k).join(total.select(*by, F.col(f"all_{name}").alias("all")), by)
+        part = top.select(*by, F.lit(name).alias("ranking"), "rank", "counterparty_address", "in_amount", "out_amount", "rows", "label", ratio(F.col(c), F.nullif("all", F.lit(0))).alias("share"))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def concentration(act: DataFrame) -> DataFrame:
@@ -203,6 +216,14 @@ def financial_summary(act: DataFrame, large: float = 1000.0) -> DataFrame:
     return base.join(rank_pick(act, by, "usd_value", F.floor(F.col("n") * 0.5) + 1, "median_usd"), by, "left")
 
 
+def family(contracts: DataFrame, kin: str) -> DataFrame:
+    """Every contract (chain_id, ...) with the number of contracts of its family, which share a non-empty ``kin`` (a code hash, a creator), and the
+    chains they are on; a contract without kin is alone. Counts are aggregated and looked up, so a large family is no window."""
+    n = contracts.filter(F.col(kin) != "").groupBy(kin).agg(F.count(F.lit(1)).alias("family_size"), F.countDistinct("chain_id").alias("chains"))
+    j = skew_safe_lookup(contracts, n, [kin], ["family_size", "chains"])
+    return j.withColumn("family_size", F.coalesce("family_size", F.lit(1))).withColumn("chains", F.coalesce("chains", F.lit(1)))
+
+
 def entity_statistics(act: DataFrame) -> DataFrame:
     """Rows, addresses and volumes per counterparty kind and role."""
     return act.filter(F.col("counterparty_entity_type") != "").groupBy("counterparty_entity_type", "counterparty_role").agg(

@@ -13,30 +13,30 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.runtime import materialize, same_keys
+from tracewright.operators.relational import running
+from tracewright.runtime import materialize, same_keys, skew_safe_lookup
 
 D18 = "decimal(38,18)"
 
 
-def running(events: DataFrame, key: Sequence[str], order: Sequence[str], amount: str, is_in: Column, is_out: Column) -> DataFrame:
-    """``events`` with lot_from, lot_to (inflows), use_from, use_to, unmatched (outflows) and all_in, the key's whole inflow; written once."""
-    by = Window.partitionBy(*key)
-    w = by.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+def lots(events: DataFrame, key: Sequence[str], order: Sequence[str], amount: str, is_in: Column, is_out: Column) -> DataFrame:
+    """``events`` with lot_from, lot_to (inflows), use_from, use_to, unmatched (outflows) and all_in, the key's whole inflow; written once.
+
+    The running values come from prefix sums over range partitions, so one key may hold most events. ``order`` must be unique in a key.
+    """
     zero = F.lit(0).cast(D18)
     a = F.col(amount).cast(D18)
     e = events.withColumn("__in", F.when(is_in, a).otherwise(zero)).withColumn("__out", F.when(is_out, a).otherwise(zero))
-    e = e.withColumn("__cum_in", F.sum("__in").over(w).cast(D18)).withColumn("__cum_out", F.sum("__out").over(w).cast(D18))
-    e = e.withColumn("__short", F.greatest(zero, F.max(F.col("__cum_out") - F.col("__cum_in")).over(w)).cast(D18))
-    e = e.withColumn("__short_before", F.coalesce(F.lag("__short").over(by.orderBy(*order)), zero)).withColumn("all_in", F.max("__cum_in").over(by))
-    return materialize(
-        e.select(
-            *events.columns,
-            F.when(is_in, (F.col("__cum_in") - F.col("__in")).cast(D18)).alias("lot_from"), F.when(is_in, F.col("__cum_in")).alias("lot_to"),
-            F.when(is_out, (F.col("__cum_out") - F.col("__out") - F.col("__short_before")).cast(D18)).alias("use_from"), F.when(is_out, (F.col("__cum_out") - F.col("__short")).cast(D18)).alias("use_to"),
-            F.when(is_out, (F.col("__short") - F.col("__short_before")).cast(D18)).alias("unmatched"), "all_in",
-        ),
-        "lots",
+    e = running(e, key, order, {"__cum_in": F.col("__in"), "__cum_out": F.col("__out")}, highs={"__short": ("__cum_out", "__cum_in")}, earlier_highs={"__short_before": "__short"})
+    short_before = F.col("__short_before")
+    totals = events.groupBy(*key).agg(F.coalesce(F.sum(F.when(is_in, a)), zero).cast(D18).alias("all_in"))
+    run = e.select(
+        *events.columns,
+        F.when(is_in, (F.col("__cum_in") - F.col("__in")).cast(D18)).alias("lot_from"), F.when(is_in, F.col("__cum_in")).alias("lot_to"),
+        F.when(is_out, (F.col("__cum_out") - F.col("__out") - short_before).cast(D18)).alias("use_from"), F.when(is_out, (F.col("__cum_out") - F.col("__short")).cast(D18)).alias("use_to"),
+        F.when(is_out, (F.col("__short") - short_before).cast(D18)).alias("unmatched"),
     )
+    return materialize(skew_safe_lookup(run, totals, list(key), ["all_in"]), "lots")
 
 
 def matches(run: DataFrame, key: Sequence[str], lot_cols: Sequence[str], use_cols: Sequence[str], buckets: int = 64) -> DataFrame:
@@ -61,7 +61,7 @@ def flow_windows(act: DataFrame, as_of: Column, retention_h: Sequence[int] = (1,
     key = ["chain_id", "address", "token_address"]
     e = act.filter(F.col("direction").isin("IN", "OUT") & (F.col("amount") > 0) & (F.col("block_time") <= as_of)).select(*key, "block_time", "block_number", "tx_hash", "event_index", "activity_id", "direction", "amount")
     order = ["block_time", "block_number", "tx_hash", "event_index", "activity_id"]
-    run = running(e, key, order, "amount", F.col("direction") == "IN", F.col("direction") == "OUT")
+    run = lots(e, key, order, "amount", F.col("direction") == "IN", F.col("direction") == "OUT")
     m = matches(run, key, ["block_time", "activity_id"], ["block_time", "activity_id"])
     age = F.unix_micros("use_block_time") - F.unix_micros("lot_block_time")
     ripe = lambda c, s: F.unix_micros(c) + s * 1_000_000 <= F.unix_micros(as_of)
@@ -96,7 +96,7 @@ def pnl(events: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFram
     e = events.filter((is_in | is_out) & (F.col("amount") > 0))
     cost = F.when(F.col("type").isin(*BUYS) & F.col("usd_value").isNotNull(), F.col("usd_value").cast("double") + F.coalesce(F.col("gas_usd"), F.lit(0)).cast("double"))
     e = e.withColumn("__unit", cost / F.col("amount").cast("double"))
-    run = running(e, key, order, "amount", is_in, is_out)
+    run = lots(e, key, order, "amount", is_in, is_out)
     m = matches(run, key, ["__unit"], ["type", "amount", "usd_value", "gas_usd"])
     q, sale = F.col("quantity").cast("double"), F.col("use_type").isin(*SELLS)
     known = F.col("lot___unit").isNotNull()

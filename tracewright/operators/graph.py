@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.runtime import materialize
+from tracewright.runtime import discard, materialize, skew_safe_lookup, small, written
 
 D18 = "decimal(38,18)"
 
@@ -42,16 +42,21 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, che
     dangling in an undirected graph, so a round is one join and one aggregation.
     """
     links = edges.select(F.inline(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b"))))).groupBy("a", "b").agg(F.count(F.lit(1)).alias("w"))
-    links = links.withColumn("share", F.col("w") / F.sum("w").over(Window.partitionBy("a")))
-    links = materialize(links.select("a", "b", "share"), "links")
+    degree = links.groupBy("a").agg(F.sum("w").alias("all"))
+    links = materialize(skew_safe_lookup(links, degree, ["a"], ["all"]).select("a", "b", (F.col("w") / F.col("all")).alias("share")), "links")
     nodes = materialize(links.select(F.col("a").alias("node")).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
-    ranks = nodes.withColumn("rank", F.lit(1.0 / n))
+    ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(1, iterations + 1):
         got = ranks.join(links, ranks.node == links.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping + (1 - damping) / n).alias("rank"))
-        ranks = materialize(got, "ranks") if i % checkpoint_every == 0 else got
+        if i % checkpoint_every == 0:
+            ranks, at = written(got, "ranks")
+            discard(edges.sparkSession, last)
+            last = at
+        else:
+            ranks = got
     return ranks.select("node", F.round("rank", 6).alias("rank"))
 
 
@@ -59,7 +64,7 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, component), the component named by its least node: large-star and small-star until nothing changes."""
     both = edges.select("src", "dst").filter(F.col("src").isNotNull() & F.col("dst").isNotNull())
     nodes = both.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
-    e = materialize(both.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
+    e, last = written(both.filter(F.col("src") != F.col("dst")).select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct(), "stars")
     mark = None
     while True:
         sym = e.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
@@ -67,7 +72,9 @@ def components(edges: DataFrame) -> DataFrame:
         large = sym.join(low.withColumn("m", F.least("u", "m")), "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.explode(F.array("u", "v")).alias("u"), F.col("m").alias("v")).filter(F.col("u") != F.col("v")).distinct()
-        e = materialize(small, "stars")
+        e, at = written(small, "stars")
+        discard(edges.sparkSession, last)
+        last = at
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == mark:
             break
@@ -125,28 +132,49 @@ def beam_paths(edges: DataFrame, root: str, hops: int, beam: int) -> DataFrame:
 
 
 def round_trips(edges: DataFrame, longest: int = 3) -> DataFrame:
-    """Cycles of 2 or 3 edges, each named once from its least node."""
+    """Cycles of 2 or 3 edges, each named once from its least node.
+
+    A cycle of three is looked for at its node of least degree (ties by name), between a way in and a way out that both lead to greater
+    nodes. A hub therefore joins only with other hubs, and the pairs looked at are at most edges^1.5, not the square of a hub's degree.
+    """
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    a, b, c = e.alias("a"), e.alias("b"), e.alias("c")
+    if longest >= 3:
+        e = materialize(e, "arcs")
+    a, b = e.alias("a"), e.alias("b")
     two = a.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") == F.col("a.src"))).filter(F.col("a.src") < F.col("a.dst")).select(F.concat_ws(">", "a.src", "a.dst", "a.src").alias("cycle"), F.lit(2).alias("hops"))
     if longest < 3:
         return two
-    ab = a.join(b, F.col("a.dst") == F.col("b.src")).filter((F.col("a.src") < F.col("a.dst")) & (F.col("a.src") < F.col("b.dst")) & (F.col("a.dst") != F.col("b.dst")))
-    three = ab.join(c, (F.col("c.src") == F.col("b.dst")) & (F.col("c.dst") == F.col("a.src"))).select(F.concat_ws(">", "a.src", "a.dst", "b.dst", "a.src").alias("cycle"), F.lit(3).alias("hops"))
-    return two.unionByName(three)
+    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    ranked = skew_safe_lookup(skew_safe_lookup(e.withColumn("node", F.col("src")), degree, ["node"], ["d"]).withColumnRenamed("d", "ds").withColumn("node", F.col("dst")), degree, ["node"], ["d"]).drop("node")
+    up = F.struct("ds", "src") < F.struct("d", "dst")
+    out = ranked.filter(up).select(F.col("src").alias("low"), F.col("dst").alias("v"))
+    back = ranked.filter(~up).select(F.col("dst").alias("low"), F.col("src").alias("w"))
+    wedge = out.join(back, "low").filter(F.col("v") != F.col("w")).alias("x")
+    closed = wedge.join(e.alias("c"), (F.col("c.src") == F.col("x.v")) & (F.col("c.dst") == F.col("x.w")))
+    least = F.least("x.low", "x.v", "x.w")
+    name = F.when(F.col("x.low") == least, F.concat_ws(">", "x.low", "x.v", "x.w", "x.low")).when(F.col("x.v") == least, F.concat_ws(">", "x.v", "x.w", "x.low", "x.v")).otherwise(F.concat_ws(">", "x.w", "x.low", "x.v", "x.w"))
+    return two.unionByName(closed.select(name.alias("cycle"), F.lit(3).alias("hops")))
 
 
 def conversions(transfers: DataFrame, blocks: int = 20) -> DataFrame:
     """For each incoming transfer the largest outgoing one of another token at the same address within ``blocks`` blocks.
 
-    Both sides meet by address and block range (each outgoing in up to three), so a busy address is many small joins.
+    Of each address and block only two outgoing transfers can be an answer: the largest, and the largest of another token than that. And
+    incoming transfers of the same address, token and block have the same answer. So a busy address meets at most 6 ``blocks`` rows for each
+    of its tokens and blocks, however many transfers it has.
     """
-    width = blocks
-    i = transfers.filter("src <> dst").select(F.col("dst").alias("node"), F.col("token").alias("in_token"), F.col("amount").alias("in_amount"), F.col("block").alias("in_block"), "tx", "log_index", F.floor(F.col("block") / width).alias("b"))
-    o = transfers.filter("src <> dst").select(F.col("src").alias("node"), F.col("token").alias("out_token"), F.col("amount").alias("out_amount"), F.col("block").alias("out_block"), F.explode(F.expr(f"sequence(floor(block / {width}) - 1, floor(block / {width}) + 1)")).alias("b"))
-    j = i.join(o, ["node", "b"]).filter((F.col("in_token") != F.col("out_token")) & (F.abs(F.col("in_block") - F.col("out_block")) <= blocks))
-    best = j.groupBy("node", "tx", "log_index", "in_token", "in_amount", "in_block").agg(F.max(F.struct("out_amount", "out_token", "out_block")).alias("m"))
-    return best.select("node", "tx", "log_index", "in_token", "in_amount", "in_block", "m.out_amount", "m.out_token")
+    live = transfers.filter("src <> dst")
+    best = F.max(F.struct(F.col("amount").alias("out_amount"), F.col("token").alias("out_token"), F.col("block").alias("out_block")))
+    o = live.groupBy(F.col("src").alias("node"), F.col("block").alias("b"), "token").agg(best.alias("m"))
+    first = o.groupBy("node", "b").agg(F.max("m").alias("m1"), F.collect_list("m").alias("all"))  # one entry a token
+    two = first.select("node", "b", F.explode(F.array_compact(F.array("m1", F.array_max(F.filter("all", lambda x: x.out_token != F.col("m1.out_token")))))).alias("m"))
+    asked = live.select(F.col("dst").alias("node"), F.col("token").alias("in_token"), F.col("block").alias("in_block")).distinct().withColumn("span", F.floor(F.col("in_block") / blocks))
+    near = two.withColumn("span", F.explode(F.expr(f"sequence(floor(b / {blocks}) - 1, floor(b / {blocks}) + 1)")))
+    met = asked.join(near, ["node", "span"]).filter((F.col("in_token") != F.col("m.out_token")) & (F.abs(F.col("in_block") - F.col("b")) <= blocks))
+    found = met.groupBy("node", "in_token", "in_block").agg(F.max("m").alias("m"))
+    i = live.select(F.col("dst").alias("node"), "tx", "log_index", F.col("token").alias("in_token"), F.col("amount").alias("in_amount"), F.col("block").alias("in_block"))
+    got = skew_safe_lookup(i, found, ["node", "in_token", "in_block"], ["m"]).filter(F.col("m").isNotNull())
+    return got.select("node", "tx", "log_index", "in_token", "in_amount", "in_block", "m.out_amount", "m.out_token").distinct()
 
 
 def shortest_hops(edges: DataFrame, source: str, target: str, most: int = 6) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from tracewright.operators.relational import asof_left
+from tracewright.operators.relational import asof_left, rank_pick
+from tracewright.runtime import skew_safe_lookup
 
 D18 = "decimal(38,18)"
 RANKS = {"HIGH": 3, "MEDIUM": 2, "LOW": 1}
@@ -17,9 +17,8 @@ def minute_bars(swaps: DataFrame, max_deviation: float = 0.2) -> DataFrame:
     ``max_deviation`` from the upper median: OHLC, USD-weighted price, volume, trades, pools and routes."""
     key = ["token", "minute"]
     s = swaps.withColumn("minute", F.date_trunc("minute", "t"))
-    w = Window.partitionBy(*key)
-    s = s.withColumn("n", F.count(F.lit(1)).over(w)).withColumn("r", F.row_number().over(w.orderBy("price", "seq")))
-    s = s.withColumn("median", F.max(F.when(F.col("r") == F.floor(F.col("n") / 2) + 1, F.col("price"))).over(w))
+    median = rank_pick(s, key, "price", F.floor(F.col("n") / 2) + 1, "median")
+    s = skew_safe_lookup(s, median, key, ["median"])
     kept = s.filter(F.abs(F.col("price") - F.col("median")) <= F.col("median") * max_deviation)
     at = F.struct("t", "seq")
     return kept.groupBy(*key).agg(

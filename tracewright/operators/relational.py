@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewright.runtime import materialize, same_keys, skew_safe_lookup
+
 
 def final_view(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> DataFrame:
     """The latest version of each key (nulls are a key). One aggregation with map-side combining, no sort of whole groups."""
@@ -17,11 +19,64 @@ def final_view(df: DataFrame, keys: Sequence[str], version: Sequence[str]) -> Da
     return best.select(*[F.col(c) if c in keys else F.col(f"__v.{c}").alias(c) for c in df.columns])
 
 
-def dedup_with_audit(df: DataFrame, identity: Column, order: Sequence[str | Column], row_id: str) -> DataFrame:
-    """U4: every row with its identity, copy number (1 is kept) and the kept row's id. Rows with a null identity are all kept."""
+def ranged(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], name: str) -> DataFrame:
+    """``df`` sorted over range partitions of (by, order) and written: __p is the partition, __i the row's place in it.
+
+    A group of any size is cut between partitions, so nothing that goes on from here has to hold or sort a whole group in one task.
+    """
+    keys = [*[F.col(c) for c in by], *[F.col(c) if isinstance(c, str) else c for c in order]]
+    at = F.monotonically_increasing_id()
+    return materialize(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("__p", F.spark_partition_id()).withColumn("__i", at), name)
+
+
+def running(df: DataFrame, by: Sequence[str], order: Sequence[Column | str], sums: Mapping[str, Column], highs: Mapping[str, tuple[str, str]] | None = None, before: Mapping[str, Column] | None = None, earlier_highs: Mapping[str, str] | None = None) -> DataFrame:
+    """``df`` with running values along ``order`` in each group of ``by`` (nulls are a group); ``order`` should be unique within a group.
+
+    ``sums``: sums up to and including the row. ``highs``: for name -> (a, b) the greatest a - b of two of the sums so far, at least 0.
+    ``earlier_highs``: for name -> high the high before the row, 0 at a group's first row.
+    ``before``: the greatest value of a column among the earlier rows, null at a group's first row. Prefix sums over range partitions: values
+    run within a partition, and a partition's first group goes on from what the partitions before it hold of that group, so a group that
+    holds most rows is spread over all tasks.
+    """
+    highs, before, late = dict(highs or {}), dict(before or {}), dict(earlier_highs or {})
+    cols = df.columns
+    base = ranged(df.withColumns({f"__s_{n}": c for n, c in sums.items()} | {f"__b_{n}": c for n, c in before.items()}), by, order, "ranged")
+    w = Window.partitionBy("__p", *by).orderBy("__i")
+    upto, earlier = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
+    kind = {n: base.schema[f"__s_{n}"].dataType for n in sums}
+    wide = lambda n: "decimal(38,18)" if kind[n].typeName() == "decimal" else "bigint" if kind[n].typeName() in ("integer", "long", "short", "byte") else "double"
+    local = base.withColumns({f"__r_{n}": F.sum(f"__s_{n}").over(upto).cast(wide(n)) for n in sums} | {f"__e_{n}": F.max(f"__b_{n}").over(earlier) for n in before})
+    local = local.withColumns({f"__h_{n}": F.max(F.col(f"__r_{a}") - F.col(f"__r_{b}")).over(upto) for n, (a, b) in highs.items()})
+    local = local.withColumns({f"__l_{n}": F.max(F.col(f"__r_{highs[h][0]}") - F.col(f"__r_{highs[h][1]}")).over(earlier) for n, h in late.items()})
+    # One row per partition and group in it; only the groups that go on from the partition before matter, at most one a partition.
+    parts = local.groupBy("__p", *by).agg(
+        *[F.coalesce(F.sum(f"__s_{n}"), F.lit(0)).cast(wide(n)).alias(f"__s_{n}") for n in sums], *[F.max(f"__h_{n}").alias(f"__h_{n}") for n in highs], *[F.max(f"__b_{n}").alias(f"__b_{n}") for n in before]
+    )
+    g = Window.partitionBy(*by).orderBy("__p")
+    past = g.rowsBetween(Window.unboundedPreceding, -1)
+    carry = parts.withColumns({f"__o_{n}": F.sum(f"__s_{n}").over(past).cast(wide(n)) for n in sums} | {"__n": F.row_number().over(g)})
+    carry = carry.withColumns({f"__o_{n}": F.max(F.coalesce(F.col(f"__o_{a}") - F.col(f"__o_{b}"), F.lit(0)) + F.col(f"__h_{n}")).over(past) for n, (a, b) in highs.items()} | {f"__o_{n}": F.max(f"__b_{n}").over(past) for n in before})
+    carry = carry.filter("__n > 1").select("__p", *by, *[f"__o_{n}" for n in (*sums, *highs, *before)])
+    out = local.alias("l").join(F.broadcast(carry).alias("c"), same_keys("l", "c", "__p", *by), "left")  # at most one row a partition
+    zero = F.lit(0)
+    return out.select(
+        *[F.col(f"l.{c}") for c in cols],
+        *[(F.coalesce(f"__o_{n}", zero) + F.col(f"__r_{n}")).cast(wide(n)).alias(n) for n in sums],
+        *[F.greatest(zero, F.coalesce(F.col(f"__o_{a}") - F.col(f"__o_{b}"), zero) + F.col(f"__h_{n}"), F.coalesce(f"__o_{n}", zero)).cast(wide(a)).alias(n) for n, (a, b) in highs.items()],
+        *[F.greatest(zero, F.coalesce(F.col(f"__o_{highs[h][0]}") - F.col(f"__o_{highs[h][1]}"), zero) + F.col(f"__l_{n}"), F.coalesce(f"__o_{h}", zero)).cast(wide(highs[h][0])).alias(n) for n, h in late.items()],
+        *[F.greatest(f"__o_{n}", f"__e_{n}").alias(n) for n in before],
+    )
+
+
+def dedup_with_audit(df: DataFrame, identity: Column, order: Sequence[str], row_id: str) -> DataFrame:
+    """U4: every row with its identity, copy number (1 is kept) and the kept row's id. Rows with a null identity are all kept.
+
+    Copies are numbered by a running count, and the kept id is a map-side combinable minimum that a lookup brings to the rows.
+    """
     keyed = df.withColumn("identity", F.coalesce(identity, F.concat(F.lit("row:"), F.col(row_id).cast("string"))))
-    w = Window.partitionBy("identity").orderBy(*order)
-    return keyed.withColumn("copy_no", F.row_number().over(w)).withColumn("kept_id", F.first(row_id).over(w))
+    kept = keyed.groupBy("identity").agg(F.min(F.struct(*order, F.col(row_id).alias("__id"))).alias("m")).select("identity", F.col("m.__id").alias("kept_id"))
+    numbered = running(keyed, ["identity"], order, {"copy_no": F.lit(1)})
+    return skew_safe_lookup(numbered.withColumn("copy_no", F.col("copy_no").cast("int")), kept, ["identity"], ["kept_id"])
 
 
 def asof_left(facts: DataFrame, dims: DataFrame, by: Sequence[str], fact_t: str, dim_t: str, values: Sequence[str], max_age_s: int | None = None, bucket_s: int = 86400) -> DataFrame:
@@ -58,9 +113,12 @@ def either_side(rows: DataFrame, targets: DataFrame, left: str, right: str, key:
 
 
 def touching(rows: DataFrame, targets: DataFrame, left: str, right: str, key: str) -> DataFrame:
-    """Distinct rows that touch a target on either side: two semi joins and a distinct union."""
-    hit = lambda side: rows.join(targets, rows[side] == targets[key], "left_semi")
-    return hit(left).union(hit(right)).distinct()
+    """Distinct rows that touch a target on either side. One scan marks the rows by two lookups of the targets, so the input is read once
+    and only rows that touch one are made distinct."""
+    marks = targets.select(F.col(key).alias("__k")).distinct().withColumn("__hit", F.lit(True))
+    one = skew_safe_lookup(rows.withColumn("__k", F.col(left)), marks, ["__k"], ["__hit"]).withColumnRenamed("__hit", "__left")
+    two = skew_safe_lookup(one.withColumn("__k", F.col(right)), marks, ["__k"], ["__hit"])
+    return two.filter(F.col("__left") | F.col("__hit")).select(*rows.columns).distinct()
 
 
 def fan_out(df: DataFrame, src: str, dst: str, rest: Sequence[str | Column]) -> DataFrame:
@@ -92,14 +150,11 @@ def capped(df: DataFrame, order: Sequence[Column | str], limit: int) -> DataFram
 def cover_share(df: DataFrame, amount: str, order: Sequence[Column | str], share: float) -> DataFrame:
     """T5: the largest rows until they cover ``share`` of the total: a row stays if the rows before it cover less.
 
-    Range-partitioned prefix sums: partition totals (one row per partition) give each partition's start, so no task sorts everything.
+    The input is written once; range partitions and prefix sums do the rest, so no task sorts everything.
     """
-    sorted_df = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id())
-    from tracewright.runtime import materialize
-
-    sorted_df = materialize(sorted_df, "cover")
+    sorted_df = ranged(materialize(df, "input"), [], order, "cover")
     parts = sorted_df.groupBy("__p").agg(F.sum(amount).alias("__n"))
-    before = parts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total"))
+    before = parts.select("__p", F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__start"), F.sum("__n").over(Window.partitionBy()).alias("__total"))  # one row a partition
     run = F.coalesce(F.sum(amount).over(Window.partitionBy("__p").orderBy("__i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     out = sorted_df.join(F.broadcast(before), "__p").withColumn("__prior", F.col("__start") + run)
     return out.filter(F.col("__prior") < F.col("__total") * F.lit(share).cast("decimal(6,4)")).drop("__p", "__i", "__start", "__total", "__prior")
@@ -121,11 +176,12 @@ def gaps(buckets: DataFrame, by: Sequence[str], at: str, step: int) -> DataFrame
 
 
 def merge_ranges(df: DataFrame, by: Sequence[str], lo: str, hi: str) -> DataFrame:
-    """Overlapping or adjacent ranges as one."""
-    w = Window.partitionBy(*by).orderBy(lo, hi)
-    start = F.coalesce(F.col(lo) > F.max(hi).over(w.rowsBetween(Window.unboundedPreceding, -1)) + 1, F.lit(True))
-    isle = df.withColumn("__s", start.cast("int")).withColumn("__g", F.sum("__s").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return isle.groupBy(*by, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.count(F.lit(1)).alias("ranges")).drop("__g")
+    """Overlapping or adjacent ranges as one, with how many there were. Running maxima and counts over range partitions, see :func:`running`."""
+    counted = df.groupBy(*by, lo, hi).agg(F.count(F.lit(1)).alias("__k"))
+    top = running(counted, by, [lo, hi], {}, before={"__top": F.col(hi)})
+    start = F.coalesce(F.col(lo) > F.col("__top") + 1, F.lit(True))
+    isle = running(top.withColumn("__s", start.cast("int")), by, [lo, hi], {"__g": F.col("__s")})
+    return isle.groupBy(*by, "__g").agg(F.min(lo).alias(lo), F.max(hi).alias(hi), F.sum("__k").alias("ranges")).drop("__g")
 
 
 def dense_index(df: DataFrame, group: Sequence[str], identity: Sequence[str], offset: int) -> DataFrame:
@@ -134,7 +190,17 @@ def dense_index(df: DataFrame, group: Sequence[str], identity: Sequence[str], of
 
 
 def rank_pick(df: DataFrame, by: Sequence[str], value: str, position: Column, name: str) -> DataFrame:
-    """The value at ``position`` (1-based, from the count ``n``) of each group's ascending order: the percentiles that are no percentile_disc."""
-    w = Window.partitionBy(*by)
-    ranked = df.filter(F.col(value).isNotNull()).select(*by, value, F.row_number().over(w.orderBy(value)).alias("__r"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.filter(F.col("__r") == position).select(*by, F.col(value).alias(name))
+    """The value at ``position`` (1-based, from the count ``n``) of each group's ascending order: the percentiles that are no percentile_disc.
+
+    Values are counted on the map side, sorted over range partitions, and the place is found by prefix sums: first the partition that holds
+    it, then the value in that partition. No task sorts a group.
+    """
+    counted = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__k"))
+    base = ranged(counted, by, [value], "values")
+    parts = base.groupBy("__p", *by).agg(F.sum("__k").alias("__m"))
+    g = Window.partitionBy(*by)
+    sums = parts.withColumn("__before", F.coalesce(F.sum("__m").over(g.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("n", F.sum("__m").over(g))
+    at = sums.withColumn("__at", position).filter((F.col("__before") < F.col("__at")) & (F.col("__at") <= F.col("__before") + F.col("__m"))).select("__p", *by, (F.col("__at") - F.col("__before")).alias("__need"))
+    run = F.sum("__k").over(Window.partitionBy("__p", *by).orderBy("__i"))
+    held = base.alias("b").join(at.alias("a"), same_keys("b", "a", "__p", *by)).select("b.*", "a.__need").withColumn("__run", run)
+    return held.filter((F.col("__run") >= F.col("__need")) & (F.col("__run") - F.col("__k") < F.col("__need"))).select(*by, F.col(value).alias(name))

@@ -401,11 +401,16 @@ def a11(spark: SparkSession, d: str) -> DataFrame:
     return aa.summary_v2(activity(spark, d))
 
 
+_RANKINGS = {"in_value": "in_amount", "out_value": "out_amount", "rows": "rows", "net": "abs(in_amount - out_amount)"}
+_RANKED = " UNION ALL ".join(
+    f"SELECT chain_id, address, '{n}' AS ranking, row_number() OVER (w ORDER BY {m} DESC, counterparty_address) AS rank, counterparty_address, in_amount, out_amount, rows, label, round(CAST({m} AS DOUBLE) / nullif(CAST(sum({m}) OVER w AS DOUBLE), 0), 6) AS share FROM g WINDOW w AS (PARTITION BY chain_id, address)"
+    for n, m in _RANKINGS.items()
+)
+
+
 @query("a12_counterparty_rankings", f"""WITH {ACT}, g AS (SELECT chain_id, address, counterparty_address, {_I} AS in_amount, {_O} AS out_amount, count(*) AS rows,
 max_by(counterparty_label, (coalesce(block_time, TIMESTAMPTZ '0001-01-01 00:00:00+00'), counterparty_label)) FILTER (counterparty_label <> '') AS label FROM act WHERE counterparty_address <> '' GROUP BY ALL),
-k AS (SELECT chain_id, address, counterparty_address, in_amount, out_amount, rows, label, round(rows / sum(rows) OVER w, 6) AS row_share, row_number() OVER (w ORDER BY in_amount DESC, counterparty_address) AS in_rank, row_number() OVER (w ORDER BY out_amount DESC, counterparty_address) AS out_rank,
-row_number() OVER (w ORDER BY rows DESC, counterparty_address) AS row_rank, row_number() OVER (w ORDER BY abs(in_amount - out_amount) DESC, counterparty_address) AS net_rank FROM g WINDOW w AS (PARTITION BY chain_id, address))
-SELECT * FROM k WHERE least(in_rank, out_rank, row_rank, net_rank) <= 5""")
+k AS ({_RANKED}) SELECT * FROM k WHERE rank <= 5""")
 def a12(spark: SparkSession, d: str) -> DataFrame:
     return aa.counterparties_v2(activity(spark, d))
 
@@ -497,11 +502,14 @@ def a33(spark: SparkSession, d: str) -> DataFrame:
     return activity(spark, d).filter(F.col("usd_value").between(100, 10**15)).select("activity_id", "usd_value").orderBy(F.desc("usd_value"), "activity_id").limit(10)
 
 
-@query("a43_family", "SELECT s_suppkey, s_nationkey, count(*) OVER (PARTITION BY s_nationkey) AS family_size FROM supplier")
-def a43(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+_FAMILY = "lower(trim(logo_hash)) AS kin FROM token_metadata_registry QUALIFY row_number() OVER (PARTITION BY chain_id, lower(trim(contract_address)) ORDER BY updated_at DESC, lower(trim(logo_hash)) DESC NULLS LAST) = 1"
 
-    return table(spark, d, "supplier").select("s_suppkey", "s_nationkey", F.count(F.lit(1)).over(Window.partitionBy("s_nationkey")).alias("family_size"))
+
+@query("a43_family", f"""WITH c AS (SELECT chain_id, lower(trim(contract_address)) AS contract, {_FAMILY}), n AS (SELECT kin, count(*) AS family_size, count(DISTINCT chain_id) AS chains FROM c WHERE kin <> '' GROUP BY kin) SELECT c.chain_id, contract, c.kin, coalesce(family_size, 1) AS family_size, coalesce(chains, 1) AS chains FROM c LEFT JOIN n ON n.kin = c.kin""")
+def a43(spark: SparkSession, d: str) -> DataFrame:
+    reg = table(spark, d, "token_metadata_registry")
+    last = reg.groupBy("chain_id", F.lower(F.trim("contract_address")).alias("contract")).agg(F.max(F.struct("updated_at", F.lower(F.trim("logo_hash")).alias("kin"))).alias("v")).select("chain_id", "contract", F.col("v.kin").alias("kin"))
+    return aa.family(last, "kin").select("chain_id", "contract", "kin", "family_size", "chains")
 
 
 @query("a44_unified_search", """SELECT * FROM (SELECT 'customer' AS kind, c_name AS label, 1 AS rank FROM customer WHERE contains(lower(c_name), '12') UNION ALL SELECT 'supplier', s_name, 2 FROM supplier WHERE contains(lower(s_name), '12') UNION ALL SELECT 'part', p_name, 3 FROM part WHERE contains(lower(p_name), '12')) ORDER BY rank, label LIMIT 50""")
@@ -587,18 +595,21 @@ def t6(spark: SparkSession, d: str) -> DataFrame:
 
 @query("w5_partition_totals", f"WITH {_EDGES} SELECT src, dst, token, amount, CAST(sum(amount) OVER (PARTITION BY src, dst) AS DECIMAL(38,2)) AS pair_total FROM e")
 def w5(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
+    e = graph.edges_of(transfers(spark, d)).select("src", "dst", "token", "amount")
+    return e.join(e.groupBy("src", "dst").agg(F.sum("amount").cast("decimal(38,2)").alias("pair_total")), ["src", "dst"])
 
-    return graph.edges_of(transfers(spark, d)).select("src", "dst", "token", "amount", F.sum("amount").over(Window.partitionBy("src", "dst")).cast("decimal(38,2)").alias("pair_total"))
 
+_SIGNED = "CASE direction WHEN 'IN' THEN amount WHEN 'OUT' THEN -amount ELSE 0 END"
+_ORDERED = "PARTITION BY chain_id, address, token_address ORDER BY block_time, block_number NULLS FIRST, tx_hash NULLS FIRST, event_index NULLS FIRST, activity_id ROWS UNBOUNDED PRECEDING"
 
-@query("w7_running_balance", f"""WITH {ACT} SELECT activity_id, sum(CASE direction WHEN 'IN' THEN amount WHEN 'OUT' THEN -amount ELSE 0 END) OVER (PARTITION BY chain_id, address, token_address ORDER BY block_time, block_number, tx_hash, event_index, activity_id ROWS UNBOUNDED PRECEDING) AS balance FROM act WHERE block_time IS NOT NULL""")
-def w7(spark: SparkSession, d: str) -> DataFrame:
-    from pyspark.sql.window import Window
 
-    w = Window.partitionBy("chain_id", "address", "token_address").orderBy("block_time", "block_number", "tx_hash", "event_index", "activity_id").rowsBetween(Window.unboundedPreceding, 0)
-    signed = F.when(F.col("direction") == "IN", F.col("amount")).when(F.col("direction") == "OUT", -F.col("amount")).otherwise(F.lit(0).cast("decimal(38,18)"))
-    return activity(spark, d).filter("block_time IS NOT NULL").select("activity_id", F.sum(signed).over(w).cast("decimal(38,18)").alias("balance"))
+@query("w7_running_balance", f"""WITH {ACT}, b AS (SELECT *, sum({_SIGNED}) OVER ({_ORDERED}) AS balance FROM act WHERE block_time IS NOT NULL) SELECT activity_id, CAST(coalesce(balance, 0) AS {_DEC}) AS balance, CAST(greatest(max(coalesce(balance, 0)) OVER ({_ORDERED}), 0) AS {_DEC}) AS high FROM b""")
+def w7(spark: SparkSession, d: str) -> DataFrame:
+    zero = F.lit(0).cast("decimal(38,18)")
+    a = activity(spark, d).filter("block_time IS NOT NULL").select("activity_id", "chain_id", "address", "token_address", "block_time", "block_number", "tx_hash", "event_index", "direction", F.coalesce("amount", zero).alias("amount"))
+    came, went = F.when(F.col("direction") == "IN", F.col("amount")).otherwise(zero), F.when(F.col("direction") == "OUT", F.col("amount")).otherwise(zero)
+    r = relational.running(a, ["chain_id", "address", "token_address"], ["block_time", "block_number", "tx_hash", "event_index", "activity_id"], {"came": came, "went": went}, highs={"high": ("came", "went")})
+    return r.select("activity_id", (F.col("came") - F.col("went")).cast("decimal(38,18)").alias("balance"), "high")
 
 
 @query("w9_synthetic_index", f"WITH {TRA} SELECT tx, token, src, dst, amount, dense_rank() OVER (PARTITION BY tx, token ORDER BY src, dst, amount) - 1 + 1000000 AS synthetic_index FROM tra")
@@ -674,7 +685,8 @@ def g4(spark: SparkSession, d: str) -> DataFrame:
     return graph.patterns(graph.node_stats(graph.edges_of(transfers(spark, d))))
 
 
-@query("g2_pagerank")
+@query("g2_pagerank", f"""WITH RECURSIVE {_EDGES}, l AS (SELECT a, b, count(*) AS w FROM (SELECT src AS a, dst AS b FROM e UNION ALL SELECT dst, src FROM e) GROUP BY ALL), s AS (SELECT a, b, w / sum(w) OVER (PARTITION BY a) AS share FROM l), n AS (SELECT count(DISTINCT a) AS n FROM l),
+r(i, node, rank) AS (SELECT 0, node, 1.0::DOUBLE / n FROM (SELECT DISTINCT a AS node FROM l), n UNION ALL SELECT i + 1, s.b, sum(rank * share) * 0.85::DOUBLE + 0.15::DOUBLE / any_value(n) FROM r JOIN s ON s.a = r.node, n WHERE i < 100 GROUP BY i, s.b) SELECT node, round(rank, 6) AS rank FROM r WHERE i = 100""")
 def g2(spark: SparkSession, d: str) -> DataFrame:
     return graph.pagerank(graph.edges_of(transfers(spark, d)), iterations=100)
 
@@ -700,9 +712,10 @@ def g10(spark: SparkSession, d: str) -> DataFrame:
     return graph.beam_paths(graph.edges_of(transfers(spark, d)), "A5", 4, 20)
 
 
-@query("g12_round_trips", f"WITH {TRA}, e AS (SELECT DISTINCT src, dst FROM tra WHERE src <> dst) SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS hops FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst")
+@query("g12_round_trips", f"""WITH {TRA}, e AS (SELECT DISTINCT src, dst FROM tra WHERE src <> dst) SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS hops FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
+UNION ALL SELECT a.src || '>' || a.dst || '>' || b.dst || '>' || a.src, 3 FROM e a JOIN e b ON a.dst = b.src JOIN e c ON b.dst = c.src AND c.dst = a.src WHERE a.src < a.dst AND a.src < b.dst AND a.dst <> b.dst""")
 def g12(spark: SparkSession, d: str) -> DataFrame:
-    return graph.round_trips(transfers(spark, d), longest=2)
+    return graph.round_trips(transfers(spark, d))
 
 
 @query("g13_conversions", f"""WITH {TRA} SELECT i.dst AS node, i.tx, i.log_index, i.token AS in_token, i.amount AS in_amount, i.block AS in_block, max((o.amount, o.token, o.block))[1] AS out_amount, max((o.amount, o.token, o.block))[2] AS out_token
@@ -746,12 +759,42 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
 # Lots and scores
 
 
-@query("f1_flow_windows")
+def _lots(events: str, key: str, order: str, come: str, go: str) -> str:
+    """Tables run (events with lot and use intervals) and pairs (what each lot gave each use) of ``events``: key columns, order, amount."""
+    w = f"PARTITION BY {key} ORDER BY {order} ROWS UNBOUNDED PRECEDING"
+    same = " AND ".join(f"l.{k.strip()} IS NOT DISTINCT FROM u.{k.strip()}" for k in key.split(","))
+    return f"""cum AS (SELECT *, coalesce(sum(amount) FILTER ({come}) OVER ({w}), 0) AS ci, coalesce(sum(amount) FILTER ({go}) OVER ({w}), 0) AS co FROM {events}),
+sho AS (SELECT *, greatest(max(co - ci) OVER ({w}), 0) AS sh FROM cum), shb AS (SELECT *, coalesce(lag(sh) OVER (PARTITION BY {key} ORDER BY {order}), 0) AS sb FROM sho),
+run AS (SELECT *, CASE WHEN {come} THEN ci - amount END AS lf, CASE WHEN {come} THEN ci END AS lt, CASE WHEN {go} THEN co - amount - sb END AS uf, CASE WHEN {go} THEN co - sh END AS ut, CASE WHEN {go} THEN sh - sb END AS un FROM shb),
+pairs AS (SELECT l.* EXCLUDE (lf, lt, uf, ut), u AS used, least(l.lt, u.ut) - greatest(l.lf, u.uf) AS q FROM run l JOIN run u ON {same} AND l.lt > l.lf AND u.ut > u.uf AND greatest(l.lf, u.uf) < least(l.lt, u.ut))"""
+
+
+_KEPT_H, _PASS_M = (1, 6, 24, 168, 720), (5, 15, 60, 360, 1440)
+_OLD = lambda s: f"block_time + INTERVAL {s} SECOND <= {_T}"
+_GONE = ", ".join([f"{_z('q', f'age <= {h * 3600000000} AND {_OLD(h * 3600)}')} AS gone_{h}h" for h in _KEPT_H] + [f"{_z('q', f'age <= {m * 60000000} AND {_OLD(m * 60)}')} AS passed_{m}m" for m in _PASS_M])
+_RIPE = ", ".join(_z("amount", f"direction = 'IN' AND {_OLD(h * 3600)}") + f" AS ripe_{h}h" for h in _KEPT_H)
+_LEFT = ", ".join([f"CAST(ripe_{h}h - coalesce(gone_{h}h, 0) AS {_DEC}) AS retained_{h}h" for h in _KEPT_H] + [f"CAST(coalesce(passed_{m}m, 0) AS {_DEC}) AS passed_{m}m" for m in _PASS_M])
+
+
+@query("f1_flow_windows", f"""WITH {ACT}, ev AS (SELECT chain_id, address, token_address, block_time, block_number, tx_hash, event_index, activity_id, direction, amount FROM act WHERE direction IN ('IN', 'OUT') AND amount > 0 AND block_time <= {_T}),
+{_lots('ev', 'chain_id, address, token_address', 'block_time, block_number NULLS FIRST, tx_hash NULLS FIRST, event_index NULLS FIRST, activity_id', "direction = 'IN'", "direction = 'OUT'")},
+g AS (SELECT chain_id, address, token_address, {_z('q')} AS matched, {_GONE} FROM (SELECT *, epoch_us(used.block_time) - epoch_us(block_time) AS age FROM pairs) GROUP BY ALL), b AS (SELECT chain_id, address, token_address, {_z('amount', "direction = 'IN'")} AS received, {_z('un')} AS opening, {_RIPE} FROM run GROUP BY ALL)
+SELECT b.chain_id, b.address, b.token_address, received, CAST(coalesce(matched, 0) AS {_DEC}) AS matched, opening, {_LEFT} FROM b LEFT JOIN g ON g.chain_id = b.chain_id AND g.address = b.address AND g.token_address IS NOT DISTINCT FROM b.token_address""")
 def f1(spark: SparkSession, d: str) -> DataFrame:
     return fifo.flow_windows(activity(spark, d), _as_of())
 
 
-@query("f2_pnl")
+_BUY, _COME, _SELL, _GO = (", ".join(f"'{x}'" for x in xs) for xs in (fifo.BUYS, (*fifo.BUYS, *fifo.UNKNOWN_INS), fifo.SELLS, (*fifo.SELLS, *fifo.MOVES_OUT)))
+
+
+@query("f2_pnl", f"""WITH raw AS (SELECT l_partkey % 97 AS token, l_shipdate AS t, l_orderkey AS tx, l_linenumber AS i, l_partkey AS p, l_suppkey AS s, CASE WHEN l_returnflag = 'A' THEN 'DEX_BUY' WHEN l_returnflag = 'N' THEN 'DEX_SELL' WHEN l_linestatus = 'O' THEN 'TRANSFER_IN' ELSE 'TRANSFER_OUT' END AS type,
+CAST(l_quantity AS DECIMAL(18,2)) AS amount, CAST(l_extendedprice AS DECIMAL(18,2)) AS usd, CAST(l_tax AS DECIMAL(18,2)) AS gas FROM lineitem), ev AS (SELECT *, CASE WHEN type IN ({_BUY}) THEN (CAST(usd AS DOUBLE) + CAST(coalesce(gas, 0) AS DOUBLE)) / CAST(amount AS DOUBLE) END AS unit FROM raw WHERE amount > 0 AND type IN ({_COME}, {_GO})),
+{_lots('ev', 'token', 't, tx, i, p, s', f"type IN ({_COME})", f"type IN ({_GO})")},
+g AS (SELECT token, sum(q) FILTER (sale AND unit IS NOT NULL) AS known_sold, sum(q / ua * uu) FILTER (sale AND unit IS NOT NULL) AS proceeds, sum(q / ua * ug) FILTER (sale AND unit IS NOT NULL) AS gas, sum(q * unit) FILTER (sale) AS cost, sum(q) AS used, sum(q) FILTER (unit IS NOT NULL) AS known_used, sum(q * unit) AS cost_used
+  FROM (SELECT token, unit, CAST(q AS DOUBLE) AS q, used.type IN ({_SELL}) AS sale, CAST(used.amount AS DOUBLE) AS ua, CAST(used.usd AS DOUBLE) AS uu, CAST(used.gas AS DOUBLE) AS ug FROM pairs) GROUP BY token),
+b AS (SELECT token, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_SELL})), 0) AS sold, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_COME})), 0) AS came, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_COME}) AND unit IS NOT NULL), 0) AS known_came, coalesce(sum(amount * unit) FILTER (type IN ({_COME})), 0) AS cost_came FROM run GROUP BY token)
+SELECT token, round(sold, 4) AS sold, round(coalesce(known_sold, 0), 4) AS known_sold, round(coalesce(known_sold / nullif(sold, 0), 0), 4) AS known_ratio, round(coalesce(proceeds, 0), 4) AS proceeds, round(coalesce(gas, 0), 4) AS gas, round(coalesce(cost, 0), 4) AS cost, round(coalesce(proceeds, 0) - coalesce(cost, 0) - coalesce(gas, 0), 4) AS pnl,
+round(came - coalesce(used, 0), 4) AS position, round(known_came - coalesce(known_used, 0), 4) AS known_position, round(cost_came - coalesce(cost_used, 0), 4) AS remaining_cost FROM b LEFT JOIN g USING (token)""")
 def f2(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     kind = F.when(c("l_returnflag") == "A", "DEX_BUY").when(c("l_returnflag") == "N", "DEX_SELL").when(c("l_linestatus") == "O", "TRANSFER_IN").otherwise("TRANSFER_OUT")

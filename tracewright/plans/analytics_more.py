@@ -138,9 +138,9 @@ def a28(spark: SparkSession, d: str) -> DataFrame:
 
 @query("a31_pair_totals", f"""WITH {_EDGES}, p AS (SELECT *, CAST(sum(amount) OVER w AS DECIMAL(38,2)) AS pair_amount, min(first_t) OVER w AS pair_first, max(last_t) OVER w AS pair_last, CAST(sum(n) OVER w AS BIGINT) AS pair_n FROM e WINDOW w AS (PARTITION BY src, dst)) SELECT src, dst, token, amount, pair_amount, pair_first, pair_last, pair_n FROM p WHERE pair_amount >= 100000""")
 def a31(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("src", "dst")
-    e = graph.edges_of(transfers(spark, d)).select("src", "dst", "token", "amount", F.sum("amount").over(w).cast("decimal(38,2)").alias("pair_amount"), F.min("first_t").over(w).alias("pair_first"), F.max("last_t").over(w).alias("pair_last"), F.sum("n").over(w).alias("pair_n"))
-    return e.filter("pair_amount >= 100000")
+    e = graph.edges_of(transfers(spark, d))
+    pair = e.groupBy("src", "dst").agg(F.sum("amount").cast("decimal(38,2)").alias("pair_amount"), F.min("first_t").alias("pair_first"), F.max("last_t").alias("pair_last"), F.sum("n").alias("pair_n"))
+    return e.select("src", "dst", "token", "amount").join(pair.filter("pair_amount >= 100000"), ["src", "dst"])
 
 
 @query("a32_valued_graph", f"""WITH {ACT}, {ANC}, {_USD}, m AS (SELECT a.*, CASE WHEN epoch_us(a.block_time) - epoch_us(usd.minute) <= 86400000000 THEN usd.close END AS px FROM act a ASOF LEFT JOIN usd ON usd.chain_id = a.chain_id AND usd.sym = upper(trim(a.token_symbol)) AND a.block_time >= usd.minute WHERE direction = 'OUT' AND counterparty_address <> ''),
