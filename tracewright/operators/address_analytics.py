@@ -6,6 +6,8 @@ already reduced to the latest version of each row. Distinct counts work on pre-a
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -51,36 +53,12 @@ def batch_counts(act: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.join(counted, "address", "left").select("address", F.coalesce("n", F.lit(0)).alias("event_count"))
 
 
-def dashboard(act: DataFrame) -> DataFrame:
-    """A3, A4: exact totals in one row, from one scan."""
-    per = act.groupBy("chain_id", "address").agg(F.count(F.lit(1)).alias("n"), F.countDistinct(F.to_date("block_time")).alias("days"))
-    a = per.agg(F.count(F.lit(1)).alias("addresses"), F.sum("n").alias("rows"), F.count_if((F.col("n") >= 100) | (F.try_divide(F.col("n"), F.col("days")) >= 50)).alias("risk_addresses"))
-    return a.withColumn("tokens", act.select("chain_id", "token_address").distinct().agg(F.count(F.lit(1))).scalar())
-
-
 def daily_trend(act: DataFrame) -> DataFrame:
     """Rows and active addresses per chain and day."""
     day = act.filter(F.col("block_time").isNotNull()).groupBy("chain_id", F.to_date("block_time").alias("day"), "address").agg(F.count(F.lit(1)).alias("n"))
     return day.groupBy("chain_id", "day").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("addresses"))
 
 
-def flow_statistics(act: DataFrame) -> DataFrame:
-    """A5: nodes, edges and volume per chain."""
-    e = act.filter(is_out() & (F.col("counterparty_address") != "")).groupBy("chain_id", "address", "counterparty_address", "token_address").agg(F.count(F.lit(1)).alias("n"), zero_sum(F.col("amount")).alias("amount"))
-    nodes = e.select("chain_id", F.explode(F.array("address", "counterparty_address")).alias("node")).distinct().groupBy("chain_id").agg(F.count(F.lit(1)).alias("nodes"))
-    return e.groupBy("chain_id").agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("transfers"), F.sum("amount").cast(D18).alias("amount")).join(nodes, "chain_id")
-
-
-def address_statistics(act: DataFrame, as_of: Column) -> DataFrame:
-    """Recent activity against ``as_of``, volumes, and the share of the largest 1 and 5 sources and targets."""
-    recent = lambda hours: F.count_if((F.col("block_time") > as_of - F.expr(f"INTERVAL {hours} HOUR")) & (F.col("block_time") <= as_of))
-    base = act.groupBy("chain_id", "address").agg(
-        recent(24).alias("last_day"), recent(168).alias("last_week"), recent(720).alias("last_month"),
-        zero_sum(F.col("amount"), is_in()).alias("in_amount"), zero_sum(F.col("amount"), is_out()).alias("out_amount"), F.max("amount").alias("largest"),
-    )
-    return base.join(concentration(act), ["chain_id", "address"], "left")
-
-
 def top_counterparties(act: DataFrame, k: int = 10) -> DataFrame:
     """Each address's counterparties by number of transactions, then volume, then name."""
     g = act.filter(F.col("counterparty_address") != "").groupBy("chain_id", "address", "counterparty_address").agg(F.countDistinct("tx_hash").alias("txs"), zero_sum(F.col("amount")).alias("amount"))
@@ -88,6 +66,11 @@ def top_counterparties(act: DataFrame, k: int = 10) -> DataFrame:
     return g.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
+def top_sources(act: DataFrame, way: str, k: int = 10) -> DataFrame:
+    """Each address's sources (``IN``) or destinations (``OUT``) by number of transactions in that direction alone, then amount, then name."""
+    return top_counterparties(act.filter(F.col("direction") == way), k)
+
+
 def daily_netflow(act: DataFrame) -> DataFrame:
     """In minus out per chain, address and day."""
     return act.filter(F.col("block_time").isNotNull()).groupBy("chain_id", "address", F.to_date("block_time").alias("day")).agg(
@@ -202,20 +185,6 @@ def snapshot(act: DataFrame, as_of: Column) -> DataFrame:
     return summary_v2(seen).select(*k, "rows", "in_usd", "out_usd").join(concentration(seen), k, "left").join(retention(seen, as_of), k, "left")
 
 
-def financial_summary(act: DataFrame, large: float = 1000.0) -> DataFrame:
-    """Priced volumes per address; null, not 0, where nothing is priced. The median is the value at index floor(n / 2)."""
-    from tracewright.operators.relational import rank_pick
-
-    u = F.col("usd_value")
-    by = ["chain_id", "address"]
-    base = act.groupBy(*by).agg(
-        F.sum(F.when(is_in(), u)).cast(D18).alias("in_usd"), F.sum(F.when(is_out(), u)).cast(D18).alias("out_usd"),
-        F.sum(F.when(F.col("token_address") == "", u)).cast(D18).alias("native_usd"), F.sum(F.when(F.upper(F.trim("token_symbol")).isin(*STABLE), u)).cast(D18).alias("stable_usd"),
-        F.max(u).alias("largest_usd"), F.count_if(u >= large).alias("large_rows"), ratio(F.count("usd_value"), F.count(F.lit(1))).alias("coverage"),
-    )
-    return base.join(rank_pick(act, by, "usd_value", F.floor(F.col("n") * 0.5) + 1, "median_usd"), by, "left")
-
-
 def family(contracts: DataFrame, kin: str) -> DataFrame:
     """Every contract (chain_id, ...) with the number of contracts of its family, which share a non-empty ``kin`` (a code hash, a creator), and the
     chains they are on; a contract without kin is alone. Counts are aggregated and looked up, so a large family is no window."""
@@ -224,20 +193,6 @@ def family(contracts: DataFrame, kin: str) -> DataFrame:
     return j.withColumn("family_size", F.coalesce("family_size", F.lit(1))).withColumn("chains", F.coalesce("chains", F.lit(1)))
 
 
-def entity_statistics(act: DataFrame) -> DataFrame:
-    """Rows, addresses and volumes per counterparty kind and role."""
-    return act.filter(F.col("counterparty_entity_type") != "").groupBy("counterparty_entity_type", "counterparty_role").agg(
-        F.count(F.lit(1)).alias("rows"), F.countDistinct("address").alias("addresses"), zero_sum(F.col("amount"), is_in()).alias("withdrawn"), zero_sum(F.col("amount"), is_out()).alias("deposited")
-    )
-
-
-def refreshed_daily(act: DataFrame) -> DataFrame:
-    """The daily table that a refresh writes."""
-    return act.filter(F.col("block_time").isNotNull()).groupBy("chain_id", "address", F.to_date("block_time").alias("activity_date")).agg(
-        F.count(F.lit(1)).alias("activity_count"), F.count_if(is_in()).alias("in_count"), F.count_if(is_out()).alias("out_count"), zero_sum(F.col("usd_value")).alias("usd_value"), F.max("ingested_at").alias("updated_at")
-    )
-
-
 def assets(act: DataFrame) -> DataFrame:
     """In, out and balance (possibly negative) per address and token; self-transfers don't count."""
     i, o = zero_sum(F.col("amount"), is_in()), zero_sum(F.col("amount"), is_out())
@@ -252,9 +207,16 @@ def asset_risk(balances: DataFrame) -> DataFrame:
     return balances.select("chain_id", "address", "token_address", rate.alias("out_rate"), sold.alias("liquidated"), F.when(sold, "high").when(rate >= 0.4, "medium").otherwise("low").alias("level"))
 
 
-def first_seen(act: DataFrame) -> DataFrame:
-    """The earliest block of each address, with the source that has it; at the same block the first source by name."""
-    return act.filter(F.col("block_number").isNotNull()).groupBy("chain_id", "address").agg(F.min(F.struct("block_number", "source_provider")).alias("m")).select("chain_id", "address", F.col("m.block_number").alias("first_block"), F.col("m.source_provider").alias("source"))
+def first_seen(act: DataFrame, roles: Mapping[str, str]) -> DataFrame:
+    """The earliest block in which each address is met in any role (role name -> column), with the role and the source that has it.
+
+    At the same block the first role of ``roles`` counts, then the first source by name. A contract creation comes before any other row of its block.
+    """
+    made = F.coalesce(F.col("activity_type").isin("CONTRACT_CREATE", "CONTRACT_CREATION"), F.lit(False))
+    rows = F.inline(F.array(*[F.struct(F.col(c).alias("who"), F.lit(i).alias("place"), F.lit(n).alias("role")) for i, (n, c) in enumerate(roles.items())]))
+    seen = act.filter(F.col("block_number").isNotNull()).select("chain_id", "block_number", (~made).alias("plain"), "source_provider", rows).filter(F.coalesce(F.col("who"), F.lit("")) != "")
+    best = seen.groupBy("chain_id", F.col("who").alias("address")).agg(F.min(F.struct("block_number", "plain", "place", "source_provider", "role")).alias("m"))
+    return best.select("chain_id", "address", F.col("m.block_number").alias("first_block"), "m.role", F.col("m.source_provider").alias("source"), (~F.col("m.plain")).alias("created"))
 
 
 def amount_thresholds(act: DataFrame) -> DataFrame:
@@ -281,16 +243,22 @@ def two_hops(edges: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def shared_counterparties(act: DataFrame, roots: DataFrame, min_shared: int = 2, hub_degree: int | None = None) -> DataFrame:
-    """Addresses that share counterparties with ``roots``: shared, union and Jaccard similarity. Pairs exist only between a root and its candidates."""
+    """Addresses that share counterparties with ``roots``: shared, union and Jaccard similarity. Pairs exist only between a root and
+    its candidates. With ``hub_degree`` a counterparty of more addresses than that (a service) says nothing and isn't counted as shared."""
     pairs = act.filter(F.col("counterparty_address") != "").select("address", "counterparty_address").distinct()
     degree = pairs.groupBy("address").agg(F.count(F.lit(1)).alias("n"))
-    mine = pairs.join(roots, pairs.address == roots.root, "left_semi").select(F.col("address").alias("root"), "counterparty_address")
-    both = mine.join(pairs, "counterparty_address").filter(F.col("root") != F.col("address")).groupBy("root", "address").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
+    met = pairs
+    if hub_degree is not None:
+        busy = pairs.groupBy("counterparty_address").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > hub_degree)
+        met = pairs.join(busy, "counterparty_address", "left_anti")
+    mine = met.join(roots, met.address == roots.root, "left_semi").select(F.col("address").alias("root"), "counterparty_address")
+    both = mine.join(met, "counterparty_address").filter(F.col("root") != F.col("address")).groupBy("root", "address").agg(F.count(F.lit(1)).alias("shared")).filter(F.col("shared") >= min_shared)
     j = both.join(degree.select("address", F.col("n").alias("na")), "address").join(degree.select(F.col("address").alias("root"), F.col("n").alias("nr")), "root")
     return j.select("root", "address", "shared", (F.col("na") + F.col("nr") - F.col("shared")).alias("either"), ratio(F.col("shared"), F.col("na") + F.col("nr") - F.col("shared")).alias("jaccard"))
 
 
-def common_flows(act: DataFrame, targets: DataFrame, way: str = "IN", least: int = 2) -> DataFrame:
-    """Counterparties that at least ``least`` targets share on one side, with how many and how much."""
+def common_flows(act: DataFrame, targets: DataFrame, way: str = "IN", least: int = 2, k: int = 10) -> DataFrame:
+    """The ``k`` counterparties that most of the targets share on one side (at least ``least``), with how many and how much; ties by amount and name."""
     rows = act.filter((F.col("direction") == way) & (F.col("counterparty_address") != "")).join(targets, "address", "left_semi")
-    return rows.groupBy("counterparty_address").agg(F.countDistinct("address").alias("targets"), zero_sum(F.col("amount")).alias("amount")).filter(F.col("targets") >= least)
+    g = rows.groupBy("counterparty_address").agg(F.countDistinct("address").alias("targets"), zero_sum(F.col("amount")).alias("amount")).filter(F.col("targets") >= least)
+    return g.orderBy(F.desc("targets"), F.desc("amount"), "counterparty_address").limit(k)

@@ -118,19 +118,6 @@ def trace_tree(edges: DataFrame, root: str, hops: int) -> DataFrame:
     return seen
 
 
-def beam_paths(edges: DataFrame, root: str, hops: int, beam: int) -> DataFrame:
-    """Paths from ``root`` that never revisit a node; after each hop the ``beam`` paths with the largest bottleneck go on."""
-    step = edges.groupBy("src", "dst").agg(F.sum("amount").cast("decimal(38,2)").alias("a")).filter(F.col("src") != F.col("dst"))
-    spark = edges.sparkSession
-    front = spark.createDataFrame([(0, [root], root)], "hop int, path array<string>, tail string").withColumn("bottleneck", F.lit(None).cast("decimal(38,2)"))
-    out = None
-    for k in range(1, hops + 1):
-        grown = front.join(step, F.col("tail") == F.col("src")).filter(~F.array_contains("path", F.col("dst"))).select(F.lit(k).alias("hop"), F.concat("path", F.array("dst")).alias("path"), F.col("dst").alias("tail"), F.least("bottleneck", "a").alias("bottleneck"))
-        front = materialize(grown.orderBy(F.desc("bottleneck"), F.array_join("path", ">")).limit(beam), "beam")
-        out = front if out is None else out.unionByName(front)
-    return out.select("hop", F.array_join("path", ">").alias("path"), "bottleneck")
-
-
 def round_trips(edges: DataFrame, longest: int = 3) -> DataFrame:
     """Cycles of 2 or 3 edges, each named once from its least node.
 
@@ -205,13 +192,6 @@ def top_funders(transfers: DataFrame) -> DataFrame:
     return g.groupBy("dst").agg(F.max("n").alias("n"), F.min_by("src", F.struct(-F.col("n"), "src")).alias("funder"))
 
 
-def conservation(stats: DataFrame, tolerance: float = 0.05) -> DataFrame:
-    """Whether a node passes on what it gets, within ``tolerance`` of the larger side."""
-    i, o = F.col("total_in").cast("double"), F.col("total_out").cast("double")
-    gap = F.round(F.coalesce(F.try_divide(F.abs(i - o), F.greatest(i, o)), F.lit(0.0)), 6)
-    return stats.select("node", "total_in", "total_out", gap.alias("gap"), F.when(gap <= tolerance, "conserved").when(i > o, "accumulates").otherwise("pays_out").alias("kind"))
-
-
 def case_timeline(transfers: DataFrame, targets: Column, limit: int = 100) -> DataFrame:
     """The first ``limit`` transfers that touch a target, in time order (a top-k report)."""
     return transfers.filter(targets).orderBy("t", "tx", "log_index", "src", "dst", "token", "amount").limit(limit)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewright.runtime import skew_safe_lookup
+
 ADDRESS, HASH = "^0x[0-9a-f]{40}$", "^0x[0-9a-f]{64}$"
 
 
@@ -29,14 +31,33 @@ def token_scorecard(registry: DataFrame) -> DataFrame:
     )
 
 
-def financial_report(act: DataFrame) -> DataFrame:
-    """Counters and invariants of pricing per chain."""
+def contract_scorecard(registry: DataFrame, act: DataFrame) -> DataFrame:
+    """Per chain the registered contracts, how many of them are verified, named, of a known standard, and met in the activity."""
+    met = act.filter(F.col("token_address") != "").select("chain_id", F.lower(F.trim("token_address")).alias("contract")).distinct().withColumn("met", F.lit(True))
+    last = registry.groupBy("chain_id", F.lower(F.trim("contract_address")).alias("contract")).agg(F.max(F.struct("updated_at", F.coalesce("is_verified", F.lit(False)).alias("verified"), "name", "token_standard")).alias("v"))
+    j = skew_safe_lookup(last, met, ["chain_id", "contract"], ["met"])
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    return j.groupBy("chain_id").agg(F.count(F.lit(1)).alias("contracts"), share(F.col("v.verified")).alias("verified_share"), share(has("v.name")).alias("named_share"), share(has("v.token_standard")).alias("standard_share"), share(F.coalesce("met", F.lit(False))).alias("met_share"))
+
+
+def decoder_scorecard(act: DataFrame) -> DataFrame:
+    """Per chain the rows with a method, with a name for it and with a kind better than a plain call, and the methods without a name."""
+    has = lambda c: F.coalesce(F.trim(c), F.lit("")) != ""
+    called = has("method_id")
     return act.groupBy("chain_id").agg(
-        F.count(F.lit(1)).alias("rows"), F.count_if(F.col("amount") > 0).alias("required"), F.count_if((F.col("amount") > 0) & F.col("usd_value").isNotNull()).alias("priced"), F.count_if(F.col("usd_value") < 0).alias("negative_usd"),
-        F.count_if(F.col("amount") < 0).alias("negative_amount"), F.count_if(F.col("block_time").isNull()).alias("no_time"), F.count_if(F.col("usd_value").isNotNull() & F.col("price_usd").isNull()).alias("value_without_price"),
+        F.count_if(called).alias("called"), F.round(F.try_divide(F.count_if(called & has("method_name")), F.count_if(called)), 6).alias("named_share"), F.round(F.try_divide(F.count_if(called & (F.col("activity_type") != "CONTRACT_CALL")), F.count_if(called)), 6).alias("typed_share"),
+        F.countDistinct(F.when(called & ~has("method_name"), F.lower("method_id"))).alias("unnamed_methods"),
     )
 
 
+def price_scorecard(anchors: DataFrame) -> DataFrame:
+    """Per chain the price minutes, those with a close, with consistent bounds, and those told by a source; overall as the sum of parts over the sum of wholes."""
+    sound = F.coalesce((F.col("low") <= F.least("open", "close")) & (F.greatest("open", "close") <= F.col("high")), F.lit(False))
+    told = F.coalesce(F.trim("source"), F.lit("")) != ""
+    closed = F.col("close").isNotNull()
+    return anchors.groupBy("chain_id").agg(F.count(F.lit(1)).alias("minutes"), share(closed).alias("close_share"), share(sound).alias("sound_share"), share(told).alias("source_share"), F.round((F.count_if(closed) + F.count_if(sound) + F.count_if(told)) / (3 * F.count(F.lit(1))), 6).alias("overall"))
+
+
 def validate_chunk(rows: DataFrame) -> DataFrame:
     """Rows, distinct keys, block range and violations of a token transfer chunk (F-3 columns)."""
     key = F.struct("chain_id", "block_number", "transaction_hash", "log_index")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -128,6 +130,24 @@ def fan_out(df: DataFrame, src: str, dst: str, rest: Sequence[str | Column]) ->
     return df.select(F.inline(F.when(a == b, F.array(row(a, b, "SELF"))).otherwise(F.array(row(a, b, "OUT"), row(b, a, "IN")))), *rest)
 
 
+def cursor(scope: Mapping[str, object], last: Sequence[object]) -> str:
+    """An opaque cursor: the last row's order values, bound to the scope they were asked in."""
+    text = json.dumps({"scope": {k: str(v) for k, v in sorted(scope.items())}, "last": [str(v) for v in last]}, ensure_ascii=False, sort_keys=True)
+    return base64.urlsafe_b64encode(text.encode()).decode()
+
+
+def read_cursor(text: str, scope: Mapping[str, object], width: int) -> list[str]:
+    """The order values of a cursor; ValueError if it is broken or belongs to another scope."""
+    try:
+        got = json.loads(base64.urlsafe_b64decode(text.encode()))
+        last = list(got["last"])
+    except (ValueError, TypeError, KeyError) as e:
+        raise ValueError("invalid cursor") from e
+    if got.get("scope") != {k: str(v) for k, v in sorted(scope.items())} or len(last) != width:
+        raise ValueError("cursor of another query")
+    return last
+
+
 def keyset_page(df: DataFrame, order: Sequence[str], after: Sequence[object] | None, size: int) -> DataFrame:
     """The page of ``size`` rows after the cursor ``after`` in descending order of ``order`` (which must be unique)."""
     if after is not None:
@@ -165,6 +185,28 @@ def top_per_group(df: DataFrame, group: Sequence[str], order: Sequence[Column |
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).filter(F.col("rank") <= k)
 
 
+def facet(df: DataFrame, column: str, search: str | None = None, k: int = 300) -> DataFrame:
+    """The ``k`` most frequent values of a column (ties by value) with their counts, of those that contain ``search`` (case ignored); null is no value."""
+    rows = df.filter(F.col(column).isNotNull())
+    if search:
+        rows = rows.filter(F.contains(F.lower(column), F.lit(search.lower())))
+    return rows.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(k)
+
+
+def search(sources: Mapping[str, tuple[DataFrame, str]], text: str, k: int = 50) -> DataFrame:
+    """(kind, label, rank, n) of the ``k`` best labels that contain ``text`` (case ignored) in any of the sources (kind -> rows, column): equal
+    ones first, then those that begin with it, then the rest; ties by kind and label. Equal labels of a source are one, with how many there were."""
+    want, parts = text.lower(), []
+    for kind, (df, column) in sources.items():
+        c = F.lower(column)
+        rank = F.when(c == want, 3).when(F.startswith(c, F.lit(want)), 2).otherwise(1)
+        parts.append(df.filter(F.contains(c, F.lit(want))).groupBy(F.col(column).alias("label")).agg(F.max(rank).alias("rank"), F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "label", "rank", "n"))
+    both = parts[0]
+    for p in parts[1:]:
+        both = both.unionByName(p)
+    return both.orderBy(F.desc("rank"), "kind", "label").limit(k)
+
+
 def gaps(buckets: DataFrame, by: Sequence[str], at: str, step: int) -> DataFrame:
     """Ranges of missing buckets inside each key's span: (by, gap_from, gap_to, missing). ``at`` counts units of ``step``.
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tracewright.runtime import skew_safe_lookup
+
 D18 = "decimal(38,18)"
 
 
@@ -26,36 +28,6 @@ def screening(profile: DataFrame, concentration: DataFrame) -> DataFrame:
     return j.select("chain_id", "address", s.alias("score"), F.when(F.col("events") < 3, "insufficient_data").otherwise(level(s, 70, 35)).alias("level"))
 
 
-def rapid_patterns(flows: DataFrame) -> DataFrame:
-    """Flags per address from (in_amount, out_amount, out_rows, sources, largest_in, fast_out): rapid transfer, split, concentration, drain."""
-    i, o = F.col("in_amount").cast("double"), F.col("out_amount").cast("double")
-    return flows.select(
-        "chain_id", "address", ((i > 0) & (F.col("fast_out").cast("double") >= 0.5 * i)).alias("rapid"), ((F.col("out_rows") >= 3) & (o >= 0.6 * F.col("largest_in").cast("double"))).alias("split"),
-        ((F.col("sources") >= 3) & (o < 0.2 * i)).alias("concentration"), ((i > 0) & (o >= 0.8 * i)).alias("drain"),
-    )
-
-
-def path_score(hops: Column, bottleneck: Column, start: Column) -> Column:
-    """Short paths that keep value score high: 0.6 of what arrives, 0.4 for few hops."""
-    return F.round(0.6 * F.coalesce(F.try_divide(bottleneck.cast("double"), start.cast("double")), F.lit(0.0)) + 0.4 / hops, 6)
-
-
-def log_bucket(amount: Column) -> Column:
-    """Seven buckets of the amount's order of magnitude, 0 to 1."""
-    return F.least(F.greatest(F.floor(F.log10(F.greatest(amount.cast("double"), F.lit(1.0)))), F.lit(0)), F.lit(6)) / 6
-
-
-#: Weights of the six dimensions in four profiles.
-WEIGHTS = {
-    "balanced": (0.25, 0.2, 0.15, 0.15, 0.15, 0.1), "funds": (0.4, 0.2, 0.1, 0.1, 0.1, 0.1), "entity": (0.15, 0.15, 0.35, 0.15, 0.1, 0.1), "time": (0.2, 0.15, 0.1, 0.15, 0.3, 0.1),
-}
-
-
-def investigation(dims: list[Column], profile: str = "balanced") -> Column:
-    """The weighted mean of six dimensions from 0 to 1, as 0 to 100."""
-    return F.round(100 * sum((w * F.least(F.greatest(d, F.lit(0.0)), F.lit(1.0)) for w, d in zip(WEIGHTS[profile], dims)), F.lit(0.0)), 4)
-
-
 def dormancy(act: DataFrame, as_of: Column) -> DataFrame:
     """Days since the last activity and the longest gap between active days."""
     days = act.filter(F.col("block_time").isNotNull()).select("chain_id", "address", F.to_date("block_time").alias("day")).distinct()
@@ -73,13 +45,22 @@ def risk_scenario(act: DataFrame, k: int = 5) -> DataFrame:
     return ins.unionByName(outs).filter(F.col("rank") <= k).select("chain_id", "address", "direction", "rank", "activity_id", "amount")
 
 
-def large_inflow_p90(act: DataFrame) -> DataFrame:
-    """Receipts at or above the address's own value at index floor((n - 1) * 0.9)."""
-    from tracewright.operators.relational import rank_pick
+def risk_scenario_p90(act: DataFrame, k: int = 5) -> DataFrame:
+    """Per address the receipts at or above its own value at index floor((n - 1) * 0.9) (kind inflow, with that value), its first ``k`` payments
+    by block (outflow), and the ``k`` counterparties most often paid (spread, with how often)."""
+    from tracewright.operators.relational import rank_pick, top_per_group
 
+    by = ["chain_id", "address"]
     ins = act.filter("direction = 'IN' AND amount IS NOT NULL")
-    p = rank_pick(ins, ["chain_id", "address"], "amount", F.floor((F.col("n") - 1) * 0.9) + 1, "p90")
-    return ins.join(p, ["chain_id", "address"]).filter(F.col("amount") >= F.col("p90")).select("activity_id", "chain_id", "address", "amount", "p90")
+    p = rank_pick(ins, by, "amount", F.floor((F.col("n") - 1) * 0.9) + 1, "p90")
+    none = lambda t: F.lit(None).cast(t)
+    large = skew_safe_lookup(ins, p, by, ["p90"]).filter(F.col("amount") >= F.col("p90")).select(*by, F.lit("inflow").alias("kind"), none("int").alias("rank"), "activity_id", "counterparty_address", "amount", F.col("p90").alias("threshold"), none("bigint").alias("times"))
+    outs = act.filter("direction = 'OUT'")
+    tie = ["block_number", "tx_hash", "event_index", "activity_id"]
+    first = top_per_group(outs.select(*by, *tie, "counterparty_address", "amount"), by, [F.asc_nulls_last(c) for c in tie], k).select(*by, F.lit("outflow").alias("kind"), "rank", "activity_id", "counterparty_address", "amount", none(D18).alias("threshold"), none("bigint").alias("times"))
+    paid = outs.filter(F.col("counterparty_address") != "").groupBy(*by, "counterparty_address").agg(F.count(F.lit(1)).alias("times"))
+    spread = top_per_group(paid, by, [F.desc("times"), "counterparty_address"], k).select(*by, F.lit("spread").alias("kind"), "rank", none("bigint").alias("activity_id"), "counterparty_address", none(D18).alias("amount"), none(D18).alias("threshold"), "times")
+    return large.unionByName(first).unionByName(spread)
 
 
 def label_precedence(labels: DataFrame) -> DataFrame:

@@ -84,7 +84,21 @@ def sc18(spark: SparkSession, d: str) -> DataFrame:
 
 @query("sc9_row_counts", "SELECT 'ledger' AS name, count(*) AS rows FROM ledger UNION ALL SELECT 'lineitem', count(*) FROM lineitem UNION ALL SELECT 'events', count(*) FROM events")
 def sc9(spark: SparkSession, d: str) -> DataFrame:
-    parts = [table(spark, d, n).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("name"), "rows") for n in ("ledger", "lineitem", "events")]
+    from tracewright.sources.files import rows_per_file
+
+    names = ("ledger", "lineitem", "events")
+    per = [rows_per_file(table(spark, d, n)).select(F.lit(n).alias("name"), "rows") for n in names]
+    return per[0].unionByName(per[1]).unionByName(per[2]).groupBy("name").agg(F.sum("rows").alias("rows"))
+
+
+_SCHEMAS = ("ledger", "address_activity", "price_anchor_1m")
+
+
+@query("sc9_schemas", " UNION ALL ".join(f"SELECT '{t}' AS name, column_name AS \"column\", row_number() OVER () AS place FROM (DESCRIBE {t})" for t in _SCHEMAS))
+def sc9s(spark: SparkSession, d: str) -> DataFrame:
+    from tracewright.sources.files import schema_of
+
+    parts = [schema_of(table(spark, d, n)).select(F.lit(n).alias("name"), "column", "place") for n in _SCHEMAS]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
@@ -208,14 +222,21 @@ def q_p3(spark: SparkSession, d: str) -> DataFrame:
     return sums.select("l_suppkey", cl.limbs_total([F.col(f"x{i}") for i in range(8)]).alias("total"))
 
 
-@query("p21_json_fields", "SELECT event_id, event_type, try_cast(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
+_RULE_FIELDS = ("$.signature", "$.provider", "$.encoding", "$.priority", "$.tolerance", "$.mapping.amount_column", "$.mapping.time_column", "$.mapping.direction_column")
+_RULE_NAMES = [x.rsplit(".", 1)[1] for x in _RULE_FIELDS]
+
+
+@query("p21_json_fields", "SELECT record_id, " + ", ".join(f"CASE WHEN json_type(rule_json, '{x}') IN ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'BOOLEAN') THEN json_extract_string(rule_json, '{x}') END AS {n}" for x, n in zip(_RULE_FIELDS, _RULE_NAMES) if n not in ("priority", "tolerance")) + ", try_cast(json_extract_string(rule_json, '$.priority') AS BIGINT) AS priority, round(try_cast(json_extract_string(rule_json, '$.tolerance') AS DOUBLE), 6) AS tolerance FROM custom_rules")
 def q_p21(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").try_cast("bigint").alias("k"))
+    f = lambda x: F.get_json_object("rule_json", x)
+    text = lambda x: F.when(~F.coalesce(f(x), F.lit("")).rlike(r"^[\[{]"), f(x))
+    cols = [text(x).alias(n) for x, n in zip(_RULE_FIELDS, _RULE_NAMES) if n not in ("priority", "tolerance")]
+    return table(spark, d, "custom_rules").select("record_id", *cols, f("$.priority").try_cast("bigint").alias("priority"), F.round(f("$.tolerance").try_cast("double"), 6).alias("tolerance"))
 
 
-@query("p31_facet", "SELECT summary AS value, count(*) AS n FROM ledger WHERE summary IS NOT NULL GROUP BY 1 ORDER BY n DESC, value LIMIT 300")
+@query("p31_facet", "SELECT cp_name AS value, count(*) AS n FROM ledger WHERE cp_name IS NOT NULL AND contains(lower(cp_name), 'co') GROUP BY 1 ORDER BY n DESC, value LIMIT 300")
 def q_p31(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "ledger").filter("summary IS NOT NULL").groupBy(F.col("summary").alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "value").limit(300)
+    return relational.facet(table(spark, d, "ledger"), "cp_name", search="CO")
 
 
 @query("p36_row_hash", "SELECT row_id, sha256(concat(octet_length(encode(coalesce(account_no, ''))), ':', coalesce(account_no, ''), chr(0), octet_length(encode(coalesce(cp_name, ''))), ':', coalesce(cp_name, ''), chr(0))) AS h FROM ledger")
@@ -223,14 +244,17 @@ def q_p36(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "ledger").select("row_id", cl.row_hash([F.col("account_no"), F.col("cp_name")]).alias("h"))
 
 
-@query("p30_enrich", """WITH reg AS (SELECT chain_id, lower(contract_address) AS c, max_by(name, (updated_at, name)) AS name FROM token_metadata_registry GROUP BY ALL)
-SELECT activity_id, a.chain_id, token_address, coalesce(nullif(reg.name, ''), token_symbol) AS token_name FROM address_activity a LEFT JOIN reg ON reg.chain_id = a.chain_id AND reg.c = lower(a.token_address)""")
+@query("p30_enrich", """WITH reg AS (SELECT chain_id, lower(contract_address) AS c, max((updated_at, name, symbol, decimals, token_standard, is_verified)) AS v FROM token_metadata_registry GROUP BY ALL)
+SELECT activity_id, a.chain_id, token_address, coalesce(nullif(v[2], ''), token_symbol) AS token_name, coalesce(nullif(v[3], ''), token_symbol) AS token_symbol, v[4] AS decimals, v[5] AS token_standard, coalesce(v[6], false) AS is_verified, schema_version + CASE WHEN v IS NULL THEN 0 ELSE 1 END AS schema_version FROM address_activity a LEFT JOIN reg ON reg.chain_id = a.chain_id AND reg.c = lower(a.token_address)""")
 def q_p30(spark: SparkSession, d: str) -> DataFrame:
     from tracewright.runtime import skew_safe_lookup
 
-    reg = table(spark, d, "token_metadata_registry").groupBy("chain_id", F.lower("contract_address").alias("c")).agg(F.max_by("name", F.struct("updated_at", "name")).alias("name"))
-    act = table(spark, d, "address_activity").select("activity_id", "chain_id", "token_address", "token_symbol", F.lower("token_address").alias("c"))
-    return skew_safe_lookup(act, reg, ["chain_id", "c"], ["name"]).select("activity_id", "chain_id", "token_address", F.coalesce(F.nullif("name", F.lit("")), F.col("token_symbol")).alias("token_name"))
+    reg = table(spark, d, "token_metadata_registry").groupBy("chain_id", F.lower("contract_address").alias("c")).agg(F.max(F.struct("updated_at", "name", "symbol", "decimals", "token_standard", "is_verified")).alias("v"))
+    act = table(spark, d, "address_activity").select("activity_id", "chain_id", "token_address", F.col("token_symbol").alias("old_symbol"), "schema_version", F.lower("token_address").alias("c"))
+    v = lambda c: F.coalesce(F.nullif(F.col(f"v.{c}"), F.lit("")), F.col("old_symbol"))
+    return skew_safe_lookup(act, reg, ["chain_id", "c"], ["v"]).select(
+        "activity_id", "chain_id", "token_address", v("name").alias("token_name"), v("symbol").alias("token_symbol"), "v.decimals", "v.token_standard", F.coalesce("v.is_verified", F.lit(False)).alias("is_verified"), (F.col("schema_version") + F.col("v").isNotNull().cast("int")).alias("schema_version")
+    )
 
 
 # Joins
@@ -253,9 +277,10 @@ def j4(spark: SparkSession, d: str) -> DataFrame:
     return relational.touching(transfers(spark, d), spark.createDataFrame([("A1",), ("A2",), ("A3",)], "k string"), "src", "dst", "k")
 
 
-@query("j6_anti", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("j6_anti", "SELECT DISTINCT lower(trim(h.contract_address)) AS contract FROM token_metadata_history h WHERE lower(trim(h.contract_address)) NOT IN (SELECT lower(trim(contract_address)) FROM token_metadata_registry)")
 def j6(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    known = table(spark, d, "token_metadata_registry").select(F.lower(F.trim("contract_address")).alias("contract"))
+    return table(spark, d, "token_metadata_history").select(F.lower(F.trim("contract_address")).alias("contract")).distinct().join(known, "contract", "left_anti")
 
 
 @query("j7_either_side", f"""WITH {TRA} SELECT k, role, count(*) AS n, sum(amount) AS amount FROM (SELECT 'A' || n_nationkey AS k, CASE WHEN src = 'A' || n_nationkey THEN 'OUT' ELSE 'IN' END AS role, amount FROM tra JOIN nation ON src = 'A' || n_nationkey OR dst = 'A' || n_nationkey) GROUP BY ALL""")
@@ -283,9 +308,12 @@ def j9(spark: SparkSession, d: str) -> DataFrame:
     return prices.valued(activity(spark, d), anchors(spark, d))
 
 
-@query("j12_summary_always", "SELECT count(*) AS edges, coalesce(sum(l_quantity), 0) AS quantity FROM lineitem WHERE l_shipdate > TIMESTAMP '2100-01-01'")
+@query("j12_summary_always", f"""WITH {ACT}, t AS (SELECT address, count(*) AS rows FROM act GROUP BY 1), e AS (SELECT counterparty_address AS other, count(*) AS n FROM act WHERE address = '0x0' GROUP BY 1), s AS (SELECT count(*) AS addresses, CAST(sum(rows) AS BIGINT) AS rows FROM t) SELECT addresses, rows, other, n FROM s LEFT JOIN e ON true""")
 def j12(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "lineitem").filter(F.col("l_shipdate") > F.lit("2100-01-01").cast("timestamp_ntz")).agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("l_quantity"), F.lit(0.0)).alias("quantity"))
+    a = activity(spark, d)
+    summary = a.groupBy("address").agg(F.count(F.lit(1)).alias("rows")).agg(F.count(F.lit(1)).alias("addresses"), F.sum("rows").alias("rows"))
+    edges = a.filter("address = '0x0'").groupBy(F.col("counterparty_address").alias("other")).agg(F.count(F.lit(1)).alias("n"))
+    return summary.join(edges, F.lit(True), "left")  # one row on the left, which stays without any edge
 
 
 @query("j13_batch_counts", f"WITH {ACT}, want AS (SELECT DISTINCT counterparty_address AS address FROM act WHERE counterparty_address <> '') SELECT want.address, count(act.address) AS event_count FROM want LEFT JOIN act USING (address) GROUP BY want.address")
@@ -324,23 +352,11 @@ def a1(spark: SparkSession, d: str) -> DataFrame:
     return aa.profiles(activity(spark, d))
 
 
-@query("a3_dashboard", f"""WITH {ACT}, per AS (SELECT chain_id, address, count(*) AS n, count(DISTINCT CAST(block_time AS DATE)) AS days FROM act GROUP BY ALL)
-SELECT count(*) AS addresses, CAST(sum(n) AS BIGINT) AS rows, count(*) FILTER (n >= 100 OR n / nullif(days, 0) >= 50) AS risk_addresses, (SELECT count(*) FROM (SELECT DISTINCT chain_id, token_address FROM act)) AS tokens FROM per""")
-def a3(spark: SparkSession, d: str) -> DataFrame:
-    return aa.dashboard(activity(spark, d))
-
-
 @query("a4_daily_trend", f"WITH {ACT} SELECT chain_id, CAST(block_time AS DATE) AS day, count(*) AS rows, count(DISTINCT address) AS addresses FROM act WHERE block_time IS NOT NULL GROUP BY ALL")
 def a4(spark: SparkSession, d: str) -> DataFrame:
     return aa.daily_trend(activity(spark, d))
 
 
-@query("a5_flow_statistics", f"""WITH {ACT}, e AS (SELECT chain_id, address, counterparty_address, token_address, count(*) AS n, {_z('amount')} AS amount FROM act WHERE direction = 'OUT' AND counterparty_address <> '' GROUP BY ALL),
-nodes AS (SELECT chain_id, count(*) AS nodes FROM (SELECT chain_id, address FROM e UNION SELECT chain_id, counterparty_address FROM e) GROUP BY 1) SELECT chain_id, count(*) AS edges, CAST(sum(n) AS BIGINT) AS transfers, CAST(sum(amount) AS {_DEC}) AS amount, any_value(nodes) AS nodes FROM e JOIN nodes USING (chain_id) GROUP BY chain_id""")
-def a5(spark: SparkSession, d: str) -> DataFrame:
-    return aa.flow_statistics(activity(spark, d))
-
-
 def _conc(view: str = "act") -> str:
     share = lambda v, r, k: f"round(CAST({_z(v, f'{r} <= {k}')} AS DOUBLE) / CAST(nullif({_z(v)}, 0) AS DOUBLE), 6)"
     cols = ", ".join(f"{share(v, r, k)} AS top{k}_{n}_share" for v, r, n in (("i", "ri", "in"), ("o", "ro", "out")) for k in (1, 5, 10))
@@ -357,12 +373,6 @@ def a13(spark: SparkSession, d: str) -> DataFrame:
 _RECENT = ", ".join(f"count(*) FILTER (block_time > {_T} - INTERVAL {h} HOUR AND block_time <= {_T}) AS {n}" for h, n in ((24, "last_day"), (168, "last_week"), (720, "last_month")))
 
 
-@query("a6_address_statistics", f"""WITH {ACT}, {_conc()}, b AS (SELECT chain_id, address, {_RECENT}, {_z('amount', "direction = 'IN'")} AS in_amount, {_z('amount', "direction = 'OUT'")} AS out_amount, max(amount) AS largest FROM act GROUP BY chain_id, address)
-SELECT * FROM b LEFT JOIN conc USING (chain_id, address)""")
-def a6(spark: SparkSession, d: str) -> DataFrame:
-    return aa.address_statistics(activity(spark, d), _as_of())
-
-
 @query("a8_top_counterparties", f"""WITH {ACT} SELECT chain_id, address, counterparty_address, count(DISTINCT tx_hash) AS txs, {_z('amount')} AS amount, row_number() OVER (PARTITION BY chain_id, address ORDER BY count(DISTINCT tx_hash) DESC, {_z('amount')} DESC, counterparty_address) AS rank
 FROM act WHERE counterparty_address <> '' GROUP BY chain_id, address, counterparty_address QUALIFY rank <= 10""")
 def a8(spark: SparkSession, d: str) -> DataFrame:
@@ -372,6 +382,13 @@ def a8(spark: SparkSession, d: str) -> DataFrame:
 _I, _O = _z("amount", "direction = 'IN'"), _z("amount", "direction = 'OUT'")
 
 
+@query("a9_top_sources", " UNION ALL ".join(f"""SELECT '{w}' AS way, * FROM (WITH {ACT} SELECT chain_id, address, counterparty_address, count(DISTINCT tx_hash) AS txs, {_z('amount')} AS amount, row_number() OVER (PARTITION BY chain_id, address ORDER BY count(DISTINCT tx_hash) DESC, {_z('amount')} DESC, counterparty_address) AS rank
+FROM act WHERE counterparty_address <> '' AND direction = '{w}' GROUP BY chain_id, address, counterparty_address QUALIFY rank <= 10)""" for w in ("IN", "OUT")))
+def a9(spark: SparkSession, d: str) -> DataFrame:
+    a = activity(spark, d)
+    return aa.top_sources(a, "IN").withColumn("way", F.lit("IN")).unionByName(aa.top_sources(a, "OUT").withColumn("way", F.lit("OUT")))
+
+
 @query("a8_daily_netflow", f"WITH {ACT} SELECT chain_id, address, CAST(block_time AS DATE) AS day, {_I} AS in_amount, {_O} AS out_amount, CAST({_I} - {_O} AS {_DEC}) AS net FROM act WHERE block_time IS NOT NULL GROUP BY ALL")
 def a8n(spark: SparkSession, d: str) -> DataFrame:
     return aa.daily_netflow(activity(spark, d))
@@ -396,11 +413,6 @@ def _summary(view: str = "act") -> str:
 {_z('usd_value', "direction = 'IN'")} AS in_usd, {_z('usd_value', "direction = 'OUT'")} AS out_usd, count(usd_value) AS priced_rows, {kinds} FROM {view} GROUP BY chain_id, address"""
 
 
-@query("a11_summary", f"WITH {ACT} {_summary()}")
-def a11(spark: SparkSession, d: str) -> DataFrame:
-    return aa.summary_v2(activity(spark, d))
-
-
 _RANKINGS = {"in_value": "in_amount", "out_value": "out_amount", "rows": "rows", "net": "abs(in_amount - out_amount)"}
 _RANKED = " UNION ALL ".join(
     f"SELECT chain_id, address, '{n}' AS ranking, row_number() OVER (w ORDER BY {m} DESC, counterparty_address) AS rank, counterparty_address, in_amount, out_amount, rows, label, round(CAST({m} AS DOUBLE) / nullif(CAST(sum({m}) OVER w AS DOUBLE), 0), 6) AS share FROM g WINDOW w AS (PARTITION BY chain_id, address)"
@@ -445,23 +457,6 @@ def a16(spark: SparkSession, d: str) -> DataFrame:
     return aa.snapshot(activity(spark, d), _as_of())
 
 
-@query("a17_financial_summary", f"""WITH {ACT}, n AS (SELECT chain_id, address, usd_value, row_number() OVER (PARTITION BY chain_id, address ORDER BY usd_value) AS r, count(*) OVER (PARTITION BY chain_id, address) AS n FROM act WHERE usd_value IS NOT NULL), med AS (SELECT chain_id, address, usd_value AS median_usd FROM n WHERE r = floor(n * 0.5) + 1 OR (n = 0)),
-b AS (SELECT chain_id, address, CAST(sum(usd_value) FILTER (direction = 'IN') AS {_DEC}) AS in_usd, CAST(sum(usd_value) FILTER (direction = 'OUT') AS {_DEC}) AS out_usd, CAST(sum(usd_value) FILTER (token_address = '') AS {_DEC}) AS native_usd, CAST(sum(usd_value) FILTER (upper(trim(token_symbol)) IN ('USDX', 'EURX', 'ZNB')) AS {_DEC}) AS stable_usd,
-max(usd_value) AS largest_usd, count(*) FILTER (usd_value >= 1000) AS large_rows, round(count(usd_value) / count(*), 6) AS coverage FROM act GROUP BY chain_id, address) SELECT * FROM b LEFT JOIN med USING (chain_id, address)""")
-def a17(spark: SparkSession, d: str) -> DataFrame:
-    return aa.financial_summary(activity(spark, d))
-
-
-@query("a18_entity_statistics", f"WITH {ACT} SELECT counterparty_entity_type, counterparty_role, count(*) AS rows, count(DISTINCT address) AS addresses, {_I} AS withdrawn, {_O} AS deposited FROM act WHERE counterparty_entity_type <> '' GROUP BY ALL")
-def a18(spark: SparkSession, d: str) -> DataFrame:
-    return aa.entity_statistics(activity(spark, d))
-
-
-@query("a20_refresh_daily", f"""WITH {ACT} SELECT chain_id, address, CAST(block_time AS DATE) AS activity_date, count(*) AS activity_count, count(*) FILTER (direction = 'IN') AS in_count, count(*) FILTER (direction = 'OUT') AS out_count, {_z('usd_value')} AS usd_value, max(ingested_at) AS updated_at FROM act WHERE block_time IS NOT NULL GROUP BY ALL""")
-def a20(spark: SparkSession, d: str) -> DataFrame:
-    return aa.refreshed_daily(activity(spark, d))
-
-
 _BAL = f"bal AS (SELECT chain_id, address, token_address, {_I} AS in_amount, {_O} AS out_amount, CAST({_I} - {_O} AS {_DEC}) AS balance FROM act GROUP BY ALL)"
 
 
@@ -476,9 +471,10 @@ def a26(spark: SparkSession, d: str) -> DataFrame:
     return aa.asset_risk(aa.assets(activity(spark, d)))
 
 
-@query("a23_first_seen", f"WITH {ACT} SELECT chain_id, address, block_number AS first_block, source_provider AS source FROM act WHERE block_number IS NOT NULL QUALIFY row_number() OVER (PARTITION BY chain_id, address ORDER BY block_number, source_provider NULLS FIRST) = 1")
+@query("a23_first_seen", f"""WITH {ACT}, r AS (SELECT chain_id, address AS who, 0 AS place, 'address' AS role, * EXCLUDE (chain_id) FROM act UNION ALL SELECT chain_id, counterparty_address, 1, 'counterparty', * EXCLUDE (chain_id) FROM act UNION ALL SELECT chain_id, token_address, 2, 'token', * EXCLUDE (chain_id) FROM act)
+SELECT chain_id, who AS address, block_number AS first_block, role, source_provider AS source, coalesce(activity_type IN ('CONTRACT_CREATE', 'CONTRACT_CREATION'), false) AS created FROM r WHERE block_number IS NOT NULL AND who <> '' QUALIFY row_number() OVER (PARTITION BY chain_id, who ORDER BY block_number, NOT coalesce(activity_type IN ('CONTRACT_CREATE', 'CONTRACT_CREATION'), false), place, source_provider NULLS FIRST) = 1""")
 def a23(spark: SparkSession, d: str) -> DataFrame:
-    return aa.first_seen(activity(spark, d))
+    return aa.first_seen(activity(spark, d), {"address": "address", "counterparty": "counterparty_address", "token": "token_address"})
 
 
 @query("a25_amount_thresholds", f"""WITH {ACT}, n AS (SELECT chain_id, token_address, amount, row_number() OVER w AS r, count(*) OVER (PARTITION BY chain_id, token_address) AS n FROM act WHERE amount IS NOT NULL WINDOW w AS (PARTITION BY chain_id, token_address ORDER BY amount)) SELECT chain_id, token_address, amount AS p95 FROM n WHERE r = floor((n - 1) * 0.95::DOUBLE) + 1""")
@@ -491,10 +487,27 @@ def a45(spark: SparkSession, d: str) -> DataFrame:
     return aa.frequency_classes(activity(spark, d))
 
 
-@query("a41_common_sources", f"WITH {ACT} SELECT counterparty_address, count(DISTINCT address) AS targets, {_z('amount')} AS amount FROM act WHERE direction = 'IN' AND counterparty_address <> '' GROUP BY 1 HAVING count(DISTINCT address) >= 2")
+_FIVE = "five AS (SELECT address FROM act GROUP BY 1 ORDER BY count(*) DESC, address LIMIT 5)"
+
+
+def _common(way: str) -> str:
+    return f"WITH {ACT}, {_FIVE} SELECT counterparty_address, count(DISTINCT address) AS targets, {_z('amount')} AS amount FROM act WHERE direction = '{way}' AND counterparty_address <> '' AND address IN (SELECT address FROM five) GROUP BY 1 HAVING count(DISTINCT address) >= 2 ORDER BY targets DESC, amount DESC, counterparty_address LIMIT 10"
+
+
+def _five(a: DataFrame) -> DataFrame:
+    return a.groupBy("address").count().orderBy(F.desc("count"), "address").limit(5).select("address")  # the targets of the case: five addresses
+
+
+@query("a41_common_sources", _common("IN"))
 def a41(spark: SparkSession, d: str) -> DataFrame:
     a = activity(spark, d)
-    return aa.common_flows(a, a.select("address").distinct())
+    return aa.common_flows(a, _five(a))
+
+
+@query("a41_common_sinks", _common("OUT"))
+def a41o(spark: SparkSession, d: str) -> DataFrame:
+    a = activity(spark, d)
+    return aa.common_flows(a, _five(a), way="OUT")
 
 
 @query("a33_large_transfers", f"WITH {ACT} SELECT activity_id, usd_value FROM act WHERE usd_value BETWEEN 100 AND 1000000000000000 ORDER BY usd_value DESC, activity_id LIMIT 10")
@@ -512,10 +525,11 @@ def a43(spark: SparkSession, d: str) -> DataFrame:
     return aa.family(last, "kin").select("chain_id", "contract", "kin", "family_size", "chains")
 
 
-@query("a44_unified_search", """SELECT * FROM (SELECT 'customer' AS kind, c_name AS label, 1 AS rank FROM customer WHERE contains(lower(c_name), '12') UNION ALL SELECT 'supplier', s_name, 2 FROM supplier WHERE contains(lower(s_name), '12') UNION ALL SELECT 'part', p_name, 3 FROM part WHERE contains(lower(p_name), '12')) ORDER BY rank, label LIMIT 50""")
+@query("a44_unified_search", f"""WITH {ACT} SELECT kind, label, max(rank) AS rank, count(*) AS n FROM (SELECT 'token' AS kind, name AS label, CASE WHEN lower(name) = 'a' THEN 3 WHEN starts_with(lower(name), 'a') THEN 2 ELSE 1 END AS rank FROM token_metadata_registry WHERE contains(lower(name), 'a')
+UNION ALL SELECT 'label', counterparty_label, CASE WHEN lower(counterparty_label) = 'a' THEN 3 WHEN starts_with(lower(counterparty_label), 'a') THEN 2 ELSE 1 END FROM act WHERE contains(lower(counterparty_label), 'a') UNION ALL SELECT 'address', address, CASE WHEN lower(address) = 'a' THEN 3 WHEN starts_with(lower(address), 'a') THEN 2 ELSE 1 END FROM act WHERE contains(lower(address), 'a')) GROUP BY ALL ORDER BY rank DESC, kind, label LIMIT 50""")
 def a44(spark: SparkSession, d: str) -> DataFrame:
-    part = lambda t, c, r: table(spark, d, t).filter(F.contains(F.lower(c), F.lit("12"))).select(F.lit(t).alias("kind"), F.col(c).alias("label"), F.lit(r).alias("rank"))
-    return part("customer", "c_name", 1).unionByName(part("supplier", "s_name", 2)).unionByName(part("part", "p_name", 3)).orderBy("rank", "label").limit(50)
+    a = activity(spark, d)
+    return relational.search({"token": (table(spark, d, "token_metadata_registry"), "name"), "label": (a, "counterparty_label"), "address": (a, "address")}, "A")
 
 
 @query("a29_ledger_summary", f"""SELECT w AS way, count(*) AS rows, CAST(sum(v) AS DECIMAL(38,2)) AS total FROM (SELECT {_WAY} AS w, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS v FROM ledger) GROUP BY 1""")
@@ -541,18 +555,28 @@ def a37(spark: SparkSession, d: str) -> DataFrame:
 _HAS = lambda c: f"count(*) FILTER (coalesce(trim({c}), '') <> '')"
 
 
+@query("a37_contract_scorecard", f"""WITH {ACT}, r AS (SELECT chain_id, lower(trim(contract_address)) AS c, coalesce(is_verified, false) AS v, name, token_standard FROM token_metadata_registry QUALIFY row_number() OVER (PARTITION BY chain_id, c ORDER BY updated_at DESC, v DESC, name DESC NULLS LAST, token_standard DESC NULLS LAST) = 1), m AS (SELECT DISTINCT chain_id, lower(trim(token_address)) AS c FROM act WHERE token_address <> '')
+SELECT r.chain_id, count(*) AS contracts, round(count(*) FILTER (v) / count(*), 6) AS verified_share, round(count(*) FILTER (coalesce(trim(name), '') <> '') / count(*), 6) AS named_share, round(count(*) FILTER (coalesce(trim(token_standard), '') <> '') / count(*), 6) AS standard_share, round(count(m.c) / count(*), 6) AS met_share FROM r LEFT JOIN m ON m.chain_id = r.chain_id AND m.c = r.c GROUP BY 1""")
+def a37c(spark: SparkSession, d: str) -> DataFrame:
+    return quality.contract_scorecard(table(spark, d, "token_metadata_registry"), activity(spark, d))
+
+
+@query("a37_decoder_scorecard", f"""WITH {ACT}, c AS (SELECT *, coalesce(trim(method_id), '') <> '' AS k, coalesce(trim(method_name), '') <> '' AS nm FROM act) SELECT chain_id, count(*) FILTER (k) AS called, round(count(*) FILTER (k AND nm) / nullif(count(*) FILTER (k), 0), 6) AS named_share, round(count(*) FILTER (k AND activity_type <> 'CONTRACT_CALL') / nullif(count(*) FILTER (k), 0), 6) AS typed_share, count(DISTINCT lower(method_id)) FILTER (k AND NOT nm) AS unnamed_methods FROM c GROUP BY 1""")
+def a37d(spark: SparkSession, d: str) -> DataFrame:
+    return quality.decoder_scorecard(activity(spark, d))
+
+
+@query("a37_price_scorecard", f"""WITH {ANC}, c AS (SELECT chain_id, close IS NOT NULL AS k, open IS NOT NULL AND coalesce(low <= least(open, close) AND greatest(open, close) <= high, false) AS s, coalesce(trim(source), '') <> '' AS t, close FROM anc) SELECT chain_id, count(*) AS minutes, round(count(*) FILTER (k) / count(*), 6) AS close_share, round(count(*) FILTER (s) / count(*), 6) AS sound_share, round(count(*) FILTER (t) / count(*), 6) AS source_share, round((count(*) FILTER (k) + count(*) FILTER (s) + count(*) FILTER (t)) / (3 * count(*)), 6) AS overall FROM c GROUP BY 1""")
+def a37p(spark: SparkSession, d: str) -> DataFrame:
+    return quality.price_scorecard(anchors(spark, d))
+
+
 @query("a37_token_scorecard", f"""SELECT chain_id, count(*) AS rows, round({_HAS('name')} / count(*), 6) AS name_share, round({_HAS('symbol')} / count(*), 6) AS symbol_share, round({_HAS('decimals')} / count(*), 6) AS decimals_share, round({_HAS('logo_uri')} / count(*), 6) AS logo_share,
 round(count(*) FILTER (is_verified) / count(*), 6) AS verified_share, round(({_HAS('name')} + {_HAS('symbol')} + {_HAS('decimals')} + {_HAS('logo_uri')}) / (4 * count(*)), 6) AS overall FROM token_metadata_registry GROUP BY chain_id""")
 def a37t(spark: SparkSession, d: str) -> DataFrame:
     return quality.token_scorecard(table(spark, d, "token_metadata_registry"))
 
 
-@query("a38_financial_report", f"""WITH {ACT} SELECT chain_id, count(*) AS rows, count(*) FILTER (amount > 0) AS required, count(*) FILTER (amount > 0 AND usd_value IS NOT NULL) AS priced, count(*) FILTER (usd_value < 0) AS negative_usd, count(*) FILTER (amount < 0) AS negative_amount, count(*) FILTER (block_time IS NULL) AS no_time,
-count(*) FILTER (usd_value IS NOT NULL AND price_usd IS NULL) AS value_without_price FROM act GROUP BY chain_id""")
-def a38(spark: SparkSession, d: str) -> DataFrame:
-    return quality.financial_report(activity(spark, d))
-
-
 @query("a39_validate_chunk", """WITH c AS (SELECT chain_id, block_number, epoch(block_time) AS bt, tx_hash, event_index, token_address, address, counterparty_address, CAST(amount AS VARCHAR) AS v FROM address_activity)
 SELECT count(*) AS rows, count(DISTINCT (chain_id, block_number, tx_hash, event_index)) AS keys, min(block_number) AS first_block, max(block_number) AS last_block, count(*) FILTER (block_number IS NULL) AS null_block, count(*) FILTER (NOT coalesce(bt > 0, false)) AS bad_time,
 count(*) FILTER (NOT coalesce(regexp_full_match(tx_hash, '0x[0-9a-f]{64}'), false)) AS bad_hash, count(*) FILTER (NOT coalesce(regexp_full_match(token_address, '0x[0-9a-f]{40}'), false)) AS bad_token, count(*) FILTER (NOT coalesce(regexp_full_match(address, '0x[0-9a-f]{40}'), false)) AS bad_from,
@@ -702,14 +726,18 @@ def g5(spark: SparkSession, d: str) -> DataFrame:
     return graph.within_hops(graph.edges_of(transfers(spark, d)), spark.createDataFrame([("A5",)], "root string"), 2)
 
 
-@query("g7_trace_tree")
-def g7(spark: SparkSession, d: str) -> DataFrame:
-    return graph.trace_tree(graph.edges_of(transfers(spark, d)), "A5", 4)
+def _tree(hops: int) -> str:
+    """The tree of first reaches from A5: each level's parents are the largest edges, then the last by name."""
+    parts = [f"WITH {_EDGES}, s AS (SELECT src, dst, CAST(sum(amount) AS DECIMAL(38,2)) AS a FROM e WHERE src <> dst GROUP BY ALL), t0 AS (SELECT 'A5' AS node, 0 AS depth, NULL::VARCHAR AS parent, NULL::DECIMAL(38,2) AS amount)"]
+    for k in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT node FROM t{i}" for i in range(k))
+        parts.append(f"t{k} AS (SELECT s.dst AS node, {k} AS depth, s.src AS parent, s.a AS amount FROM s JOIN t{k - 1} ON t{k - 1}.node = s.src WHERE s.dst NOT IN ({seen}) QUALIFY row_number() OVER (PARTITION BY s.dst ORDER BY s.a DESC, s.src DESC) = 1)")
+    return ", ".join(parts) + " " + " UNION ALL ".join(f"SELECT * FROM t{k}" for k in range(hops + 1))
 
 
-@query("g10_beam_paths")
-def g10(spark: SparkSession, d: str) -> DataFrame:
-    return graph.beam_paths(graph.edges_of(transfers(spark, d)), "A5", 4, 20)
+@query("g7_trace_tree", _tree(4))
+def g7(spark: SparkSession, d: str) -> DataFrame:
+    return graph.trace_tree(graph.edges_of(transfers(spark, d)), "A5", 4)
 
 
 @query("g12_round_trips", f"""WITH {TRA}, e AS (SELECT DISTINCT src, dst FROM tra WHERE src <> dst) SELECT a.src || '>' || a.dst || '>' || a.src AS cycle, 2 AS hops FROM e a JOIN e b ON a.dst = b.src AND b.dst = a.src WHERE a.src < a.dst
@@ -724,10 +752,11 @@ def g13(spark: SparkSession, d: str) -> DataFrame:
     return graph.conversions(transfers(spark, d))
 
 
-@query("g14_merge_edges", f"WITH {_EDGES} SELECT src, dst, token, CAST(2 * amount AS DECIMAL(38,2)) AS amount, 2 * n AS n, first_t, last_t FROM e")
+@query("g14_merge_edges", f"WITH {_EDGES} SELECT src, dst, token, amount, n, first_t, last_t FROM e")
 def g14(spark: SparkSession, d: str) -> DataFrame:
-    e = graph.edges_of(transfers(spark, d))
-    return graph.merge_edges(e, e)
+    t = transfers(spark, d)
+    early = F.col("t") < F.lit("1998-06-01").cast("timestamp_ntz")
+    return graph.merge_edges(graph.edges_of(t.filter(early)), graph.edges_of(t.filter(~early)))  # two chunks give what the whole gives
 
 
 @query("g16_reciprocal", f"""WITH {_EDGES} SELECT least(src, dst) AS a, greatest(src, dst) AS b, CAST(sum(amount) FILTER (src < dst) AS DECIMAL(38,2)) AS a_to_b, CAST(sum(amount) FILTER (src > dst) AS DECIMAL(38,2)) AS b_to_a FROM e WHERE src <> dst GROUP BY ALL HAVING count(*) FILTER (src < dst) > 0 AND count(*) FILTER (src > dst) > 0""")
@@ -735,6 +764,11 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
     return graph.reciprocal(graph.edges_of(transfers(spark, d)))
 
 
+@query("g16_shortest_path", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), r(node, depth) AS (SELECT 'A5', 0 UNION SELECT s.dst, r.depth + 1 FROM r JOIN s ON r.node = s.src WHERE r.depth < 3) SELECT 'A5' AS source, 'A9' AS target, (SELECT min(depth) FROM r WHERE node = 'A9') AS hops""")
+def g16s(spark: SparkSession, d: str) -> DataFrame:
+    return graph.shortest_hops(graph.edges_of(transfers(spark, d)), "A5", "A9", most=3)
+
+
 @query("g17_sweeps", f"""WITH {TRA}, g AS (SELECT src, dst, count(*) AS n FROM tra WHERE src <> dst GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total FROM g QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) = 1)
 SELECT src, dst AS destination, n AS most, round(n / total, 6) AS share, round(n / total, 6) >= 0.6 AS sweep FROM k""")
 def g17(spark: SparkSession, d: str) -> DataFrame:
@@ -746,11 +780,6 @@ def g17f(spark: SparkSession, d: str) -> DataFrame:
     return graph.top_funders(transfers(spark, d))
 
 
-@query("g11_conservation", f"""WITH {_STATS}, g AS (SELECT node, total_in, total_out, round(coalesce(abs(CAST(total_in AS DOUBLE) - CAST(total_out AS DOUBLE)) / nullif(greatest(CAST(total_in AS DOUBLE), CAST(total_out AS DOUBLE)), 0), 0), 6) AS gap FROM st) SELECT *, CASE WHEN gap <= 0.05 THEN 'conserved' WHEN total_in > total_out THEN 'accumulates' ELSE 'pays_out' END AS kind FROM g""")
-def g11(spark: SparkSession, d: str) -> DataFrame:
-    return graph.conservation(graph.node_stats(graph.edges_of(transfers(spark, d))))
-
-
 @query("g18_timeline", f"WITH {TRA} SELECT * FROM tra WHERE src = 'A5' OR dst = 'A5' ORDER BY t, tx, log_index, src, dst, token, amount LIMIT 100")
 def g18(spark: SparkSession, d: str) -> DataFrame:
     return graph.case_timeline(transfers(spark, d), (F.col("src") == "A5") | (F.col("dst") == "A5"))
@@ -793,8 +822,8 @@ CAST(l_quantity AS DECIMAL(18,2)) AS amount, CAST(l_extendedprice AS DECIMAL(18,
 g AS (SELECT token, sum(q) FILTER (sale AND unit IS NOT NULL) AS known_sold, sum(q / ua * uu) FILTER (sale AND unit IS NOT NULL) AS proceeds, sum(q / ua * ug) FILTER (sale AND unit IS NOT NULL) AS gas, sum(q * unit) FILTER (sale) AS cost, sum(q) AS used, sum(q) FILTER (unit IS NOT NULL) AS known_used, sum(q * unit) AS cost_used
   FROM (SELECT token, unit, CAST(q AS DOUBLE) AS q, used.type IN ({_SELL}) AS sale, CAST(used.amount AS DOUBLE) AS ua, CAST(used.usd AS DOUBLE) AS uu, CAST(used.gas AS DOUBLE) AS ug FROM pairs) GROUP BY token),
 b AS (SELECT token, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_SELL})), 0) AS sold, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_COME})), 0) AS came, coalesce(sum(CAST(amount AS DOUBLE)) FILTER (type IN ({_COME}) AND unit IS NOT NULL), 0) AS known_came, coalesce(sum(amount * unit) FILTER (type IN ({_COME})), 0) AS cost_came FROM run GROUP BY token)
-SELECT token, round(sold, 4) AS sold, round(coalesce(known_sold, 0), 4) AS known_sold, round(coalesce(known_sold / nullif(sold, 0), 0), 4) AS known_ratio, round(coalesce(proceeds, 0), 4) AS proceeds, round(coalesce(gas, 0), 4) AS gas, round(coalesce(cost, 0), 4) AS cost, round(coalesce(proceeds, 0) - coalesce(cost, 0) - coalesce(gas, 0), 4) AS pnl,
-round(came - coalesce(used, 0), 4) AS position, round(known_came - coalesce(known_used, 0), 4) AS known_position, round(cost_came - coalesce(cost_used, 0), 4) AS remaining_cost FROM b LEFT JOIN g USING (token)""")
+SELECT token, sold + 0 AS sold, known_sold + 0 AS known_sold, known_ratio, proceeds + 0 AS proceeds, gas + 0 AS gas, cost + 0 AS cost, pnl + 0 AS pnl, position + 0 AS position, known_position + 0 AS known_position, remaining_cost + 0 AS remaining_cost FROM (SELECT token, round(sold, 4) AS sold, round(coalesce(known_sold, 0), 4) AS known_sold, round(coalesce(known_sold / nullif(sold, 0), 0), 4) AS known_ratio, round(coalesce(proceeds, 0), 4) AS proceeds, round(coalesce(gas, 0), 4) AS gas, round(coalesce(cost, 0), 4) AS cost, round(coalesce(proceeds, 0) - coalesce(cost, 0) - coalesce(gas, 0), 4) AS pnl,
+round(came - coalesce(used, 0), 4) AS position, round(known_came - coalesce(known_used, 0), 4) AS known_position, round(cost_came - coalesce(cost_used, 0), 4) AS remaining_cost FROM b LEFT JOIN g USING (token))""")
 def f2(spark: SparkSession, d: str) -> DataFrame:
     c = F.col
     kind = F.when(c("l_returnflag") == "A", "DEX_BUY").when(c("l_returnflag") == "N", "DEX_SELL").when(c("l_linestatus") == "O", "TRANSFER_IN").otherwise("TRANSFER_OUT")
@@ -810,11 +839,13 @@ def f3(spark: SparkSession, d: str) -> DataFrame:
     return fifo.swap_events(s).drop("t", "usd_value")
 
 
-@query("f7_reconcile", f"""WITH {ACT}, {_BAL} SELECT chain_id, address, token_address, in_amount AS left_value, out_amount AS right_value, out_amount - in_amount AS difference FROM bal WHERE in_amount <> out_amount""")
+@query("f7_reconcile", f"""WITH {ACT}, b AS (SELECT chain_id, address, token_address, {_I} - {_O} AS v FROM act GROUP BY ALL), p AS (SELECT chain_id, address, token_address, {_I} - {_O} AS v FROM act WHERE block_time <= {_T} GROUP BY ALL)
+SELECT chain_id, address, token_address, CAST(p.v AS {_DEC}) AS left_value, CAST(b.v AS {_DEC}) AS right_value, CAST(coalesce(b.v, 0) - coalesce(p.v, 0) AS {_DEC}) AS difference FROM p FULL JOIN b USING (chain_id, address, token_address) WHERE p.v IS DISTINCT FROM b.v""")
 def f7(spark: SparkSession, d: str) -> DataFrame:
-    b = aa.assets(activity(spark, d))
-    k = ["chain_id", "address", "token_address"]
-    return quality.reconcile(b.select(*k, F.col("in_amount").alias("v")), b.select(*k, F.col("out_amount").alias("v")), k, "v")
+    a, k = activity(spark, d), ["chain_id", "address", "token_address"]
+    snapshot = lambda rows: aa.assets(rows).select(*k, F.col("balance").alias("v"))
+    out = quality.reconcile(snapshot(a.filter(F.col("block_time") <= _as_of())), snapshot(a), k, "v")
+    return out.withColumn("difference", F.col("difference").cast("decimal(38,18)"))
 
 
 @query("r2_screening", f"""WITH {ACT}, {_conc()}, p AS (SELECT chain_id, address, count(*) AS events, count(DISTINCT tx_hash) AS txs FROM act GROUP BY ALL), j AS (SELECT p.*, greatest(coalesce(top1_in_share, 0), coalesce(top1_out_share, 0)) AS top FROM p LEFT JOIN conc USING (chain_id, address)),
@@ -825,10 +856,12 @@ def r2(spark: SparkSession, d: str) -> DataFrame:
     return scoring.screening(aa.profiles(a), aa.concentration(a))
 
 
-@query("r5_large_inflows", f"""WITH {ACT}, n AS (SELECT *, row_number() OVER (PARTITION BY chain_id, address ORDER BY amount) AS r, count(*) OVER (PARTITION BY chain_id, address) AS n FROM act WHERE direction = 'IN' AND amount IS NOT NULL), p AS (SELECT chain_id, address, amount AS p90 FROM n WHERE r = floor((n - 1) * 0.9::DOUBLE) + 1)
-SELECT activity_id, chain_id, address, amount, p90 FROM act JOIN p USING (chain_id, address) WHERE direction = 'IN' AND amount >= p90""")
+@query("r5_risk_scenario", f"""WITH {ACT}, n AS (SELECT *, row_number() OVER (PARTITION BY chain_id, address ORDER BY amount) AS r, count(*) OVER (PARTITION BY chain_id, address) AS n FROM act WHERE direction = 'IN' AND amount IS NOT NULL), p AS (SELECT chain_id, address, amount AS p90 FROM n WHERE r = floor((n - 1) * 0.9::DOUBLE) + 1)
+SELECT chain_id, address, 'inflow' AS kind, NULL::INT AS rank, activity_id, counterparty_address, amount, p90 AS threshold, NULL::BIGINT AS times FROM act JOIN p USING (chain_id, address) WHERE direction = 'IN' AND amount >= p90
+UNION ALL SELECT chain_id, address, 'outflow', row_number() OVER (PARTITION BY chain_id, address ORDER BY block_number NULLS LAST, tx_hash NULLS LAST, event_index NULLS LAST, activity_id) AS k, activity_id, counterparty_address, amount, NULL, NULL FROM act WHERE direction = 'OUT' QUALIFY k <= 5
+UNION ALL SELECT chain_id, address, 'spread', row_number() OVER (PARTITION BY chain_id, address ORDER BY count(*) DESC, counterparty_address) AS k, NULL, counterparty_address, NULL, NULL, count(*) FROM act WHERE direction = 'OUT' AND counterparty_address <> '' GROUP BY chain_id, address, counterparty_address QUALIFY k <= 5""")
 def r5(spark: SparkSession, d: str) -> DataFrame:
-    return scoring.large_inflow_p90(activity(spark, d))
+    return scoring.risk_scenario_p90(activity(spark, d))
 
 
 @query("r13_risk_scenario", f"""WITH {ACT}, i AS (SELECT chain_id, address, direction, row_number() OVER (PARTITION BY chain_id, address ORDER BY amount DESC NULLS LAST, block_number NULLS LAST, tx_hash NULLS LAST, event_index NULLS LAST, activity_id) AS rank, activity_id, amount FROM act WHERE direction = 'IN'),
@@ -844,6 +877,6 @@ def r10(spark: SparkSession, d: str) -> DataFrame:
 
 
 neutral_times(QUERIES, SQL, {
-    "w8_final_activity": "ingested_at", "j4_touching": "t", "a1_profiles": "first_seen last_seen", "a4_daily_trend": "day/date", "a8_daily_netflow": "day/date", "a20_refresh_daily": "activity_date/date updated_at", "a35_candles": "bucket",
+    "w8_final_activity": "ingested_at", "j4_touching": "t", "a1_profiles": "first_seen last_seen", "a4_daily_trend": "day/date", "a8_daily_netflow": "day/date", "a35_candles": "bucket",
     "a36_coverage": "first_minute last_minute", "f5_price_as_of": "minute", "a34_minute_bars": "minute", "a30_edges": "first_t last_t", "g14_merge_edges": "first_t last_t", "g18_timeline": "t",
 })

@@ -104,14 +104,6 @@ def j11(spark: SparkSession, d: str) -> DataFrame:
     return one.select("chain_id", F.inline(F.array(*[F.struct(F.lit(m).alias("minutes"), F.col(f"m{m}").alias("rows")) for m in minutes]))).select("minutes", "chain_id", "rows")
 
 
-@query("a19_protocol_stats", """WITH e AS (SELECT DISTINCT event_id, event_type, json_extract_string(props, '$.k') AS k, value FROM events), g AS (SELECT event_type, k, count(*) AS n, sum(CAST(value AS DECIMAL(18,2))) AS v FROM e GROUP BY ALL)
-SELECT event_type, CAST(sum(n) AS BIGINT) AS rows, CAST(sum(v) AS DECIMAL(38,2)) AS volume, arg_min(k, (-n, k)) AS top_key, count(*) AS keys FROM g GROUP BY event_type""")
-def a19(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "event_type", F.get_json_object("props", "$.k").alias("k"), "value").distinct()
-    g = e.groupBy("event_type", "k").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("value").cast("decimal(18,2)")).alias("v"))
-    return g.groupBy("event_type").agg(F.sum("n").alias("rows"), F.sum("v").cast("decimal(38,2)").alias("volume"), F.min_by("k", F.struct(-F.col("n"), "k")).alias("top_key"), F.count(F.lit(1)).alias("keys"))
-
-
 @query("a21_target_summary", f"WITH {ACT}, t AS (SELECT DISTINCT lower(contract_address) AS address FROM token_metadata_registry UNION SELECT DISTINCT address FROM act) SELECT t.address, count(act.activity_id) AS rows, {_I} AS in_amount, {_O} AS out_amount FROM t LEFT JOIN act ON act.address = t.address GROUP BY 1")
 def a21(spark: SparkSession, d: str) -> DataFrame:
     a = activity(spark, d)
@@ -121,10 +113,11 @@ def a21(spark: SparkSession, d: str) -> DataFrame:
     return t.join(g, "address", "left").select("address", F.coalesce("rows", F.lit(0)).alias("rows"), F.coalesce("in_amount", zero).alias("in_amount"), F.coalesce("out_amount", zero).alias("out_amount"))
 
 
-@query("a22_counterparty_rollup", f"""WITH {ACT} SELECT chain_id, address, counterparty_address, count(*) AS rows, count(*) FILTER (status = 'SUCCESS') AS succeeded, CASE WHEN count(DISTINCT direction) FILTER (direction IN ('IN', 'OUT')) = 2 THEN 'BOTH' ELSE min(direction) END AS way FROM act WHERE counterparty_address <> '' GROUP BY ALL""")
+@query("a22_counterparty_rollup", f"""WITH {ACT}, g AS (SELECT chain_id, address, counterparty_address, count(*) AS rows, count(*) FILTER (status = 'SUCCESS') AS succeeded, CASE WHEN count(DISTINCT direction) FILTER (direction IN ('IN', 'OUT')) = 2 THEN 'BOTH' ELSE min(direction) END AS way FROM act WHERE counterparty_address <> '' GROUP BY ALL) SELECT *, (SELECT count(*) FROM g) AS total_rows FROM g ORDER BY rows DESC, chain_id, address, counterparty_address LIMIT 200 OFFSET 100""")
 def a22(spark: SparkSession, d: str) -> DataFrame:
     both = (F.count_if(aa.is_in()) > 0) & (F.count_if(aa.is_out()) > 0)
-    return activity(spark, d).filter("counterparty_address <> ''").groupBy("chain_id", "address", "counterparty_address").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "SUCCESS").alias("succeeded"), F.when(both, "BOTH").otherwise(F.min("direction")).alias("way"))
+    g = activity(spark, d).filter("counterparty_address <> ''").groupBy("chain_id", "address", "counterparty_address").agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("status") == "SUCCESS").alias("succeeded"), F.when(both, "BOTH").otherwise(F.min("direction")).alias("way"))
+    return relational.offset_page(g, [F.desc("rows"), "chain_id", "address", "counterparty_address"], 100, 200)
 
 
 @query("a28_flow_graph", f"""WITH r AS (SELECT account_no AS src, cp_account AS dst, CAST({_NUM} AS DECIMAL(18,2)) AS amount, account_name, id_no FROM ledger WHERE account_no <> '' AND cp_account <> ''), e AS (SELECT src, dst, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM r GROUP BY ALL),
@@ -153,13 +146,6 @@ def a32(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy("chain_id", "address", "counterparty_address", "sym").agg(F.count(F.lit(1)).alias("rows"), n.alias("priced_rows"), F.when(n == F.count(F.lit(1)), "VALUED").when(n > 0, "PARTIAL").otherwise("NO_PRICE").alias("status"))
 
 
-@query("a42_receiver_basis", f"""WITH {_STATS}, r AS (SELECT total_in, row_number() OVER (ORDER BY total_in DESC, node) AS k FROM st) SELECT round(CAST(sum(total_in) FILTER (k <= 10) AS DOUBLE) / CAST(sum(total_in) AS DOUBLE), 6) AS top10_share FROM r""")
-def a42(spark: SparkSession, d: str) -> DataFrame:
-    st = graph.node_stats(graph.edges_of(transfers(spark, d)))
-    top = st.orderBy(F.desc("total_in"), "node").limit(10).agg(F.sum("total_in")).scalar()
-    return st.agg(F.sum("total_in").alias("all")).select(aa.ratio(top, F.col("all")).alias("top10_share"))
-
-
 @query("f4_resolved_prices", """WITH q AS (SELECT event_id AS id, 'S' || (user_id % 5) AS symbol, ts AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS cid, 'S' || (user_id % 5) AS symbol, ts AS ct, value AS price, 'src' || (event_id % 3) AS source, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM events WHERE event_type = 'view'),
 j AS (SELECT q.id, price, source, abs(epoch_us(t) - epoch_us(ct)) AS gap, row_number() OVER (PARTITION BY q.id ORDER BY CASE source WHEN 'src1' THEN 1 WHEN 'src0' THEN 2 ELSE 99 END, abs(epoch_us(t) - epoch_us(ct)), CASE confidence WHEN 'HIGH' THEN -3 WHEN 'MEDIUM' THEN -2 ELSE -1 END, source, ct, price) AS r FROM q JOIN c ON q.symbol = c.symbol AND abs(epoch_us(t) - epoch_us(ct)) <= 300000000)
 SELECT q.id, price, source, CAST(floor(gap / 1000000) AS BIGINT) AS gap_s FROM q LEFT JOIN (SELECT * FROM j WHERE r = 1) b ON b.id = q.id""")
@@ -172,17 +158,20 @@ def f4(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("f6_asset_snapshot", f"""WITH {ACT}, {_BAL}, n AS (SELECT chain_id, token_address, amount, row_number() OVER (PARTITION BY chain_id, token_address ORDER BY amount) AS r, count(*) OVER (PARTITION BY chain_id, token_address) AS n FROM act WHERE amount IS NOT NULL), p AS (SELECT chain_id, token_address, amount AS p95 FROM n WHERE r = floor((n - 1) * 0.95::DOUBLE) + 1),
-l AS (SELECT chain_id, address, token_address, count(*) AS large_in FROM act JOIN p USING (chain_id, token_address) WHERE direction = 'IN' AND amount >= p95 GROUP BY ALL) SELECT b.chain_id, b.address, b.token_address, b.balance, coalesce(large_in, 0) AS large_in, row_number() OVER (PARTITION BY b.chain_id, b.address ORDER BY b.balance DESC, b.token_address) AS rank FROM bal b LEFT JOIN l ON l.chain_id = b.chain_id AND l.address = b.address AND l.token_address = b.token_address QUALIFY rank <= 5""")
+l AS (SELECT chain_id, address, token_address, count(*) AS large_in, max(amount) AS largest, max(block_time) AS last_t FROM act JOIN p USING (chain_id, token_address) WHERE direction = 'IN' AND amount >= p95 GROUP BY ALL), q AS (SELECT act.chain_id, act.address, act.token_address, sum(amount) AS quick FROM act JOIN l ON l.chain_id = act.chain_id AND l.address = act.address AND l.token_address = act.token_address WHERE direction = 'OUT' AND epoch_us(block_time) - epoch_us(last_t) BETWEEN 0 AND 86400000000 GROUP BY ALL)
+SELECT b.chain_id, b.address, b.token_address, b.balance, coalesce(large_in, 0) AS large_in, coalesce(CAST(quick AS DOUBLE) >= 0.8 * CAST(largest AS DOUBLE), false) AS rapid_outflow, row_number() OVER (PARTITION BY b.chain_id, b.address ORDER BY b.balance DESC, b.token_address) AS rank FROM bal b LEFT JOIN l ON l.chain_id = b.chain_id AND l.address = b.address AND l.token_address = b.token_address LEFT JOIN q ON q.chain_id = b.chain_id AND q.address = b.address AND q.token_address = b.token_address QUALIFY rank <= 5""")
 def f6(spark: SparkSession, d: str) -> DataFrame:
     from tracewright.runtime import skew_safe_lookup
 
-    a = activity(spark, d)
-    p = aa.amount_thresholds(a)
-    ins = a.filter("direction = 'IN'").select("chain_id", "address", "token_address", "amount")
-    large = skew_safe_lookup(ins, p, ["chain_id", "token_address"], ["p95"]).filter("amount >= p95").groupBy("chain_id", "address", "token_address").agg(F.count(F.lit(1)).alias("large_in"))
-    k = ["chain_id", "address", "token_address"]
-    b = aa.assets(a).select(*k, "balance").join(large, k, "left").withColumn("large_in", F.coalesce("large_in", F.lit(0)))
-    return relational.top_per_group(b, ["chain_id", "address"], [F.desc("balance"), "token_address"], 5)
+    a, k = activity(spark, d), ["chain_id", "address", "token_address"]
+    ins = a.filter("direction = 'IN'").select(*k, "amount", "block_time")
+    large = skew_safe_lookup(ins, aa.amount_thresholds(a), ["chain_id", "token_address"], ["p95"]).filter("amount >= p95").groupBy(*k).agg(F.count(F.lit(1)).alias("large_in"), F.max("amount").alias("largest"), F.max("block_time").alias("last_t"))
+    # What goes out within a day after the last large receipt: 80 % of the largest one or more is a rapid outflow.
+    outs = skew_safe_lookup(a.filter("direction = 'OUT'").select(*k, "amount", "block_time"), large, k, ["last_t"])
+    quick = outs.filter((F.unix_micros("block_time") - F.unix_micros("last_t")).between(0, 86_400_000_000)).groupBy(*k).agg(F.sum("amount").alias("quick"))
+    b = aa.assets(a).select(*k, "balance").join(large.select(*k, "large_in", "largest"), k, "left").join(quick, k, "left")
+    rapid = F.coalesce(F.col("quick").cast("double") >= 0.8 * F.col("largest").cast("double"), F.lit(False))
+    return relational.top_per_group(b.select(*k, "balance", F.coalesce("large_in", F.lit(0)).alias("large_in"), rapid.alias("rapid_outflow")), ["chain_id", "address"], [F.desc("balance"), "token_address"], 5)
 
 
 def ego(edges: DataFrame, root: str, depth: int = 2, max_edges: int = 1000) -> DataFrame:
@@ -212,57 +201,27 @@ def ego(edges: DataFrame, root: str, depth: int = 2, max_edges: int = 1000) -> D
     return out
 
 
-@query("g6_ego_graph")
-def g6(spark: SparkSession, d: str) -> DataFrame:
-    return ego(graph.edges_of(transfers(spark, d)), "A5", 2, 1000)
+_EGO = f"""WITH {_EDGES}, x AS (SELECT src, dst, token, amount, substr(sha256(src || '|' || dst || '|' || token), 1, 12) AS edge_id FROM e), a AS (SELECT *, count(*) OVER () > 1000 AS truncated, 1 AS level FROM x WHERE src = 'A5' ORDER BY amount DESC, src, dst, token LIMIT 1000),
+f AS (SELECT src AS node FROM a UNION SELECT dst FROM a), b AS (SELECT *, count(*) OVER () > 1000 - (SELECT count(*) FROM a) AS truncated, 2 AS level FROM x WHERE (src IN (SELECT node FROM f WHERE node <> 'A5') OR dst IN (SELECT node FROM f WHERE node <> 'A5')) AND edge_id NOT IN (SELECT edge_id FROM a))
+SELECT * FROM a UNION ALL SELECT * FROM (SELECT * FROM b ORDER BY amount DESC, src, dst, token LIMIT 1000) QUALIFY row_number() OVER (PARTITION BY level ORDER BY amount DESC, src, dst, token) <= CASE level WHEN 1 THEN 1000 ELSE 1000 - (SELECT count(*) FROM a) END"""
 
 
-@query("g9_scored_paths")
-def g9(spark: SparkSession, d: str) -> DataFrame:
-    p = graph.beam_paths(graph.edges_of(transfers(spark, d)), "A5", 3, 50)
-    start = F.max("bottleneck").over(Window.partitionBy())  # at most hops x beam rows
-    return p.select("hop", "path", "bottleneck", scoring.path_score(F.col("hop"), F.col("bottleneck"), start).alias("score"))
+@query("g6_ego_graph", _EGO)
+def g6(spark: SparkSession, d: str) -> DataFrame:
+    return ego(graph.edges_of(transfers(spark, d)), "A5", 2, 1000)
 
 
-@query("g19_hypothesis", f"""WITH {ACT}, t AS (SELECT chain_id, address FROM act GROUP BY ALL ORDER BY count(*) DESC, chain_id, address LIMIT 2), s AS (SELECT counterparty_address AS c, count(DISTINCT (chain_id, address)) AS n FROM act JOIN t USING (chain_id, address) WHERE counterparty_address <> '' GROUP BY 1 HAVING count(DISTINCT (chain_id, address)) = 2)
-SELECT count(*) AS common, CASE WHEN count(*) > 0 THEN 0.8 ELSE 0.3 END AS score FROM s""")
+@query("g19_hypothesis", f"""WITH {ACT}, t AS (SELECT chain_id, address FROM act GROUP BY ALL ORDER BY count(*) DESC, chain_id, address LIMIT 2), m AS (SELECT DISTINCT chain_id, address, counterparty_address AS c, counterparty_entity_type AS e, counterparty_label AS l FROM act JOIN t USING (chain_id, address) WHERE counterparty_address <> ''),
+k AS (SELECT e, l FROM m WHERE e <> '' AND l <> '' GROUP BY ALL HAVING count(DISTINCT (chain_id, address)) = 2), s AS (SELECT c FROM m GROUP BY 1 HAVING count(DISTINCT (chain_id, address)) = 2)
+SELECT (SELECT count(*) FROM k) AS common_entities, (SELECT count(*) FROM s) AS common_addresses, CASE WHEN (SELECT count(*) FROM k) > 0 THEN 0.8 WHEN (SELECT count(*) FROM s) > 0 THEN 0.5 ELSE 0.3 END AS score""")
 def g19(spark: SparkSession, d: str) -> DataFrame:
     a = activity(spark, d)
     t = a.groupBy("chain_id", "address").count().orderBy(F.desc("count"), "chain_id", "address").limit(2).select("chain_id", "address")  # two addresses are compared
-    s = a.filter("counterparty_address <> ''").join(F.broadcast(t), ["chain_id", "address"], "left_semi").select("counterparty_address", "chain_id", "address").distinct().groupBy("counterparty_address").count().filter("count = 2")
-    return s.agg(F.count(F.lit(1)).alias("common")).select("common", F.when(F.col("common") > 0, 0.8).otherwise(0.3).alias("score"))
-
-
-@query("r1_lake_risk", f"""WITH {ACT}, {_conc()}, p AS (SELECT chain_id, address, count(*) AS events FROM act GROUP BY ALL), s AS (SELECT chain_id, address, round(least(100 * (0.6 * least(events / 100, 1) + 0.4 * coalesce(top10_in_share, 0)), 100), 4) AS score FROM p LEFT JOIN conc USING (chain_id, address)) SELECT *, CASE WHEN score >= 60 THEN 'high' WHEN score >= 30 THEN 'medium' ELSE 'low' END AS level FROM s""")
-def r1(spark: SparkSession, d: str) -> DataFrame:
-    a = activity(spark, d)
-    p = a.groupBy("chain_id", "address").agg(F.count(F.lit(1)).alias("events")).join(aa.concentration(a), ["chain_id", "address"], "left")
-    s = scoring.lake_risk(F.col("events"), F.coalesce("top10_in_share", F.lit(0.0)), F.lit(0.0))
-    return p.select("chain_id", "address", s.alias("score")).withColumn("level", scoring.level(F.col("score"), 60, 30))
-
-
-@query("r4_patterns", f"""WITH {ACT}, g AS (SELECT chain_id, address, {_I} AS i, {_O} AS o, count(*) FILTER (direction = 'OUT') AS out_rows, count(DISTINCT counterparty_address) FILTER (direction = 'IN') AS sources, max(amount) FILTER (direction = 'IN') AS largest FROM act GROUP BY ALL)
-SELECT chain_id, address, i > 0 AND CAST(o AS DOUBLE) >= 0.5 * CAST(i AS DOUBLE) AS rapid, out_rows >= 3 AND CAST(o AS DOUBLE) >= 0.6 * CAST(largest AS DOUBLE) AS split, sources >= 3 AND CAST(o AS DOUBLE) < 0.2 * CAST(i AS DOUBLE) AS concentration, i > 0 AND CAST(o AS DOUBLE) >= 0.8 * CAST(i AS DOUBLE) AS drain FROM g""")
-def r4(spark: SparkSession, d: str) -> DataFrame:
-    i, o = aa.zero_sum(F.col("amount"), aa.is_in()), aa.zero_sum(F.col("amount"), aa.is_out())
-    g = activity(spark, d).groupBy("chain_id", "address").agg(i.alias("in_amount"), o.alias("out_amount"), F.count_if(aa.is_out()).alias("out_rows"), F.countDistinct(F.when(aa.is_in(), F.col("counterparty_address"))).alias("sources"), F.max(F.when(aa.is_in(), F.col("amount"))).alias("largest_in"))
-    return scoring.rapid_patterns(g.withColumn("fast_out", F.col("out_amount")))
-
-
-@query("r8_expansion", f"""WITH {_STATS} SELECT node, round(0.7 * least(greatest(floor(log10(greatest(CAST(total_in + total_out AS DOUBLE), 1))), 0), 6) / 6 + 0.3 * least(transfers / 1000, 1), 6) AS score FROM st""")
-def r8(spark: SparkSession, d: str) -> DataFrame:
-    st = graph.node_stats(graph.edges_of(transfers(spark, d)))
-    return st.select("node", F.round(0.7 * scoring.log_bucket(F.col("total_in") + F.col("total_out")) + 0.3 * F.least(F.col("transfers") / 1000, F.lit(1.0)), 6).alias("score"))
-
-
-@query("r9_investigation", f"""WITH {ACT}, g AS (SELECT chain_id, address, least(count(*) / 100, 1) AS a, least(count(DISTINCT counterparty_address) / 50, 1) AS b, least(count(DISTINCT counterparty_entity_type) / 5, 1) AS c, count(*) FILTER (direction = 'IN') / count(*) AS d, count(usd_value) / count(*) AS e, least(count(DISTINCT token_address) / 10, 1) AS f FROM act GROUP BY chain_id, address)
-SELECT chain_id, address, round(100 * (0.4 * a + 0.2 * b + 0.1 * c + 0.1 * d + 0.1 * e + 0.1 * f), 4) AS score FROM g""")
-def r9(spark: SparkSession, d: str) -> DataFrame:
-    n = F.count(F.lit(1))
-    g = activity(spark, d).groupBy("chain_id", "address").agg(
-        (n / 100).alias("a"), (F.countDistinct("counterparty_address") / 50).alias("b"), (F.countDistinct("counterparty_entity_type") / 5).alias("c"), (F.count_if(aa.is_in()) / n).alias("d"), (F.count("usd_value") / n).alias("e"), (F.countDistinct("token_address") / 10).alias("f")
-    )
-    return g.select("chain_id", "address", scoring.investigation([F.col(x) for x in "abcdef"], "funds").alias("score"))
+    m = a.filter("counterparty_address <> ''").join(F.broadcast(t), ["chain_id", "address"], "left_semi").select("chain_id", "address", F.col("counterparty_address").alias("c"), F.col("counterparty_entity_type").alias("e"), F.col("counterparty_label").alias("l")).distinct()
+    both = lambda rows, *k: rows.select(*k, "chain_id", "address").distinct().groupBy(*k).count().filter("count = 2").agg(F.count(F.lit(1)))
+    k = both(m.filter("e <> '' AND l <> ''"), "e", "l")
+    one = both(m, "c").toDF("common_addresses").withColumn("common_entities", k.scalar())
+    return one.select("common_entities", "common_addresses", F.when(F.col("common_entities") > 0, 0.8).when(F.col("common_addresses") > 0, 0.5).otherwise(0.3).alias("score"))
 
 
 @query("r12_label_precedence", """WITH l AS (SELECT chain_id, lower(contract_address) AS address, name AS label, coalesce(is_verified, false) AS verified, updated_at FROM token_metadata_registry WHERE name <> '') SELECT chain_id, address, label FROM l QUALIFY row_number() OVER (PARTITION BY chain_id, address ORDER BY verified DESC, updated_at DESC, label DESC) = 1""")
@@ -282,13 +241,6 @@ def w6(spark: SparkSession, d: str) -> DataFrame:
     return t.withColumn("total", t.agg(F.count(F.lit(1))).scalar())  # a window would put everything into one task
 
 
-@query("g8_typed_edges", f"""WITH {ACT} SELECT address AS src, counterparty_address AS dst, CASE WHEN upper(counterparty_entity_type) = 'CEX' THEN 'CASH_OUT' WHEN upper(counterparty_entity_type) = 'BRIDGE' THEN 'BRIDGE' WHEN upper(counterparty_entity_type) = 'DEX' THEN 'SWAP' ELSE 'TRANSFER' END AS kind, count(*) AS n, {_z('amount')} AS amount FROM act WHERE direction = 'OUT' AND counterparty_address <> '' GROUP BY ALL""")
-def g8(spark: SparkSession, d: str) -> DataFrame:
-    t = F.upper("counterparty_entity_type")
-    kind: Column = F.when(t == "CEX", "CASH_OUT").when(t == "BRIDGE", "BRIDGE").when(t == "DEX", "SWAP").otherwise("TRANSFER")
-    return activity(spark, d).filter("direction = 'OUT' AND counterparty_address <> ''").groupBy(F.col("address").alias("src"), F.col("counterparty_address").alias("dst"), kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"), aa.zero_sum(F.col("amount")).alias("amount"))
-
-
 @query("r11_holding_structure", f"""WITH {ACT}, g AS (SELECT chain_id, address, token_address, {_I} AS i, {_O} AS o FROM act GROUP BY ALL) SELECT chain_id, token_address, count(*) FILTER (i > o) AS holders, count(*) FILTER (i <= o AND o > 0) AS exited, CAST(sum(greatest(i - o, 0)) AS {_DEC}) AS held FROM g GROUP BY ALL""")
 def r11(spark: SparkSession, d: str) -> DataFrame:
     b = aa.assets(activity(spark, d))

@@ -33,6 +33,18 @@ def transfers(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def entities(spark: SparkSession, d: str) -> DataFrame:
+    """Known entities among the parties: node, entity_type, entity_id; every third supplier, by its nation."""
+    kinds = F.element_at(F.array(*[F.lit(k) for k in ENTITY_KINDS]), (F.col("s_nationkey") % len(ENTITY_KINDS) + 1).cast("int"))
+    s = table(spark, d, "supplier").filter("s_suppkey % 3 = 0")
+    parties = table(spark, d, "supplier").agg(F.count(F.lit(1))).scalar()
+    return s.select(F.concat(F.lit("A"), (F.col("s_suppkey") % parties).cast("string")).alias("node"), kinds.alias("entity_type"), F.concat(F.lit("E"), F.col("s_nationkey").cast("string")).alias("entity_id"))
+
+
+ENTITY_KINDS = ("EXCHANGE", "BRIDGE", "DEX", "ROUTER", "CONTRACT", "UNKNOWN_SERVICE", "TREASURY")
+ENT = f"""ent AS (SELECT 'A' || (s_suppkey % (SELECT count(*) FROM supplier)) AS node, [{', '.join(f"'{k}'" for k in ENTITY_KINDS)}][s_nationkey % {len(ENTITY_KINDS)} + 1] AS entity_type, 'E' || s_nationkey AS entity_id FROM supplier WHERE s_suppkey % 3 = 0)"""
+
+
 def anchors(spark: SparkSession, d: str) -> DataFrame:
     """Price minutes, latest version of each."""
     return final_view(table(spark, d, "price_anchor_1m"), ["chain_id", "symbol", "quote_symbol", "minute"], ["ingested_at", "anchor_id"])

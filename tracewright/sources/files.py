@@ -202,6 +202,12 @@ def rows_per_file(df: DataFrame) -> DataFrame:
     return df.select(F.col("_metadata.file_name").alias("file")).groupBy("file").agg(F.count(F.lit(1)).alias("rows"))
 
 
+def schema_of(df: DataFrame) -> DataFrame:
+    """SC9: the columns of a source: column, type and place (from 1); only footers are read."""
+    rows = [(f.name, f.dataType.simpleString(), i) for i, f in enumerate(df.schema, 1)]
+    return df.sparkSession.createDataFrame(rows, "column string, type string, place bigint")
+
+
 def expand_zip(path: str, to: str) -> list[str]:
     """SC4: the files of an archive; a member that would leave ``to`` is refused."""
     out, root = [], os.path.realpath(to)
