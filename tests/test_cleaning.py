@@ -48,13 +48,9 @@ def test_contract_rules(spark):
     assert one(spark, cl.creation_kind(yes, yes, yes, F.lit("create2")), cl.creation_kind(nul, yes, yes, F.lit("create2")), cl.creation_kind(no, no, yes, F.lit("create2")), cl.creation_kind(no, nul, no, F.lit("create2")), cl.creation_kind(no, no, no, lit(None))) == ("TOKEN", "PROXY", "FACTORY", "CREATE2", "UNKNOWN")
 
 
-def test_scores(spark):
-    assert one(spark, scoring.lake_risk(F.lit(500), F.lit(1.0), F.lit(1.0)), scoring.investigation([F.lit(x) for x in (1.0, 2.0, -1.0, 0.5, 0.0, 1.0)], "funds"), scoring.log_bucket(F.lit(0)), scoring.log_bucket(F.lit(10**9)), scoring.path_score(F.lit(2), F.lit(5), F.lit(10))) == (100.0, 75.0, 0.0, 1.0, 0.5)
-
-
 def test_small_sources_and_sinks(spark, tmp_path):
     df = spark.createDataFrame([(" 0x" + "A" * 40,), ("0x" + "a" * 40,), ("0xzz",), (None,)], "a string")
-    assert [(r.address, r.n) for r in files.address_list(df, "a").collect()] == [("0x" + "a" * 40, 2)]
+    assert [(r.address, r.n) for r in files.address_list(df, "a")[0].collect()] == [("0x" + "a" * 40, 2)]
     m = "chain_id int, symbol string, quote_symbol string, minute int"
     new = files.new_minutes(spark.createDataFrame([(1, "A", "U", 1), (1, "A", "U", 2), (1, "A", "U", 2)], m), spark.createDataFrame([(1, "A", "U", 1)], m))
     assert [r.minute for r in new.collect()] == [2]

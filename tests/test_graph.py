@@ -80,10 +80,3 @@ def test_hops_and_round_trips(spark):
     three = {r.cycle for r in g.round_trips(df).collect()}
     want = {f"{a}>{b}>{a}" for a in out for b in out[a] if a < b and a in out[b]} | {f"{a}>{b}>{c}>{a}" for a in out for b in out[a] for c in out[b] if c != a and a < b and a < c and a in out[c]}
     assert three == want
-
-
-def test_beam_never_revisits(spark):
-    _, df = make(spark, 12, 60, 9)
-    for r in g.beam_paths(df, "n001", 4, 10).collect():
-        p = r.path.split(">")
-        assert len(p) == len(set(p)) == r.hop + 1

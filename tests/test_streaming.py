@@ -35,3 +35,31 @@ def test_authoritative_entries(spark):
 def test_windows_with_watermark(spark, small_dir):
     ev = spark.read.parquet(f"{small_dir}/events.parquet").withColumnRenamed("ts", "t0").selectExpr("*", "cast(t0 as timestamp) ts")
     assert ch.windowed(ev).agg({"n": "sum"}).first()[0] == ev.count()
+
+
+def test_whole_chunks_are_verified_merged_and_published(spark, tmp_path):
+    src, out, reg, ck = (str(tmp_path / x) for x in ("in", "out", "reg", "ck"))
+    os.mkdir(src)
+    bad = [("q", *rows(50)[0][1:]), ("q", 1, 99, 0, 0, h(9), h(1, 40), h(2, 40), h(3, 40), "5")]
+    spark.createDataFrame(rows(1, 2) + bad, ch.CHUNK).write.mode("append").parquet(src)
+    for k in ("ck", "ck2"):  # the second time everything is known
+        ch.ingest(spark, src, out, str(tmp_path / k), registry=reg).awaitTermination()
+        assert sorted(r.block_number for r in spark.read.parquet(out).collect()) == [1, 2]
+        assert {(r.chunk_key, r.rows, r.valid_rows, r.status) for r in spark.read.parquet(reg).collect()} == {("c", 2, 2, "published"), ("q", 2, 1, "quarantined")}
+        assert spark.read.parquet(reg).count() == 2
+
+
+def test_statements_stream_into_the_ledger(spark, tmp_path):
+    from tracewright.sources import files
+
+    src = tmp_path / "in"
+    src.mkdir()
+    head = "入账日期,交易描述,入账金额,入账货币\n"
+    (src / "a.csv").write_text(head + '2024-01-01,x,"1,000.5",CNY\n', encoding="utf-8")
+    layout = files.layout_of(head.encode())
+    go = lambda: ch.statements(spark, str(src), layout, "信用卡账单", "card", str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
+    go()
+    (src / "b.csv").write_text(head + "入账日期,y,2,USD\n", encoding="utf-8")
+    go()
+    got = sorted((r.src_file, r.txn_time, r.amount, r.currency, r.data_source) for r in spark.read.parquet(str(tmp_path / "out")).collect())
+    assert got == [("a.csv", "2024-01-01", "1000.50", "CNY", "card"), ("b.csv", "入账日期", "2.00", "USD", "card")]

@@ -91,16 +91,20 @@ def patterns(stats: DataFrame, least: int = 10) -> DataFrame:
 
 
 def within_hops(edges: DataFrame, roots: DataFrame, hops: int, directed: bool = False) -> DataFrame:
-    """(node, depth) of all nodes within ``hops`` of any root, level by level; each level is one join and one anti join."""
-    step = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    if not directed:
-        step = step.union(edges.select("dst", "src"))
-    step = materialize(step.filter(F.col("a") != F.col("b")).distinct(), "steps")
+    """(node, depth) of all nodes within ``hops`` of any root, level by level; each level is one join and one anti join.
+
+    The pairs of the graph are written once; a front that is counted to be small is broadcast, so such a level moves no pair."""
+    pairs = materialize(edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct(), "pairs")
     seen = materialize(roots.select(F.col("root").alias("node")).distinct().withColumn("depth", F.lit(0)), "seen")
     front = seen
     for k in range(1, hops + 1):
-        nxt = front.join(step, front.node == step.a).select(F.col("b").alias("node")).distinct()
-        front = materialize(nxt.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(k)), "front")
+        at = front.select("node")
+        at = F.broadcast(at) if small(at) else at
+        nxt = pairs.join(at, F.col("src") == F.col("node")).select(F.col("dst").alias("node"))
+        if not directed:
+            nxt = nxt.union(pairs.join(at, F.col("dst") == F.col("node")).select(F.col("src").alias("node")))
+        known = seen.select("node")
+        front = materialize(nxt.distinct().join(known, "node", "left_anti").withColumn("depth", F.lit(k)), "front")
         seen = seen.unionByName(front)
     return seen
 

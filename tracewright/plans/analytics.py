@@ -723,7 +723,7 @@ def g3(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g5_within_hops", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT src AS a, dst AS b FROM e WHERE src <> dst UNION SELECT DISTINCT dst, src FROM e WHERE src <> dst), r(node, depth) AS (SELECT 'A5', 0 UNION SELECT s.b, r.depth + 1 FROM r JOIN s ON r.node = s.a WHERE r.depth < 2) SELECT node, min(depth) AS depth FROM r GROUP BY node""")
 def g5(spark: SparkSession, d: str) -> DataFrame:
-    return graph.within_hops(graph.edges_of(transfers(spark, d)), spark.createDataFrame([("A5",)], "root string"), 2)
+    return graph.within_hops(transfers(spark, d), spark.createDataFrame([("A5",)], "root string"), 2)
 
 
 def _tree(hops: int) -> str:
@@ -766,7 +766,7 @@ def g16(spark: SparkSession, d: str) -> DataFrame:
 
 @query("g16_shortest_path", f"""WITH RECURSIVE {_EDGES}, s AS (SELECT DISTINCT src, dst FROM e WHERE src <> dst), r(node, depth) AS (SELECT 'A5', 0 UNION SELECT s.dst, r.depth + 1 FROM r JOIN s ON r.node = s.src WHERE r.depth < 3) SELECT 'A5' AS source, 'A9' AS target, (SELECT min(depth) FROM r WHERE node = 'A9') AS hops""")
 def g16s(spark: SparkSession, d: str) -> DataFrame:
-    return graph.shortest_hops(graph.edges_of(transfers(spark, d)), "A5", "A9", most=3)
+    return graph.shortest_hops(transfers(spark, d), "A5", "A9", most=3)
 
 
 @query("g17_sweeps", f"""WITH {TRA}, g AS (SELECT src, dst, count(*) AS n FROM tra WHERE src <> dst GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total FROM g QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) = 1)

@@ -143,7 +143,12 @@ def read_many(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
-def _without_heads(skips: Mapping[str, int]) -> Callable[[Iterator], Iterator]:
+def drop_heads(df: DataFrame, skip: int) -> DataFrame:
+    """``df``, rows of text files with src_file, without the first ``skip`` records of each file."""
+    return df.mapInArrow(_without_heads({}, skip), df.schema)
+
+
+def _without_heads(skips: Mapping[str, int], other: int = 0) -> Callable[[Iterator], Iterator]:
     def run(batches: Iterator) -> Iterator:
         from urllib.parse import unquote
 
@@ -157,7 +162,7 @@ def _without_heads(skips: Mapping[str, int]) -> Callable[[Iterator], Iterator]:
             keep = np.ones(len(names), dtype=bool)
             for i, j in zip(starts, [*starts[1:], len(names)]):
                 done = seen.get(names[i], 0)
-                skip = skips.get(names[i], skips.get(unquote(names[i]), 0))
+                skip = skips.get(names[i], skips.get(unquote(names[i]), other))
                 keep[i : min(j, i + max(0, skip - done))] = False
                 seen[names[i]] = done + j - i
             yield b.filter(pa_array(keep))

@@ -4,50 +4,102 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
+from tracewright.operators.ledger import map_source
 from tracewright.operators.quality import ADDRESS, HASH
+from tracewright.runtime import file_system, materialize
+from tracewright.sources.files import Layout, drop_heads
 
 KEY = ["chain_id", "block_number", "transaction_hash", "log_index"]
 CHUNK = "chunk_key string, chain_id bigint, block_number bigint, block_timestamp bigint, log_index bigint, transaction_hash string, token_address string, from_address string, to_address string, value_raw string"
 
 
-def valid(rows: DataFrame) -> DataFrame:
-    """Rows of a chunk that keep its contract (F-3)."""
+def valid_row() -> Column:
+    """Whether a row of a chunk keeps its contract (F-3); null where a field it needs is null."""
     ok = F.col("block_number").isNotNull() & (F.col("block_timestamp") > 0) & F.col("transaction_hash").rlike(HASH) & F.col("value_raw").rlike("^[0-9]+$")
     for c in ("token_address", "from_address", "to_address"):
         ok = ok & F.col(c).rlike(ADDRESS)
-    return rows.filter(F.coalesce(ok, F.lit(False)))
+    return ok
+
+
+def valid(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.coalesce(valid_row(), F.lit(False)))
+
+
+#: Blocks of a partition of the stored table: a batch reads back only the partitions it touches.
+PART_BLOCKS = 1_000_000
 
 
 def _read(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    if p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p):
-        return spark.read.schema(schema).parquet(path)
-    return spark.createDataFrame([], schema)
+    fs, at = file_system(spark, path)
+    return spark.read.schema(schema).parquet(path) if fs.exists(at) else spark.createDataFrame([], schema)
+
+
+def _merge(batch: DataFrame, target: str) -> None:
+    """Append the rows whose key isn't stored. The table is partitioned by chain and block range, and only ranges of the batch are read."""
+    part = F.floor(F.col("block_number") / PART_BLOCKS).cast("int")
+    order = F.struct("chunk_key", *[c for c in batch.columns if c not in ("chunk_key", *KEY)])
+    first = batch.groupBy(*KEY).agg(F.min(order).alias("v")).select(*[F.col(c) if c in KEY else F.col(f"v.{c}").alias(c) for c in batch.columns]).withColumn("block_part", part)
+    touched = [r.block_part for r in first.select("block_part").distinct().collect()]  # one number for a million blocks
+    stored = _read(batch.sparkSession, target, first.schema).filter(F.col("block_part").isin(touched or [-1])).select(*KEY)
+    first.join(stored, KEY, "left_anti").write.mode("append").partitionBy("block_part").option("compression", "zstd").parquet(target)
 
 
 def apply_batch(target: str) -> Callable[[DataFrame, int], None]:
-    """ST2, ST4, G15: a foreachBatch function that appends valid rows whose key isn't stored. Applying a batch again changes nothing."""
+    """ST2, G15: a foreachBatch function that appends valid rows whose key isn't stored. Applying a batch again changes nothing."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        rows = valid(batch)
-        first = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*KEY).orderBy("chunk_key"))).filter("__r = 1").drop("__r")
-        stored = _read(batch.sparkSession, target, batch.schema).select(*KEY)
-        first.join(stored, KEY, "left_anti").write.mode("append").option("compression", "zstd").parquet(target)
+        _merge(valid(batch), target)
 
     return apply
 
 
-def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100) -> StreamingQuery:
-    """All chunk files of a folder, those that come later included; ends when what is there has been applied."""
+REGISTRY = "chunk_key string, rows bigint, valid_rows bigint, first_block bigint, last_block bigint, status string"
+
+
+def sync_batch(target: str, registry: str) -> Callable[[DataFrame, int], None]:
+    """ST4: a foreachBatch function that verifies, merges, registers and publishes whole chunks.
+
+    A chunk with any invalid row is quarantined: registered as such and not merged. A chunk that is registered already is left alone. The
+    registry is written last, so a batch that breaks off before is done again, and merging again changes nothing.
+    """
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        spark = batch.sparkSession
+        fresh = batch.join(_read(spark, registry, StructType.fromDDL(REGISTRY)).select("chunk_key"), "chunk_key", "left_anti")
+        good = F.coalesce(valid_row(), F.lit(False))
+        counts = fresh.groupBy("chunk_key").agg(F.count(F.lit(1)).alias("rows"), F.count_if(good).alias("valid_rows"), F.min("block_number").alias("first_block"), F.max("block_number").alias("last_block"))
+        verdict = materialize(counts.withColumn("status", F.when(F.col("rows") == F.col("valid_rows"), "published").otherwise("quarantined")), "verdict")
+        _merge(fresh.join(verdict.filter("status = 'published'").select("chunk_key"), "chunk_key", "left_semi"), target)
+        verdict.write.mode("append").option("compression", "zstd").parquet(registry)
+
+    return apply
+
+
+def ingest(spark: SparkSession, source: str, target: str, checkpoint: str, files_per_batch: int = 100, registry: str | None = None) -> StreamingQuery:
+    """All chunk files of a folder, those that come later included; ends when what is there has been applied. With ``registry`` by whole chunks."""
     stream = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", files_per_batch).parquet(source)
-    return stream.writeStream.foreachBatch(apply_batch(target)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    apply = sync_batch(target, registry) if registry else apply_batch(target)
+    return stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def statements(spark: SparkSession, source: str, layout: Layout, kind: str, data_source: str, target: str, checkpoint: str) -> StreamingQuery:
+    """ST1: delimited statement files of one layout and table kind, as they come in, mapped to the canonical ledger row by row and appended.
+
+    Each file's header is dropped by position; src_file says where a row is from. Deduplication needs all rows and is a batch over the result.
+    """
+    schema = StructType.fromDDL(", ".join(f"`{n}` string" for n in layout.names))
+    raw = spark.readStream.schema(schema).option("sep", layout.sep).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8" if layout.encoding == "utf-8-sig" else layout.encoding).csv(source).select("*", F.col("_metadata.file_name").alias("src_file"))
+
+    def apply(batch: DataFrame, epoch: int) -> None:
+        map_source(drop_heads(batch, layout.skip), kind, data_source, keep=["src_file"]).write.mode("append").option("compression", "zstd").parquet(target)
+
+    return raw.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def authoritative(entries: DataFrame) -> DataFrame:
