@@ -14,8 +14,8 @@ TRANSFER_TOPICS = (
     "0xc3d58168c5ae7397731d063d5bbf3d657854427343f4c083240f7aacaa2d0f62",
     "0x4a39dc06d4c0dbc64b70af90fd698a233a518aa5d07e595d983b8c0526c8f7fb",
 )
-OUT_WORDS = "D 借 借方 支出 转出 取 支 出账 O - 出".split()
-IN_WORDS = "C 贷 贷方 收入 转入 存 入 入账 收 + 进".split()
+OUT_WORDS = ["D", "借", "借方", "支出", "转出", "取", "支", "出账", "O", "-", "出"]
+IN_WORDS = ["C", "贷", "贷方", "收入", "转入", "存", "入", "入账", "收", "+", "进"]
 METHOD_KINDS = {"APPROVE": ("0x095ea7b3",), "SWAP": ("0x38ed1739", "0x7ff36ab5", "0x18cbafe5", "0x5ae401dc", "0x414bf389"), "NATIVE_TRANSFER": ("", "0x")}
 
 

@@ -30,6 +30,7 @@ def lots(events: DataFrame, key: Sequence[str], order: Sequence[str], amount: st
     e = running(e, key, order, {"__cum_in": F.col("__in"), "__cum_out": F.col("__out")}, highs={"__short": ("__cum_out", "__cum_in")}, earlier_highs={"__short_before": "__short"})
     short_before = F.col("__short_before")
     totals = events.groupBy(*key).agg(F.coalesce(F.sum(F.when(is_in, a)), zero).cast(D18).alias("all_in"))
+    totals = materialize(totals, "totals")
     run = e.select(
         *events.columns,
         F.when(is_in, (F.col("__cum_in") - F.col("__in")).cast(D18)).alias("lot_from"), F.when(is_in, F.col("__cum_in")).alias("lot_to"),

@@ -179,7 +179,8 @@ def beam_trace(typed: DataFrame, root: str, hops: int = 4, beam: int = 20, direc
         raise ValueError("hops, beam or direction out of range")
     here, there = ("src", "dst") if direction == "out" else ("dst", "src")
     kind = F.col("to_type" if direction == "out" else "from_type")
-    steps = typed.filter(F.col("src") != F.col("dst")).select(F.col(here).alias("here"), F.col(there).alias("there"), "token", F.col("amount").cast("double").alias("amount"), F.unix_seconds(F.col("first_t").cast("timestamp")).alias("t"), kind.alias("kind"))
+    typed = materialize(typed.filter(F.col("src") != F.col("dst")).select("src", "dst", "token", "amount", "first_t", "from_type", "to_type"), "typed")
+    steps = typed.select(F.col(here).alias("here"), F.col(there).alias("there"), "token", F.col("amount").cast("double").alias("amount"), F.unix_seconds(F.col("first_t").cast("timestamp")).alias("t"), kind.alias("kind"))
     # The root's own type counts as well.
     own = typed.filter(F.col(here) == root).agg(F.max("from_type" if direction == "out" else "to_type")).first()[0] or ""
     front, out = typed.sparkSession.createDataFrame([(0, root, [root], "", 0.0, 0, None, int(own != ""), float(BEAM_PENALTY.get(own, 0.0)))], "hop int, tail string, nodes array<string>, tokens string, total double, gaps bigint, last bigint, known int, penalty double"), None

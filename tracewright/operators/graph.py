@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.runtime import discard, materialize, skew_safe_lookup, small, written
+from tracewright.runtime import BROADCAST_ROWS, discard, materialize, skew_safe_lookup, small, written
 
 D18 = "decimal(38,18)"
 
@@ -50,7 +50,8 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, che
         return nodes.withColumn("rank", F.lit(0.0))
     ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(1, iterations + 1):
-        got = ranks.join(links, ranks.node == links.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping + (1 - damping) / n).alias("rank"))
+        side = F.broadcast(ranks) if n <= BROADCAST_ROWS else ranks  # counted above
+        got = side.join(links, ranks.node == links.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping + (1 - damping) / n).alias("rank"))
         if i % checkpoint_every == 0:
             ranks, at = written(got, "ranks")
             discard(edges.sparkSession, last)
@@ -162,7 +163,7 @@ def conversions(transfers: DataFrame, blocks: int = 20) -> DataFrame:
     asked = live.select(F.col("dst").alias("node"), F.col("token").alias("in_token"), F.col("block").alias("in_block")).distinct().withColumn("span", F.floor(F.col("in_block") / blocks))
     near = two.withColumn("span", F.explode(F.expr(f"sequence(floor(b / {blocks}) - 1, floor(b / {blocks}) + 1)")))
     met = asked.join(near, ["node", "span"]).filter((F.col("in_token") != F.col("m.out_token")) & (F.abs(F.col("in_block") - F.col("b")) <= blocks))
-    found = met.groupBy("node", "in_token", "in_block").agg(F.max("m").alias("m"))
+    found = materialize(met.groupBy("node", "in_token", "in_block").agg(F.max("m").alias("m")), "found")
     i = live.select(F.col("dst").alias("node"), "tx", "log_index", F.col("token").alias("in_token"), F.col("amount").alias("in_amount"), F.col("block").alias("in_block"))
     got = skew_safe_lookup(i, found, ["node", "in_token", "in_block"], ["m"]).filter(F.col("m").isNotNull())
     return got.select("node", "tx", "log_index", "in_token", "in_amount", "in_block", "m.out_amount", "m.out_token").distinct()
@@ -201,6 +202,20 @@ def case_timeline(transfers: DataFrame, targets: Column, limit: int = 100) -> Da
     return transfers.filter(targets).orderBy("t", "tx", "log_index", "src", "dst", "token", "amount").limit(limit)
 
 
+def case_graph(transfers: DataFrame, targets: Column, limit: int = 200) -> DataFrame:
+    """The edges of the first ``limit`` transfers that touch a target, in time order."""
+    return edges_of(case_timeline(transfers, targets, limit))
+
+
+def top_graph(edges: DataFrame, limit: int = 600) -> tuple[DataFrame, DataFrame]:
+    """(the ``limit`` largest edges by amount, then number, then names; their nodes with what comes in and goes out along these edges alone)."""
+    kept = materialize(edges.orderBy(F.desc("amount"), F.desc("n"), "src", "dst").limit(limit), "kept")
+    side = F.inline(F.array(F.struct(F.col("src").alias("node"), F.lit(True).alias("out")), F.struct(F.col("dst").alias("node"), F.lit(False).alias("out"))))
+    z = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("decimal(38,2)")
+    nodes = kept.select(side, "amount", "n").groupBy("node").agg(z(F.when(~F.col("out"), F.col("amount"))).alias("total_in"), z(F.when(F.col("out"), F.col("amount"))).alias("total_out"), F.sum("n").alias("transfers"))
+    return kept, nodes
+
+
 def ledger_graph(ledger: DataFrame, src: Column, dst: Column, amount: Column) -> DataFrame:
     """Edges of a ledger after dropping repeated (src, dst, amount, time, serial): transfers, sum, largest and average, first and last time."""
     rows = ledger.select(src.alias("src"), dst.alias("dst"), amount.cast("decimal(18,2)").alias("amount"), "txn_time", "txn_serial").filter((F.col("src") != "") & (F.col("dst") != "")).distinct()

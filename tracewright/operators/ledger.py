@@ -131,7 +131,10 @@ def map_by_headers(df: DataFrame, mapping: dict[str, str], data_source: str, kee
 
 
 #: The fields of a full business fingerprint.
-FINGERPRINT = "txn_time amount balance direction card_no account_no account_name cp_account cp_name summary currency success_flag txn_serial merchant_serial payer_account payer_name payee_account payee_name".split()
+FINGERPRINT = [
+    "txn_time", "amount", "balance", "direction", "card_no", "account_no", "account_name", "cp_account", "cp_name", "summary", "currency", "success_flag", "txn_serial", "merchant_serial",
+    "payer_account", "payer_name", "payee_account", "payee_name",
+]
 
 
 def identity(columns: Sequence[str]) -> Column:

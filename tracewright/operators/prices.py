@@ -62,9 +62,9 @@ def valued(act: DataFrame, anchors: DataFrame, max_age_s: int = 86400, pegged: t
     return m.select("activity_id", "chain_id", "sym", price.cast(D18).alias("price"), kind.alias("price_kind"), F.when(kind.isin("minute", "asof"), F.unix_seconds("block_time") - F.unix_seconds("matched_at")).alias("age_s"))
 
 
-def resolve(requests: DataFrame, candidates: DataFrame, tolerance_s: int, priority: dict[str, int]) -> DataFrame:
+def resolve(requests: DataFrame, candidates: DataFrame, tolerance_s: int, priority: dict[str, int], pegged: tuple[str, ...] = ()) -> DataFrame:
     """for each request (id, symbol, t) the candidate (symbol, t, price, source, confidence) within the tolerance that comes first by
-    source rank, distance, confidence and source name. Requests meet candidates by symbol and time bucket, never all with all."""
+    source rank, distance, confidence and source name; a ``pegged`` symbol without one has price 1 and source peg. Requests meet candidates by symbol and time bucket, never all with all."""
     width = tolerance_s
     b = lambda c: F.floor(F.unix_seconds(c) / width)
     q = requests.withColumn("bucket", F.explode(F.array(b("t") - 1, b("t"), b("t") + 1)))
@@ -78,4 +78,5 @@ def resolve(requests: DataFrame, candidates: DataFrame, tolerance_s: int, priori
     gap = F.abs(F.unix_micros("t") - F.unix_micros("ct"))
     near = q.join(c, ["symbol", "bucket"]).filter(gap <= tolerance_s * 1_000_000)
     best = near.groupBy("id").agg(F.min(F.struct(rank.alias("rank"), gap.alias("gap"), (-conf).alias("conf"), "source", "ct", "price")).alias("m"))
-    return requests.join(best, "id", "left").select("id", "m.price", "m.source", (F.col("m.gap") / 1_000_000).cast("bigint").alias("gap_s"))
+    peg = F.col("m").isNull() & F.col("symbol").isin(*pegged)
+    return requests.join(best, "id", "left").select("id", F.when(peg, F.lit(1).cast(candidates.schema["price"].dataType)).otherwise(F.col("m.price")).alias("price"), F.when(peg, "peg").otherwise(F.col("m.source")).alias("source"), (F.col("m.gap") / 1_000_000).cast("bigint").alias("gap_s"))

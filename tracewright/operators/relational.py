@@ -77,6 +77,7 @@ def dedup_with_audit(df: DataFrame, identity: Column, order: Sequence[str], row_
     """
     keyed = df.withColumn("identity", F.coalesce(identity, F.concat(F.lit("row:"), F.col(row_id).cast("string"))))
     kept = keyed.groupBy("identity").agg(F.min(F.struct(*order, F.col(row_id).alias("__id"))).alias("m")).select("identity", F.col("m.__id").alias("kept_id"))
+    kept = materialize(kept, "kept")
     numbered = running(keyed, ["identity"], order, {"copy_no": F.lit(1)})
     return skew_safe_lookup(numbered.withColumn("copy_no", F.col("copy_no").cast("int")), kept, ["identity"], ["kept_id"])
 

@@ -543,6 +543,15 @@ def a27(spark: SparkSession, d: str) -> DataFrame:
     return graph.ledger_graph(table(spark, d, "ledger"), F.col("account_no"), F.col("cp_account"), cl.to_number(F.col("amount")))
 
 
+_LEDGER_EDGES = """r AS (SELECT DISTINCT account_no AS src, cp_account AS dst, CAST(coalesce(try_cast(regexp_replace(regexp_replace(coalesce(amount, ''), '[,，￥¥元]', '', 'g'), '[^0-9.+-]', '', 'g') AS DOUBLE), 0) AS DECIMAL(18,2)) AS amount, txn_time, txn_serial FROM ledger WHERE account_no <> '' AND cp_account <> ''),
+g AS (SELECT src, dst, count(*) AS n, CAST(sum(amount) AS DECIMAL(38,2)) AS amount FROM r GROUP BY ALL ORDER BY amount DESC, n DESC, src, dst LIMIT 600)"""
+
+
+@query("a27_top_nodes", f"WITH {_LEDGER_EDGES} SELECT node, CAST(coalesce(sum(amount) FILTER (NOT o), 0) AS DECIMAL(38,2)) AS total_in, CAST(coalesce(sum(amount) FILTER (o), 0) AS DECIMAL(38,2)) AS total_out, CAST(sum(n) AS BIGINT) AS transfers FROM (SELECT src AS node, true AS o, amount, n FROM g UNION ALL SELECT dst, false, amount, n FROM g) GROUP BY node")
+def a27n(spark: SparkSession, d: str) -> DataFrame:
+    return graph.top_graph(graph.ledger_graph(table(spark, d, "ledger"), F.col("account_no"), F.col("cp_account"), cl.to_number(F.col("amount"))).select("src", "dst", "n", "amount"))[1]
+
+
 # Quality
 
 
@@ -785,6 +794,11 @@ def g18(spark: SparkSession, d: str) -> DataFrame:
     return graph.case_timeline(transfers(spark, d), (F.col("src") == "A5") | (F.col("dst") == "A5"))
 
 
+@query("g18_case_graph", f"WITH {TRA}, f AS (SELECT * FROM tra WHERE src = 'A5' OR dst = 'A5' ORDER BY t, tx, log_index, src, dst, token, amount LIMIT 200) SELECT src, dst, token, CAST(sum(amount) AS DECIMAL(38,2)) AS amount, count(*) AS n FROM f GROUP BY ALL")
+def g18g(spark: SparkSession, d: str) -> DataFrame:
+    return graph.case_graph(transfers(spark, d), (F.col("src") == "A5") | (F.col("dst") == "A5")).select("src", "dst", "token", "amount", "n")
+
+
 # Lots and scores
 
 

@@ -148,13 +148,13 @@ def a32(spark: SparkSession, d: str) -> DataFrame:
 
 @query("f4_resolved_prices", """WITH q AS (SELECT event_id AS id, 'S' || (user_id % 5) AS symbol, ts AS t FROM events WHERE event_type = 'purchase'), c AS (SELECT event_id AS cid, 'S' || (user_id % 5) AS symbol, ts AS ct, value AS price, 'src' || (event_id % 3) AS source, CASE event_id % 4 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END AS confidence FROM events WHERE event_type = 'view'),
 j AS (SELECT q.id, price, source, abs(epoch_us(t) - epoch_us(ct)) AS gap, row_number() OVER (PARTITION BY q.id ORDER BY CASE source WHEN 'src1' THEN 1 WHEN 'src0' THEN 2 ELSE 99 END, abs(epoch_us(t) - epoch_us(ct)), CASE confidence WHEN 'HIGH' THEN -3 WHEN 'MEDIUM' THEN -2 ELSE -1 END, source, ct, price) AS r FROM q JOIN c ON q.symbol = c.symbol AND abs(epoch_us(t) - epoch_us(ct)) <= 300000000)
-SELECT q.id, price, source, CAST(floor(gap / 1000000) AS BIGINT) AS gap_s FROM q LEFT JOIN (SELECT * FROM j WHERE r = 1) b ON b.id = q.id""")
+SELECT q.id, CASE WHEN b.id IS NULL AND q.symbol = 'S0' THEN 1 ELSE price END AS price, CASE WHEN b.id IS NULL AND q.symbol = 'S0' THEN 'peg' ELSE source END AS source, CAST(floor(gap / 1000000) AS BIGINT) AS gap_s FROM q LEFT JOIN (SELECT * FROM j WHERE r = 1) b ON b.id = q.id""")
 def f4(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("t", F.col("ts").cast("timestamp")).withColumn("symbol", F.concat(F.lit("S"), (F.col("user_id") % 5).cast("string")))
     q = e.filter("event_type = 'purchase'").select(F.col("event_id").alias("id"), "symbol", "t")
     conf = F.when(F.col("event_id") % 4 == 0, "HIGH").when(F.col("event_id") % 4 == 1, "MEDIUM").otherwise("LOW")
     c = e.filter("event_type = 'view'").select("symbol", "t", F.col("value").alias("price"), F.concat(F.lit("src"), (F.col("event_id") % 3).cast("string")).alias("source"), conf.alias("confidence"))
-    return prices.resolve(q, c, 300, {"src1": 1, "src0": 2})
+    return prices.resolve(q, c, 300, {"src1": 1, "src0": 2}, ("S0",))
 
 
 @query("f6_asset_snapshot", f"""WITH {ACT}, {_BAL}, n AS (SELECT chain_id, token_address, amount, row_number() OVER (PARTITION BY chain_id, token_address ORDER BY amount) AS r, count(*) OVER (PARTITION BY chain_id, token_address) AS n FROM act WHERE amount IS NOT NULL), p AS (SELECT chain_id, token_address, amount AS p95 FROM n WHERE r = floor((n - 1) * 0.95::DOUBLE) + 1),
