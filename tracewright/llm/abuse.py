@@ -35,6 +35,8 @@ SCORED_AT_ONCE = 1 << 18
 
 _TABLE = str.maketrans(LOOKALIKE)
 _LOOKS = re.compile("[" + "".join(LOOKALIKE) + "]")
+#: What a text must hold for the rules after it to change anything: a letter between two equal separators, three equal letters, a letter beside a stand-in.
+_LONE, _TRIPLE = re.compile(r"([ .\-_*])[^\W\d_]\1"), re.compile(r"([a-z])\1\1")
 _MIXED = re.compile(r"[a-z][@$0134578!]|[@$0134578!][a-z]")
 _HIDDEN = re.compile("[­​-‏⁠-⁤﻿︀-️]")
 _CJK = "㐀-鿿"
@@ -67,10 +69,12 @@ def _raw_tokens(text: str | None) -> list[str]:
     if _LOOKS.search(s):
         s = s.translate(_TABLE)
     s = _CJK_GAP.sub("", s)
-    s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
+    if _LONE.search(s):
+        s = _SPACED.sub(lambda m: re.sub(r"[ .\-_*]", "", m[0]), s)
     if _MIXED.search(s):
         s = _LEETWORD.sub(lambda m: m[0].translate(LEET) if sum(c.isdigit() for c in m[0]) <= 0.6 * len(m[0]) else m[0], s)
-    s = _STRETCH.sub(r"\1", s)
+    if _TRIPLE.search(s):
+        s = _STRETCH.sub(r"\1", s)
     return _TOKEN.findall(s)
 
 
