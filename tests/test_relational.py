@@ -125,3 +125,33 @@ def test_percentiles_and_ranges_of_a_hot_key(spark, many_parts):
         merged.append((k, lo, hi, n))
     out = rl.merge_ranges(spark.createDataFrame(spans, "k string, lo int, hi int"), ["k"], "lo", "hi")
     assert sorted((r.k, r.lo, r.hi, r.ranges) for r in out.collect()) == sorted(merged)
+
+
+def test_a_cluster_must_name_the_shared_folder():
+    from types import SimpleNamespace
+
+    def fake(master, named=None):
+        conf = SimpleNamespace(get=lambda k, d=None: named, set=lambda k, v: None)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+
+    for master in ("yarn", "spark://h:7077", "local-cluster[2,1,1024]", "k8s://x"):
+        with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+            runtime.shared_dir(fake(master))
+        assert runtime.shared_dir(fake(master, "hdfs://n/shared/")) == "hdfs://n/shared"
+    assert runtime.shared_dir(fake("local[4]")).startswith("file://")
+
+
+def test_cursors_are_bound_to_their_scope():
+    text = rl.cursor({"chain": 1, "address": "0xa"}, [5, "x"])
+    assert rl.read_cursor(text, {"address": "0xa", "chain": 1}, 2) == ["5", "x"]
+    for bad, scope, width in ((text, {"chain": 2, "address": "0xa"}, 2), (text, {"chain": 1, "address": "0xa"}, 3), ("!!", {}, 1), ("e30=", {}, 1)):
+        with pytest.raises(ValueError):
+            rl.read_cursor(bad, scope, width)
+
+
+def test_facets_and_search(spark):
+    df = spark.createDataFrame([("Ab",), ("ab",), ("xab",), (None,), ("zz",), ("ab",)], "c string")
+    assert [(r.value, r.n) for r in rl.facet(df, "c", "AB", 2).collect()] == [("ab", 2), ("Ab", 1)]
+    got = [(r.kind, r.label, r["rank"], r.n) for r in rl.search({"k": (df, "c"), "l": (df.filter("c = 'zz'"), "c")}, "Ab").collect()]
+    assert got == [("k", "Ab", 3, 1), ("k", "ab", 3, 2), ("k", "xab", 1, 1)]
+    assert rl.search({"k": (df, "c"), "l": (df, "c")}, "nothing").count() == 0
