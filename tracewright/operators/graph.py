@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tracewright.runtime import BROADCAST_ROWS, discard, materialize, skew_safe_lookup, small, written
+from tracewright.runtime import discard, materialize, skew_safe_lookup, small, written
 
 D18 = "decimal(38,18)"
 
@@ -35,7 +35,7 @@ def node_stats(edges: DataFrame) -> DataFrame:
     )
 
 
-def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, checkpoint_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, checkpoint_every: int = 10) -> DataFrame:
     """PageRank of the undirected multigraph, dangling mass spread evenly, rounded to 6 digits.
 
     Links are pre-aggregated to (node, neighbour, weight) and written once; ranks are cut from their lineage every few rounds. No node is
@@ -45,15 +45,15 @@ def pagerank(edges: DataFrame, iterations: int = 100, damping: float = 0.85, che
     degree = links.groupBy("a").agg(F.sum("w").alias("all"))
     links = skew_safe_lookup(links, degree, ["a"], ["all"]).select("a", "b", (F.col("w") / F.col("all")).alias("share"))
     # Sorted by receiver, so that most of a round's sums are complete before they are shuffled; a range cuts a hub's links where a hash wouldn't.
-    links = materialize(links.repartitionByRange("b", "a").sortWithinPartitions("b"), "links")
+    parts = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, or small links would be put into one partition
+    links = materialize(links.repartitionByRange(parts, "b", "a").sortWithinPartitions("b"), "links")
     nodes = materialize(links.select(F.col("a").alias("node")).distinct(), "nodes")
     n = nodes.count()
     if not n:
         return nodes.withColumn("rank", F.lit(0.0))
     ranks, last = nodes.withColumn("rank", F.lit(1.0 / n)), None
     for i in range(1, iterations + 1):
-        side = F.broadcast(ranks) if n <= BROADCAST_ROWS else ranks  # counted above
-        got = side.join(links, ranks.node == links.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping + (1 - damping) / n).alias("rank"))
+        got = ranks.join(links, ranks.node == links.a).groupBy(F.col("b").alias("node")).agg((F.sum(F.col("rank") * F.col("share")) * damping + (1 - damping) / n).alias("rank"))
         if i % checkpoint_every == 0:
             ranks, at = written(got, "ranks")
             discard(edges.sparkSession, last)
