@@ -80,3 +80,17 @@ def test_hops_and_round_trips(spark):
     three = {r.cycle for r in g.round_trips(df).collect()}
     want = {f"{a}>{b}>{a}" for a in out for b in out[a] if a < b and a in out[b]} | {f"{a}>{b}>{c}>{a}" for a in out for b in out[a] for c in out[b] if c != a and a < b and a < c and a in out[c]}
     assert three == want
+
+
+def test_sweep_clusters_and_address_lists(spark):
+    import pytest
+
+    from tracewright.operators import address_analytics as aa
+
+    moves = spark.createDataFrame([("a", "x")] * 3 + [("a", "y"), ("b", "x"), ("c", "y"), ("c", "z"), ("d", "y")], "src string, dst string")
+    assert [tuple(r) for r in g.sweep_clusters(g.sweeps(moves)).collect()] == [("x", 2, 4, "a")]
+    assert g.sweep_clusters(g.sweeps(moves.limit(0))).count() == 0
+    assert [r.address for r in aa.address_relation(spark, [" 0xB", "0xa", "0xb", ""]).collect()] == ["0xa", "0xb"]
+    for bad in (["x" * 65], [str(i) for i in range(501)]):
+        with pytest.raises(ValueError):
+            aa.address_relation(spark, bad)

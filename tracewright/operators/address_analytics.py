@@ -6,9 +6,9 @@ already reduced to the latest version of each row. Distinct counts work on pre-a
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -47,6 +47,14 @@ def profiles(act: DataFrame) -> DataFrame:
     )
 
 
+def address_relation(spark: SparkSession, addresses: Sequence[str], limit: int = 500) -> DataFrame:
+    """SC10: an inline list of addresses as a table: trimmed, lower case, once each. ValueError for more than ``limit`` or one of over 64 characters."""
+    clean = sorted({a.strip().lower() for a in addresses if a and a.strip()})
+    if len(clean) > limit or any(len(a) > 64 for a in clean):
+        raise ValueError("too many addresses, or one that is too long")
+    return spark.createDataFrame([(a,) for a in clean], "address string")
+
+
 def batch_counts(act: DataFrame, wanted: DataFrame) -> DataFrame:
     """The number of events of every wanted address, 0 (not 1) for one without any."""
     counted = act.join(wanted, "address", "left_semi").groupBy("address").agg(F.count(F.lit(1)).alias("n"))

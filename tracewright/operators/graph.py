@@ -193,6 +193,12 @@ def sweeps(transfers: DataFrame, least_share: float = 0.6) -> DataFrame:
     return top.select("src", "destination", "most", share.alias("share"), (share >= least_share).alias("sweep"))
 
 
+def sweep_clusters(swept: DataFrame, least: int = 2) -> DataFrame:
+    """Senders (of :func:`sweeps`) that sweep to the same destination, as a cluster: members, transfers and the least member; at least ``least`` of them."""
+    g = swept.filter("sweep").groupBy("destination").agg(F.count(F.lit(1)).alias("members"), F.sum("most").alias("transfers"), F.min("src").alias("first_member"))
+    return g.filter(F.col("members") >= least)
+
+
 def top_funders(transfers: DataFrame) -> DataFrame:
     """Each receiver's most frequent source."""
     g = transfers.filter("src <> dst").groupBy("dst", "src").agg(F.count(F.lit(1)).alias("n"))

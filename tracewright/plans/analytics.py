@@ -784,6 +784,13 @@ def g17(spark: SparkSession, d: str) -> DataFrame:
     return graph.sweeps(transfers(spark, d))
 
 
+@query("g17_sweep_clusters", f"""WITH {ACT}, g AS (SELECT address AS src, counterparty_address AS dst, count(*) AS n FROM act WHERE direction = 'OUT' AND counterparty_address <> '' AND address <> counterparty_address GROUP BY ALL), k AS (SELECT *, sum(n) OVER (PARTITION BY src) AS total FROM g QUALIFY row_number() OVER (PARTITION BY src ORDER BY n DESC, dst) = 1)
+SELECT dst AS destination, count(*) AS members, CAST(sum(n) AS BIGINT) AS transfers, min(src) AS first_member FROM k WHERE round(n / total, 6) >= 0.6 GROUP BY dst HAVING count(*) >= 2""")
+def g17c(spark: SparkSession, d: str) -> DataFrame:
+    moves = activity(spark, d).filter("direction = 'OUT' AND counterparty_address <> ''").select(F.col("address").alias("src"), F.col("counterparty_address").alias("dst"))
+    return graph.sweep_clusters(graph.sweeps(moves))
+
+
 @query("g17_top_funders", f"WITH {TRA}, g AS (SELECT dst, src, count(*) AS n FROM tra WHERE src <> dst GROUP BY ALL) SELECT dst, n, src AS funder FROM g QUALIFY row_number() OVER (PARTITION BY dst ORDER BY n DESC, src) = 1")
 def g17f(spark: SparkSession, d: str) -> DataFrame:
     return graph.top_funders(transfers(spark, d))
