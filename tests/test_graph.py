@@ -94,3 +94,41 @@ def test_sweep_clusters_and_address_lists(spark):
     for bad in (["x" * 65], [str(i) for i in range(501)]):
         with pytest.raises(ValueError):
             aa.address_relation(spark, bad)
+
+
+def test_round_trips_in_many_cells(spark):
+    # Hubs, sinks, sources, self-transfers, null ends and names whose order isn't that of numbers; one cell, and cells that hold next to nothing.
+    rng = random.Random(11)
+    names = [f"A{i}" for i in range(60)] + ["é", "z", "", "A1>A2"]
+    pairs = [(rng.choice(names), rng.choice(names[:8] if rng.random() < 0.4 else names)) for _ in range(900)]
+    pairs += [("source", n) for n in names] + [(n, "sink") for n in names] + [(None, "A1"), ("A1", None), ("A2", "A2")]
+    out = {n: set() for n in [*names, "source", "sink"]}
+    for a, b in pairs:
+        if None not in (a, b) and a != b:
+            out[a].add(b)
+    byte = lambda x: x.encode()
+    want = [(f"{a}>{b}>{a}", 2) for a in out for b in out[a] if byte(a) < byte(b) and a in out[b]]
+    want += [(f"{a}>{b}>{c}>{a}", 3) for a in out for b in out[a] for c in out[b] if c != a and byte(a) < min(byte(b), byte(c)) and a in out[c]]
+    df = spark.createDataFrame(pairs, "src string, dst string")
+    for cell_arcs in (g.CELL_ARCS, 80):
+        assert sorted(tuple(r) for r in g.round_trips(df, cell_arcs=cell_arcs).collect()) == sorted(want)
+    for none in (df.limit(0), spark.createDataFrame([("a", "b"), ("b", "c")], df.schema)):
+        assert g.round_trips(none).collect() == [] and g.round_trips(none).dtypes == [("cycle", "string"), ("hops", "int")]
+
+
+def test_round_trips_shuffle_no_pairs(spark):
+    # What is shuffled grows as arcs times the number of classes; the pairs are never joined.
+    df = spark.createDataFrame([("a", "b"), ("b", "a")], "src string, dst string")
+    plan = g.round_trips(df)._jdf.queryExecution().executedPlan().toString()
+    # No join of the pairs with the arcs is planned, and each way out or in is sent to k tasks twice, whatever its node's degree.
+    assert "MapInArrow" in plan and "Join" not in plan
+    assert [g.deal(n, 1000) for n in (10, 32_000, 128_000)] == [3, 8, 16]
+
+
+def test_marks_and_slices_lose_no_cycle(spark, monkeypatch):
+    # Marks that nearly all collide, one node's arcs at a time and slices of a few pairs give the same cycles.
+    _, df = make(spark, 40, 700, 3)
+    want = sorted(tuple(r) for r in g.round_trips(df).collect())
+    for name, v in (("MARKS", 8), ("MARKED", 1), ("TESTED", 3)):
+        monkeypatch.setattr(g, name, v)
+    assert want and sorted(tuple(r) for r in g.round_trips(df).collect()) == want

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -125,29 +132,162 @@ def trace_tree(edges: DataFrame, root: str, hops: int) -> DataFrame:
     return seen
 
 
-def round_trips(edges: DataFrame, longest: int = 3) -> DataFrame:
+#: Arcs that one task of :func:`round_trips` holds (some 60 bytes each in its worker), and the fewest ways in which nodes are dealt.
+CELL_ARCS, LEAST_DEAL = 6_000_000, 3
+
+
+def deal(arcs: int, cell_arcs: int = CELL_ARCS) -> int:
+    """The number of classes of nodes with which a task of :func:`round_trips`, a cell of classes x classes x classes, holds about ``cell_arcs`` of ``arcs``."""
+    return max(LEAST_DEAL, math.ceil(math.sqrt(2 * arcs / cell_arcs)))
+
+
+def round_trips(edges: DataFrame, longest: int = 3, cell_arcs: int = CELL_ARCS) -> DataFrame:
     """Cycles of 2 or 3 edges, each named once from its least node.
 
     A cycle of three is looked for at its node of least degree (ties by name), between a way in and a way out that both lead to greater
-    nodes. A hub therefore joins only with other hubs, and the pairs looked at are at most edges^1.5, not the square of a hub's degree.
+    nodes. A hub therefore meets only other hubs, and the pairs looked at are at most edges^1.5, not the square of a hub's degree.
+
+    The pairs themselves never travel. Nodes are numbered in the order of their names and dealt into k classes by number; a task has one
+    class each for the least node, the next and the last, and gets only the arcs between them, as lists, from which :func:`_cycles_in_cell`
+    makes the pairs and tests them at once. So 2 k numbers an arc are shuffled, with k in proportion to the root of the number of arcs.
     """
     e = edges.select("src", "dst").filter(F.col("src") != F.col("dst")).distinct()
-    if longest >= 3:
-        e = materialize(e, "arcs")
-    a, b = e.alias("a"), e.alias("b")
-    two = a.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") == F.col("a.src"))).filter(F.col("a.src") < F.col("a.dst")).select(F.concat_ws(">", "a.src", "a.dst", "a.src").alias("cycle"), F.lit(2).alias("hops"))
     if longest < 3:
-        return two
-    degree = e.select(F.explode(F.array("src", "dst")).alias("node")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
-    ranked = skew_safe_lookup(skew_safe_lookup(e.withColumn("node", F.col("src")), degree, ["node"], ["d"]).withColumnRenamed("d", "ds").withColumn("node", F.col("dst")), degree, ["node"], ["d"]).drop("node")
-    up = F.struct("ds", "src") < F.struct("d", "dst")
-    out = ranked.filter(up).select(F.col("src").alias("low"), F.col("dst").alias("v"))
-    back = ranked.filter(~up).select(F.col("dst").alias("low"), F.col("src").alias("w"))
-    wedge = out.join(back, "low").filter(F.col("v") != F.col("w")).alias("x")
-    closed = wedge.join(e.alias("c"), (F.col("c.src") == F.col("x.v")) & (F.col("c.dst") == F.col("x.w")))
-    least = F.least("x.low", "x.v", "x.w")
-    name = F.when(F.col("x.low") == least, F.concat_ws(">", "x.low", "x.v", "x.w", "x.low")).when(F.col("x.v") == least, F.concat_ws(">", "x.v", "x.w", "x.low", "x.v")).otherwise(F.concat_ws(">", "x.w", "x.low", "x.v", "x.w"))
-    return two.unionByName(closed.select(name.alias("cycle"), F.lit(3).alias("hops")))
+        a, b = e.alias("a"), e.alias("b")
+        two = a.join(b, (F.col("a.dst") == F.col("b.src")) & (F.col("b.dst") == F.col("a.src"))).filter(F.col("a.src") < F.col("a.dst"))
+        return two.select(F.concat_ws(">", "a.src", "a.dst", "a.src").alias("cycle"), F.lit(2).alias("hops"))
+    e, path = written(e, "arcs")
+    # Only a node with ways in and out lies on a cycle; the others' arcs are left out.
+    ends = F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o")))).alias("x")
+    degree = e.select(ends).groupBy("x.node").agg(F.count(F.lit(1)).alias("d"), F.sum("x.o").alias("o")).filter("o > 0 AND o < d")
+    # Numbers without gaps: the place in a range partition, behind all earlier partitions.
+    placed = materialize(degree.select("node", "d").orderBy("node").withColumn("m", F.monotonically_increasing_id()), "nodes")
+    sizes = sorted((r.p, r.n) for r in placed.groupBy(F.shiftright("m", 33).alias("p")).agg(F.count(F.lit(1)).alias("n")).collect())  # one row a partition
+    before = dict(zip([p for p, _ in sizes], itertools.accumulate([0, *[n for _, n in sizes]])))
+    nodes = sum(n for _, n in sizes)
+    number = "int" if nodes < 1 << 31 else "bigint"
+    if not nodes:
+        return edges.sparkSession.createDataFrame([], "cycle string, hops int")
+    first = F.element_at(F.create_map(*[F.lit(x).cast("bigint") for x in itertools.chain(*before.items())]), F.shiftright("m", 33))
+    known = placed.select("node", "d", (first + F.col("m").bitwiseAND((1 << 33) - 1)).cast(number).alias("id"))
+    numbered = e
+    for side in ("src", "dst"):
+        numbered = skew_safe_lookup(numbered.withColumnRenamed(side, "node"), known, ["node"], ["d", "id"]).filter("id IS NOT NULL").drop("node").withColumnsRenamed({"d": f"{side}_d", "id": f"{side}_id"})
+    up = F.struct("src_d", "src_id") < F.struct("dst_d", "dst_id")
+    low, high = F.when(up, F.col("src_id")).otherwise(F.col("dst_id")), F.when(up, F.col("dst_id")).otherwise(F.col("src_id"))
+    numbered = materialize(numbered.select(low.alias("low"), high.alias("high"), up.alias("out")), "numbered")
+    discard(edges.sparkSession, path)
+    k = deal(numbered.count(), cell_arcs)
+    # A node's arcs to greater nodes are at most the root of twice all arcs.
+    lists = numbered.groupBy("low", "out", (F.col("high") % k).cast("int").alias("g")).agg(F.collect_list("high").alias("highs"))
+    own, every = (F.col("low") % k).cast("int"), F.sequence(F.lit(0), F.lit(k - 1))
+    cell = lambda i, j, l: (i * k + j) * k + l
+    g, out = F.col("g"), F.col("out")
+    # Ways out of and into the least node, and arcs from the next node to the last, which either of them may list.
+    ways = F.transform(every, lambda x: F.struct(F.lit(0).alias("closing"), F.when(out, cell(own, g, x)).otherwise(cell(own, x, g)).alias("cell")))
+    closing = F.transform(every, lambda x: F.struct(F.lit(1).alias("closing"), F.when(out, cell(x, own, g)).otherwise(cell(x, g, own)).alias("cell")))
+    sent = lists.select(F.inline(F.concat(ways, closing)), "low", "out", "highs", F.lit(None).cast("string").alias("name"))
+    mine = (F.col("id") % k).cast("int")
+    cells = F.array_distinct(F.flatten(F.transform(every, lambda x: F.flatten(F.transform(every, lambda y: F.array(cell(mine, x, y), cell(x, mine, y), cell(x, y, mine)))))))
+    names = known.select(F.lit(2).alias("closing"), F.explode(cells).alias("cell"), F.col("id").alias("low"), F.lit(True).alias("out"), F.array().cast(f"array<{number}>").alias("highs"), F.col("node").alias("name"))
+    return sent.unionByName(names).repartitionById(k**3, "cell").mapInArrow(_cycles_in_cell(k, nodes), "cycle string, hops int")
+
+
+#: Bytes of the marks that a worker tests pairs against (they stay in a core's cache), the arcs marked at once, and the pairs tested at once.
+MARKS, MARKED, TESTED = 1 << 20, 1 << 14, 1 << 18
+
+
+def _cycles_in_cell(k: int, nodes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The cycles of one cell of :func:`round_trips`: low > v > w > low and low > v > low, for low, v and w of the cell's three classes.
+
+    Arcs v > w are marked some at a time in a table of bytes by v and w; the pairs (v, w) of all low with a way out to these v and a way in from
+    w are looked up there. Different pairs may share a mark, so a pair that meets one is looked up exactly.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds: dict[tuple[int, bool], list[tuple[np.ndarray, np.ndarray]]] = {}
+        at, known, cell = [], [], None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            closing, out, low = (b.column(b.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("closing", "out", "low"))
+            cell = b.column(b.schema.get_field_index("cell"))[0].as_py()
+            lists, name = b.column(b.schema.get_field_index("highs")), b.column(b.schema.get_field_index("name"))
+            for kind in ((0, True), (0, False), (1, True), (1, False), (2, True)):
+                rows = np.flatnonzero((closing == kind[0]) & (out == kind[1]))
+                if len(rows) and kind[0] == 2:
+                    at.append(low[rows])
+                    known.append(name.take(pa.array(rows)))
+                elif len(rows):
+                    taken = lists.take(pa.array(rows))
+                    kinds.setdefault(kind, []).append((np.repeat(low[rows], taken.value_lengths().to_numpy()), taken.flatten().to_numpy()))
+        if (0, True) not in kinds or (0, False) not in kinds:
+            return
+        arcs = {kind: tuple(np.concatenate(x) for x in zip(*parts)) for kind, parts in kinds.items()}
+        kinds.clear()
+        order = np.argsort(at := np.concatenate(at))
+        at, known = at[order], pa.chunked_array(known).combine_chunks().take(pa.array(order))
+        ci, rest = divmod(cell, k * k)
+        cj, cl = divmod(rest, k)
+        wide = nodes // k + 1
+
+        def named(*cycle: np.ndarray) -> pa.RecordBatch:
+            ids = np.stack(cycle)
+            least, each = ids.argmin(axis=0), np.arange(ids.shape[1])
+            text = [known.take(pa.array(np.searchsorted(at, ids[(least + i) % len(cycle), each]))) for i in range(len(cycle))]
+            return pa.record_batch([pc.binary_join_element_wise(*text, text[0], ">"), pa.array(np.full(len(each), len(cycle), dtype=np.int32))], names=["cycle", "hops"])
+
+        def by(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+            """(start of each number's run, the first numbers, the second), ordered by the first and then the second."""
+            x = np.argsort(first.astype(np.int64) * wide + second)
+            first, second = first[x], second[x]
+            return np.concatenate([[0], np.cumsum(np.bincount(first, minlength=wide))]), first, second
+
+        # From here on a node is its place in its class.
+        a_low, a_v = (x // k for x in arcs.pop((0, True)))
+        b_low, b_w = (x // k for x in arcs.pop((0, False)))
+        if cj == cl:
+            both = np.intersect1d(a_low.astype(np.int64) * wide + a_v, b_low.astype(np.int64) * wide + b_w, assume_unique=True)
+            for i in range(0, len(both), TESTED):
+                yield named(both[i : i + TESTED] // wide * k + ci, both[i : i + TESTED] % wide * k + cj)
+        none = np.empty(0, dtype=a_low.dtype)
+        out_v, out_w = (x // k for x in arcs.pop((1, True), (none, none)))
+        in_w, in_v = (x // k for x in arcs.pop((1, False), (none, none)))
+        c_start, c_v, c_w = by(np.concatenate([out_v, in_v]), np.concatenate([out_w, in_w]))
+        b_start, _, b_w = by(b_low, b_w)
+        b_many = np.diff(b_start)
+        useful = (b_many[a_low] > 0) & (np.diff(c_start)[a_v] > 0)
+        a_start, a_v, a_low = by(a_v[useful], a_low[useful])
+        marks, stride = np.zeros(MARKS, dtype=bool), np.int64(wide | 1)
+        v0 = 0
+        while v0 < wide:
+            # The v whose arcs are marked together, one at least.
+            v1 = max(v0 + 1, int(np.searchsorted(c_start, c_start[v0] + MARKED, side="right")) - 1)
+            c, a = slice(c_start[v0], c_start[v1]), slice(a_start[v0], a_start[v1])
+            if c.start < c.stop and a.start < a.stop:
+                marked = ((c_v[c] - v0) * stride + c_w[c]) & (MARKS - 1)
+                marks[marked] = True
+                keys = c_v[c].astype(np.int64) * wide + c_w[c]
+                low, v = a_low[a], a_v[a]
+                ends = np.cumsum(b_many[low])
+                i = 0
+                while i < len(low):
+                    done = ends[i - 1] if i else 0
+                    j = max(i + 1, int(np.searchsorted(ends, done + TESTED, side="right")))
+                    many = b_many[low[i:j]]
+                    upto = ends[i:j] - done
+                    w = b_w[np.repeat(b_start[low[i:j]] - upto + many, many) + np.arange(upto[-1])]
+                    hit = np.flatnonzero(marks[(np.repeat((v[i:j] - v0) * stride, many) + w) & (MARKS - 1)])
+                    arc = np.searchsorted(upto, hit, side="right") + i
+                    key = v[arc].astype(np.int64) * wide + w[hit]
+                    right = keys[np.minimum(np.searchsorted(keys, key), len(keys) - 1)] == key
+                    if right.any():
+                        yield named(low[arc[right]] * k + ci, v[arc[right]] * k + cj, w[hit[right]] * k + cl)
+                    i = j
+                marks[marked] = False
+            v0 = v1
+
+    return run
 
 
 def conversions(transfers: DataFrame, blocks: int = 20) -> DataFrame:
