@@ -4,6 +4,7 @@ import itertools
 import random
 import time
 
+import numpy as np
 import pytest
 from tracewright.llm import mixing as mx
 
@@ -156,3 +157,43 @@ def test_seed_and_empty(spark):
     assert ids(1) == ids(1) and ids(1) != ids(2)
     assert mx.mixture(docs.limit(0), targets).count() == 0 and mx.mixture(docs, targets.limit(0)).count() == 0
     assert {r.status for r in mx.shares(docs.limit(0), targets).collect()} == {"no documents"}
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_levels_give_a_maximal_cheapest_flow(seed):
+    rng = random.Random(seed)
+    names = "abcd"
+    patterns = [(m, rng.randrange(1, 6)) for k in (1, 2, 3) for m in itertools.combinations(names, k) if rng.random() < 0.6] or [(("a",), 3)]
+    repeats, quotas = {s: rng.randrange(1, 4) for s in names}, {s: rng.randrange(0, 9) for s in names}
+    members = np.array([names.index(s) for m, _ in patterns for s in m])
+    flow = mx.route_levels(np.array([len(m) for m, _ in patterns]), members, np.array([t for _, t in patterns]), np.array([*quotas.values()]), np.array([*repeats.values()]))
+    arcs = [(m, t, s) for m, t in patterns for s in m]
+    assert all(0 <= f <= t * repeats[s] for (_, t, s), f in zip(arcs, flow.tolist(), strict=True))
+    used, got = dict.fromkeys([m for m, _ in patterns], 0), dict.fromkeys(names, 0)
+    for (m, _, s), f in zip(arcs, flow.tolist()):
+        used[m] += f
+        got[s] += f
+    assert all(got[s] <= quotas[s] for s in names)
+    nx = {(m, k): t for m, t in patterns for k in range(sum(repeats[s] for s in m))}
+    assert (sum(got.values()), sum(sum(k // t for k in range(used[m])) for m, t in patterns)) == brute(nx, dict(patterns), quotas, repeats)
+
+
+def test_all_of_many_patterns_are_routed(spark):
+    # 13 sources and 4,500 patterns. The texts shared with "m" are the rarest patterns; only whole membership lets "m" have its quota.
+    assert mx.MAX_PATTERNS == 4096
+    sources = [f"s{i:02d}" for i in range(13)]
+    patterns = [m for k in range(2, 13) for m in itertools.combinations(sources, k)][:4500]
+    rows = [(f"text {i} " * (3 if len(m) > 2 else 9), s) for i, m in enumerate(patterns) for s in (*m, *(["m"] if i >= 4300 else []))]
+    docs = spark.createDataFrame([(i, t, s) for i, (t, s) in enumerate(rows)], "doc_id bigint, text string, source string")
+    targets = spark.createDataFrame([(s, 0.06, 1) for s in sources] + [("m", 0.22, 1)], T)
+    texts = mx.distinct_texts(docs, targets)
+    held = texts.filter("array_contains(members, 'm')").agg({"tokens": "sum"}).first()[0]
+    got = {r.source: r for r in mx.shares(docs, targets, total_tokens="corpus").collect()}
+    # As narrowed before, a text of a rarer pattern was no member of its other sources: "m" or those had less capacity than their texts hold.
+    full = {r.source: r.n for r in texts.selectExpr("explode(members) AS source", "tokens").groupBy("source").agg({"tokens": "sum"}).withColumnRenamed("sum(tokens)", "n").collect()}
+    assert {s: r.capacity_tokens for s, r in got.items()} == full and full["m"] == held
+    assert got["m"].status == "all used" and got["m"].tokens == held
+    assert all(abs(got[s].tokens - got[s].quota_tokens) < 200 for s in sources)
+    rows = mx.mixture(docs, targets, total_tokens="corpus").collect()
+    check(spark, docs, rows, targets)
+    assert {r.source: sum(x.tokens * x.copies for x in rows if x.source == r.source) for r in got.values()} == {s: r.tokens for s, r in got.items()}

@@ -8,19 +8,23 @@ amounts are filled with texts in a seeded order.
 from __future__ import annotations
 
 import heapq
+from collections import deque
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tracewright.llm.tokens import token_counts
-from tracewright.runtime import materialize
+from tracewright.runtime import materialize, small
 
 SEED, BUCKETS = 20240601, 1 << 16
 #: As ``total_tokens``: as many tokens as the distinct texts of the sources with a share hold.
 CORPUS = "corpus"
-#: The most membership patterns that are routed one by one: what reaches the driver, whatever the number of sources.
+#: The most membership patterns that are routed one path at a time (:func:`route`); more are routed all at once (:func:`route_levels`).
 MAX_PATTERNS = 4096
 
 
@@ -102,6 +106,81 @@ def route(patterns: list[tuple[tuple[str, ...], int]], quotas: dict[str, int], r
     return {m: f for m, f in zip(meaning, flow) if m is not None and f > 0}
 
 
+def route_levels(sizes: np.ndarray, members: np.ndarray, tokens: np.ndarray, quotas: np.ndarray, repeats: np.ndarray) -> np.ndarray:
+    """What :func:`route` gives, for any number of patterns: the tokens that each pattern gives to each of its sources, in the order of ``members``.
+
+    ``members`` has the patterns' sources one after the other, ``sizes`` how many are each pattern's. A path of the flow enters one pattern, and
+    what it reroutes leaves other patterns as much used as they were, so it costs the level of that pattern alone. The cheapest flow is therefore
+    a maximum flow in which every pattern is used at most once, extended to a maximum flow with at most two uses, and so on. Paths lead
+    over sources only, along all patterns that join two of them at once, so work is patterns times paths among sources.
+    """
+    pattern = np.repeat(np.arange(len(sizes)), sizes)
+    room = tokens[pattern] * repeats[members]
+    flow, used, left = np.zeros(len(members), dtype=np.int64), np.zeros(len(sizes), dtype=np.int64), quotas.astype(np.int64)
+    arcs = [np.flatnonzero(members == s) for s in range(len(quotas))]
+
+    def spread(most: np.ndarray, amount: int) -> np.ndarray:
+        """``amount`` dealt in order, at most ``most`` each."""
+        return np.clip(amount - (np.cumsum(most) - most), 0, most)
+
+    def move(s: int, t: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The arcs of s, those of t of the same patterns, and what each pattern can take from s and give to t."""
+        at = np.full(len(sizes), -1)
+        at[pattern[arcs[t]]] = arcs[t]
+        a = arcs[s][at[pattern[arcs[s]]] >= 0]
+        b = at[pattern[a]]
+        return a, b, np.minimum(flow[a], room[b])
+
+    def towards() -> dict[int, int | None]:
+        """The next source on a shortest way to one with quota left, by source; nearest first."""
+        way: dict[int, int | None] = {int(t): None for t in np.flatnonzero(left > 0)}
+        todo = deque(way)
+        while todo:
+            t = todo.popleft()
+            takes = np.zeros(len(sizes), dtype=bool)
+            takes[pattern[arcs[t][room[arcs[t]] > 0]]] = True
+            for s in np.unique(members[(flow > 0) & takes[pattern]]).tolist():
+                if s not in way:
+                    way[s] = t
+                    todo.append(s)
+        return way
+
+    level = 0
+    while True:
+        way, moved = towards(), False
+        for s in way:
+            into = arcs[s]
+            enter = np.minimum(room[into], (level + 1) * tokens[pattern[into]] - used[pattern[into]])
+            hops, x = [], s
+            while way[x] is not None:
+                hops.append(move(x, way[x]))
+                x = way[x]
+            amount = min([int(enter.sum()), int(left[x]), *(int(m.sum()) for *_, m in hops)])
+            if amount <= 0:
+                continue
+            moved = True
+            give = spread(enter, amount)
+            flow[into] += give
+            room[into] -= give
+            used[pattern[into]] += give
+            left[x] -= amount
+            for a, b, m in hops:
+                give = spread(m, amount)
+                flow[a] -= give
+                room[a] += give
+                flow[b] += give
+                room[b] -= give
+        if moved:
+            continue
+        # No further use of a pattern helps unless it can give to a source on the way; the next level is the least used of those.
+        on_way = np.zeros(len(quotas), dtype=bool)
+        on_way[list(way)] = True
+        more = pattern[on_way[members] & (room > 0)]
+        if not len(more):
+            return flow
+        level = int((used[more] // tokens[more]).min())
+
+
 def distinct_texts(docs: DataFrame, targets: DataFrame, **tokenizer: str) -> DataFrame:
     """(t, members, tokens, firsts) of the distinct non-empty texts of target sources: members are the sources they occur in, firsts the least doc_id in each.
 
@@ -118,7 +197,9 @@ def distinct_texts(docs: DataFrame, targets: DataFrame, **tokenizer: str) -> Dat
 
 def bounded_patterns(texts: DataFrame, targets: DataFrame, most: int = MAX_PATTERNS) -> DataFrame:
     """``texts`` with at most ``most`` membership patterns of several sources, the largest by tokens. A text of a rarer pattern stays a
-    member of one of its sources only, the one with the least tokens for its share; no text is lost."""
+    member of one of its sources only, the one with the least tokens for its share; no text is lost.
+
+    The mixture doesn't use it: all patterns are routed as they are. It is for who wants fewer of them."""
     kinds = texts.filter(F.size("members") > 1).groupBy("members").agg(F.sum("tokens").alias("n"))
     if kinds.count() <= most:
         return texts
@@ -133,59 +214,80 @@ def bounded_patterns(texts: DataFrame, targets: DataFrame, most: int = MAX_PATTE
     return materialize(one.select("t", F.transform(narrow, lambda x: x.source).alias("members"), "tokens", narrow.alias("firsts")), "texts")
 
 
-def plan(texts: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> tuple[dict, dict, list]:
-    """(flow of (pattern, source), report by source, patterns).
+def plan(texts: DataFrame, targets: DataFrame, total_tokens: int | str | None = None) -> tuple[pa.Table, dict]:
+    """(pattern, source and flow of every pattern that gives tokens to a source; report by source).
 
     With ``total_tokens`` (a number or CORPUS) sources whose capacity is too small are repeated to their cap, fall short, and the report says
     so. Without it the mixture shrinks to the largest in which every source that has texts reaches its share. Shares of sources without texts
     are spread over the others in proportion.
+
+    All patterns are routed, and as they are. More than MAX_PATTERNS reach the driver as numbers, 4 bytes a member and 8 a pattern.
     """
-    # At most MAX_PATTERNS and the single sources, see bounded_patterns.
-    patterns = sorted((tuple(r.members), int(r.tokens)) for r in texts.groupBy("members").agg(F.sum("tokens").alias("tokens")).collect())
+    kinds = texts.groupBy("members").agg(F.sum("tokens").alias("tokens"))
+    patterns = sorted((tuple(r.members), int(r.tokens)) for r in kinds.limit(MAX_PATTERNS + 1).collect())
+    few = len(patterns) <= MAX_PATTERNS
     want = {r.source: (float(r.target_share or 0), int(r.max_repeats or 0)) for r in targets.collect() if r.source is not None}
     capacity = dict.fromkeys(want, 0)
-    for members, tokens in patterns:
-        for s in members:
-            capacity[s] += tokens * want[s][1]
+    if few:
+        for members, tokens in patterns:
+            for s in members:
+                capacity[s] += tokens * want[s][1]
+    else:
+        kinds = materialize(kinds, "kinds")
+        for r in kinds.select(F.explode("members").alias("source"), "tokens").groupBy("source").agg(F.sum("tokens").alias("tokens")).collect():  # one row per source
+            capacity[r.source] = int(r.tokens) * want[r.source][1]
     live = {s: share for s, (share, _) in want.items() if capacity[s] > 0 and share > 0}
     whole = sum(live.values()) or 1.0
     shares = {s: x / whole for s, x in live.items()}
     if total_tokens is None:
         total_tokens = int(min((capacity[s] / x for s, x in shares.items()), default=0))
-    elif total_tokens == CORPUS:
+    elif total_tokens == CORPUS and few:
         total_tokens = sum(tokens for members, tokens in patterns if any(s in shares for s in members))
+    elif total_tokens == CORPUS:
+        total_tokens = int(kinds.filter(F.exists("members", lambda x: x.isin(*shares))).agg(F.sum("tokens")).first()[0] or 0)
     quotas = {s: min(round(x * total_tokens), capacity[s]) for s, x in shares.items()}
-    kept = [(tuple(s for s in members if s in quotas), tokens) for members, tokens in patterns]
-    merged: dict[tuple[str, ...], int] = {}
-    for m, t in kept:
-        if m:
-            merged[m] = merged.get(m, 0) + t
-    flow = route(sorted(merged.items()), quotas, {s: want[s][1] for s in quotas})
     report = {s: {"target_share": want[s][0], "max_repeats": want[s][1], "capacity": capacity[s], "live_share": shares.get(s, 0.0), "quota": quotas.get(s, 0)} for s in want}
-    return flow, report, sorted(merged)
+    names = sorted(quotas)
+    if few:
+        merged: dict[tuple[str, ...], int] = {}
+        for members, tokens in patterns:
+            if m := tuple(s for s in members if s in quotas):
+                merged[m] = merged.get(m, 0) + tokens
+        flow = sorted(route(sorted(merged.items()), quotas, {s: want[s][1] for s in quotas}).items())
+        return pa.table({"pattern": pa.array(["\x01".join(m) for (m, _), _ in flow], pa.string()), "source": pa.array([s for (_, s), _ in flow], pa.string()), "flow": pa.array([f for _, f in flow], pa.int64())}), report
+    place = F.create_map(*[x for i, s in enumerate(names) for x in (F.lit(s), F.lit(i))]) if names else F.lit(None)
+    usable = F.array_sort(F.transform(F.filter("members", lambda x: x.isin(*names)), lambda x: place[x])).alias("members")
+    got = kinds.select(usable, "tokens").filter(F.size("members") > 0).groupBy("members").agg(F.sum("tokens").alias("tokens")).orderBy("members").toArrow()
+    lists = got["members"].combine_chunks()
+    sizes, members = lists.value_lengths().to_numpy().astype(np.int64), lists.flatten().to_numpy()
+    sent = route_levels(sizes, members, got["tokens"].to_numpy().astype(np.int64), np.array([quotas[s] for s in names], dtype=np.int64), np.array([want[s][1] for s in names], dtype=np.int64))
+    arc = np.flatnonzero(sent)
+    spelt = pc.binary_join(pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(names, pa.string()).take(pa.array(members))), "\x01")
+    table = {"pattern": spelt.take(pa.array(np.repeat(np.arange(len(sizes)), sizes)[arc])), "source": pa.array(names, pa.string()).take(pa.array(members[arc])), "flow": pa.array(sent[arc])}
+    return pa.table(table), report
 
 
-def select(texts: DataFrame, flow: dict, seed: int = SEED) -> DataFrame:
+def select(texts: DataFrame, flow: pa.Table, seed: int = SEED) -> DataFrame:
     """(doc_id, source, copies, tokens): every text of a pattern as often as the routed tokens hold all of them, the rest in a seeded order.
 
     The order's cut is found by a histogram of hash buckets: below the bucket where a pattern's tokens run out all texts are taken once
     more, above it none, and inside it a running sum decides, so no task sorts more than one bucket of a pattern.
     """
     spark = texts.sparkSession
-    pairs = [("\x01".join(m), s, f) for (m, s), f in sorted(flow.items())]
-    asked = spark.createDataFrame(pairs, "pattern string, source string, flow bigint")  # at most one row per pattern and source
-    used = sorted({s for _, s, _ in pairs})
+    asked = spark.createDataFrame(flow.to_pylist() if len(flow) <= MAX_PATTERNS else flow, "pattern string, source string, flow bigint")  # at most one row per pattern and source
+    near = F.broadcast if small(asked) else lambda df: df
+    used = sorted(flow["source"].unique().to_pylist())
     usable = F.filter("firsts", lambda x: x.source.isin(*used))
     rows = texts.select("t", "tokens", F.array_join(F.array_sort(F.transform(usable, lambda x: x.source)), "\x01").alias("pattern"), F.explode(usable).alias("m")).select("t", "tokens", "pattern", "m.source", "m.doc_id")
     order = F.xxhash64("t", "source", F.lit(seed))
-    rows = materialize(rows.join(F.broadcast(asked), ["pattern", "source"]).select("pattern", "source", "flow", "doc_id", "tokens", F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), order.alias("rank")), "chosen")
+    rows = materialize(rows.join(near(asked), ["pattern", "source"]).select("pattern", "source", "flow", "doc_id", "tokens", F.pmod(order, F.lit(BUCKETS)).cast("int").alias("bucket"), order.alias("rank")), "chosen")
     held = rows.groupBy("pattern", "source", "flow", "bucket").agg(F.sum("tokens").alias("n"))
     w = Window.partitionBy("pattern", "source")
     sums = held.withColumn("upto", F.sum("n").over(w.orderBy("bucket"))).withColumn("all", F.sum("n").over(w))
     rest = F.col("flow") % F.col("all")
     at = F.min(F.when(F.col("upto") > rest, F.struct("bucket", (F.col("upto") - F.col("n")).alias("before"))))
     cut = sums.groupBy("pattern", "source").agg(F.floor(F.max("flow") / F.max("all")).cast("int").alias("full"), F.max(rest).alias("rest"), at.alias("at"))
-    b = rows.drop("flow").join(F.broadcast(cut), ["pattern", "source"]).withColumn("edge", F.col("at.bucket"))  # one row per pattern and source
+    b = rows.drop("flow").join(near(cut), ["pattern", "source"]).withColumn("edge", F.col("at.bucket"))  # one row per pattern and source, as in asked
     whole = b.filter("bucket <> edge").withColumn("copies", F.col("full") + F.when(F.col("bucket") < F.col("edge"), 1).otherwise(0))
     run = F.col("at.before") + F.sum("tokens").over(w.orderBy("rank", "doc_id"))
     # The text on the cut is taken if that comes nearer to what was asked.
@@ -200,15 +302,15 @@ def mixture(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None
     A text that occurs several times in a source counts once there (its least doc_id stands for it), so that copies never exceed
     max_repeats. Null, empty and blank-source documents and sources without a target take no part. Empty tables give no rows.
     """
-    texts = bounded_patterns(distinct_texts(docs, targets, **tokenizer), targets)
+    texts = distinct_texts(docs, targets, **tokenizer)
     return select(texts, plan(texts, targets, total_tokens)[0], seed)
 
 
 def shares(docs: DataFrame, targets: DataFrame, total_tokens: int | str | None = None, seed: int = SEED, **tokenizer: str) -> DataFrame:
     """Per target source: target_share, live_share (after spreading the shares of sources without texts), capacity_tokens, quota_tokens,
     tokens and documents in the mixture, copies (the most of any document), actual_share and status."""
-    texts = bounded_patterns(distinct_texts(docs, targets, **tokenizer), targets)
-    flow, report, _ = plan(texts, targets, total_tokens)
+    texts = distinct_texts(docs, targets, **tokenizer)
+    flow, report = plan(texts, targets, total_tokens)
     got = select(texts, flow, seed).groupBy("source").agg(F.sum(F.col("tokens") * F.col("copies")).alias("tokens"), F.count(F.lit(1)).alias("documents"), F.max("copies").alias("copies"))
     table = [(s, r["target_share"], r["live_share"], r["max_repeats"], r["capacity"], r["quota"]) for s, r in sorted(report.items())]
     asked = docs.sparkSession.createDataFrame(table, "source string, target_share double, live_share double, max_repeats int, capacity_tokens bigint, quota_tokens bigint")
